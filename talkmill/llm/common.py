@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -173,12 +174,13 @@ def components(edges: DataFrame) -> DataFrame:
 # --- tiles: bounded groups of rows whose pairs are compared block against block -----------------
 
 
-def tiled(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    """rows plus `tile`: at most `size` neighbours in (group, order) share one, and none spans two groups.
+def tiled(rows: DataFrame, group: str, order: list[str], size: int, pack: bool = False) -> DataFrame:
+    """rows plus `tile`: at most `size` neighbours in (group, order) share one; with `pack`, small groups share tiles.
 
     Rows are dealt by range, so one group that holds a third of all rows is spread over many tasks.
     """
-    schema = rows.schema.add("tile", "long")
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("tile", T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -187,12 +189,11 @@ def tiled(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame
         for batch in batches:
             tiles = np.empty(batch.num_rows, np.int64)
             for i, g in enumerate(batch.column(names.index(group)).to_pylist()):
-                if left == 0 or g != last:
+                if left == 0 or g != last and not pack:
                     tile, left, last = tile + 1, size, g
                 tiles[i], left = tile, left - 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tiles)], names=[*names, "tile"])
 
-    names = rows.columns
     return rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(number, schema)
 
 

@@ -3,6 +3,29 @@
 from __future__ import annotations
 
 ORACLES = {
+    "op3_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+r AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.v) AS component_id, w.doc_id = min(r.v) AS kept
+FROM w JOIN r ON r.u = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id""",
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE d AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+f AS MATERIALIZED (SELECT vec_id, label, x FROM d WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0
+  AND len(list_filter(x, lambda y: y <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS u, vec_id AS v FROM d UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+SELECT d.vec_id, (SELECT count(*) FROM e WHERE e.u = d.vec_id) AS n_links, min(r.v) AS component_id, d.vec_id = min(r.v) AS kept
+FROM d JOIN r ON r.u = d.vec_id GROUP BY d.vec_id""",
     "op9_chat_formatting": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

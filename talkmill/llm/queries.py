@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from .chat import format_chats, loss_text, read_back
 from .exact import exact_groups
 from .licenses import scan_licenses
+from .near import Plan, near_components
 from .urls import judge_urls
+from .vectors import near_vectors
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), plan=Plan(words=3, percent=85))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -39,4 +49,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filters, op6_license_scans, op9_chat_formatting, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op9_chat_formatting, op10_exact_dedup)}
