@@ -9,10 +9,18 @@ from .chat import format_chats, loss_text, read_back
 from .exact import exact_groups
 from .licenses import scan_licenses
 from .near import Plan, near_components
+from .toxicity import score_toxicity
 from .urls import judge_urls
 from .vectors import near_vectors
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scored = score_toxicity(docs, labels, train=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_words", "passages")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), plan=Plan(words=3, percent=85))
 
@@ -49,4 +57,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op9_chat_formatting, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op9_chat_formatting, op10_exact_dedup)}
