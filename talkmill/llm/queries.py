@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, loss_text, read_back
 from .exact import exact_groups
 from .licenses import scan_licenses
+from .mixing import mix_sources
 from .near import Plan, near_components
 from .toxicity import score_toxicity
 from .urls import judge_urls
@@ -37,6 +38,11 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__at").alias("position"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     probe = spark.sql(r"select -7L conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
@@ -57,4 +63,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op9_chat_formatting, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op8_source_mixing, op9_chat_formatting, op10_exact_dedup)}
