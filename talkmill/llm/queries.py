@@ -10,11 +10,20 @@ from .exact import exact_groups
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .near import Plan, near_components
+from .tokens import count_tokens, encode
 from .toxicity import score_toxicity
 from .urls import judge_urls
 from .vectors import near_vectors
 
 
+#: The public tokenizer that op1, op7 and the pipeline encode with; read on the driver, its arrays are broadcast.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -38,6 +47,10 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__at").alias("position"))
@@ -63,4 +76,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op8_source_mixing, op9_chat_formatting, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op7_token_counts, op8_source_mixing, op9_chat_formatting, op10_exact_dedup)}
