@@ -39,25 +39,27 @@ def strip_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), f"(?:{SPACE}" + r"|[!-/:-@\[-`{-~\u2010-\u2027\u3001-\u3011\uFF01-\uFF0F\uFF1A-\uFF20])+", "")
 
 
+def _grams(chars: Column, n: int) -> Column:
+    """All n-grams of an array of characters, in order; none if it is shorter."""
+    at = F.sequence(F.lit(0), F.size(chars) - n)
+    return F.when(F.size(chars) >= n, F.transform(at, lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct character n-grams; a text of n characters or fewer is its own only one, an empty one has none."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(F.array_distinct(grams))
+    grams = let(F.split(text, ""), lambda chars: F.array_distinct(_grams(chars, n)))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(grams)
 
 
 def ngram_bag(text: Column, low: int, high: int, singles: Column | None = None, blocked: Column | None = None) -> Column:
     """All character n-grams of low..high, repeats kept; single characters only if listed, none that is blocked."""
 
-    def all_grams(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def bag(chars: Column) -> Column:
+        parts = [F.filter(_grams(chars, n), lambda g: F.array_contains(singles, g)) if n == 1 and singles is not None else _grams(chars, n) for n in range(low, high + 1)]
+        return F.concat(*parts)
 
-    parts = []
-    for n in range(low, high + 1):
-        grams = all_grams(n)
-        parts.append(F.filter(grams, lambda g: F.array_contains(singles, g)) if n == 1 and singles is not None else grams)
-    bag = F.concat(*parts)
-    return bag if blocked is None else F.filter(bag, lambda g: ~F.array_contains(blocked, g))
+    filled = let(F.filter(F.split(text, ""), lambda c: c != ""), bag)
+    return filled if blocked is None else F.filter(filled, lambda g: ~F.array_contains(blocked, g))
 
 
 def latin_words(text: Column, least: int = 2) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import judge, text, vectors
@@ -23,7 +24,7 @@ def _(v):
     return v.table("documents").where(plain).select("doc_id", text.nfkc(F.concat("lang", "source")).alias("name"), F.md5(text.nfkc("text")).alias("hash"))
 
 
-@query("f05_f09_grams", """WITH g AS (SELECT doc_id, text[1:120] AS a, text[61:180] AS b FROM documents), s AS (SELECT doc_id, a, b,
+@query("f05_f09_grams", """WITH g AS (SELECT doc_id, text[1:length(text)//2] AS a, text[length(text)//4+1:] AS b FROM documents), s AS (SELECT doc_id, a, b,
   CASE WHEN length(a) = 0 THEN [] WHEN length(a) <= 3 THEN [a] ELSE list_distinct(list_transform(range(1, length(a) - 1), lambda i: substr(a, i, 3))) END AS x,
   CASE WHEN length(b) = 0 THEN [] WHEN length(b) <= 3 THEN [b] ELSE list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3))) END AS y FROM g)
 SELECT doc_id, len(x)::BIGINT AS n_a, len(y)::BIGINT AS n_b, round(CASE WHEN len(x) + len(y) = 0 THEN 1 ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END, 9) AS jaccard,
@@ -31,7 +32,7 @@ SELECT doc_id, len(x)::BIGINT AS n_a, len(y)::BIGINT AS n_b, round(CASE WHEN len
   round(CASE WHEN len(x) = 0 THEN 0 ELSE len(list_intersect(x, y))::DOUBLE / len(x) END, 9) AS contained,
   (greatest(length(a) - 1, 0) + greatest(length(a) - 2, 0) + (length(a) - length(replace(a, 'e', ''))))::BIGINT AS bag FROM s""")
 def _(v):
-    a, b = F.substring("text", 1, 120), F.substring("text", 61, 120)
+    a, b = F.expr("substring(text, 1, length(text) div 2)"), F.expr("substring(text, length(text) div 4 + 1)")
     d = v.table("documents").select("doc_id", a.alias("a"), b.alias("b")).withColumns({"x": text.char_ngrams(F.col("a"), 3), "y": text.char_ngrams(F.col("b"), 3)})
     bag = text.ngram_bag(F.col("a"), 1, 3, F.array(F.lit("e")))
     return d.select("doc_id", F.size("x").cast("long").alias("n_a"), F.size("y").cast("long").alias("n_b"), F.round(vectors.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"), F.round(vectors.set_cosine(F.col("x"), F.col("y")), 9).alias("cosine"), F.round(vectors.containment(F.col("x"), F.col("y")), 9).alias("contained"), F.size(bag).cast("long").alias("bag"))
@@ -47,17 +48,18 @@ def _(v):
 
 @query("f10_sequence_ratio")
 def _(v):
-    d = v.table("documents").select("doc_id", F.substring("text", 1, 80).alias("a"), F.substring("text", 21, 80).alias("b"))
-    return d.select("doc_id", F.round(vectors.sequence_ratio("a", "b"), 9).alias("ratio"))
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    d = v.messages.select("conv_id", "turn", F.col("text").alias("a"), F.lag("text").over(w).alias("b")).where("b is not null")
+    return d.select("conv_id", "turn", F.round(vectors.sequence_ratio("a", "b"), 9).alias("ratio"))
 
 
-@query("f12_example_score", """WITH {views}, e AS (SELECT doc_id, tier, list_distinct(regexp_extract_all(lower(text[1:400]), '[a-z0-9]{2,}')) AS t FROM examples)
+@query("f12_example_score", """WITH {views}, e AS (SELECT doc_id, tier, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS t FROM examples)
 SELECT doc_id, round(CASE WHEN len(t) = 0 THEN 0 ELSE len(list_intersect(t, ['the', 'and', 'with'])) / sqrt(3.0::DOUBLE * len(t)) END + CASE WHEN tier = 'exemplar' THEN 0.08 ELSE 0 END
   + 0.02 * (CASE WHEN tier = 'exemplar' THEN 2 ELSE 1 END), 9) AS score FROM e""")
 def _(v):
     from ..operators.retrieval import example_score
 
-    tokens = text.support_tokens(F.substring("text", 1, 400))
+    tokens = text.support_tokens(F.col("text"))
     strategies = F.when(F.col("tier") == "exemplar", judge.string_array(("restatement", "other", "guidance", "other", "guidance"))).otherwise(judge.string_array(("other", "restatement")))
     latin = F.filter(tokens, lambda t: t.rlike("^[a-z0-9]+$"))
     return v.examples.select("doc_id", F.round(example_score(judge.string_array(("the", "and", "with")), latin, F.col("tier"), strategies, ("restatement", "guidance")), 9).alias("score"))
@@ -71,12 +73,12 @@ def _(v):
     return v.table("embeddings").select("vec_id", F.round(vectors.cosine(e, F.reverse(e)), 9).alias("mirrored"), F.round(F.sqrt(vectors.dot(n, n)), 6).alias("norm"), F.round(age, 9).alias("recency"))
 
 
-@query("f16_hashed_embedding", """WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text[1:200]), '[a-z0-9]{2,}'))) AS t FROM documents),
+@query("f16_hashed_embedding", """WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS t FROM documents),
 b AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 32 AS b, sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1 END) AS s FROM t GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(s * s)) AS n, sum(s * (b + 1)) AS w FROM b GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(CASE WHEN n = 0 THEN 0 ELSE w / n END, 0), 6) AS weighted FROM documents d LEFT JOIN n USING (doc_id)""")
 def _(v):
-    words = F.array_distinct(text.latin_words(F.substring("text", 1, 200)))
+    words = F.array_distinct(text.latin_words(F.col("text")))
     d = v.table("documents").select("doc_id", vectors.hashed_embedding(words, 32).alias("e"))
     return d.select("doc_id", F.round(F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("weighted"))
 
@@ -102,14 +104,14 @@ def _(v):
 TAGGED = "'[restate] ' || text[1:30] || ' [restate] ' || text[31:45] || ' [guide]' || text[46:60] || '[other]'"
 
 
-@query("f21_f23_segments", rf"""WITH d AS (SELECT doc_id, trim(text[1:30]) AS a, trim(text[31:45]) AS b, trim(text[46:60]) AS c FROM documents WHERE NOT regexp_matches(text[1:60], '\[[a-z_]+\]')),
+@query("f21_f23_segments", rf"""WITH d AS (SELECT doc_id, trim(text[1:30]) AS a, trim(text[31:45]) AS b, trim(text[46:]) AS c FROM documents WHERE NOT regexp_matches(text, '\[[a-z_]+\]')),
 s AS (SELECT doc_id, list_filter([{{'s': 'restate', 't': a}}, {{'s': 'restate', 't': b}}, {{'s': 'guide', 't': c}}], lambda x: x.t <> '') AS s FROM d),
 g AS (SELECT doc_id, s, list_filter(s, lambda x: length(x.t) >= 8 AND NOT contains(x.t, 'http')) AS g FROM s)
 SELECT doc_id, 4::BIGINT AS n_tags, len(s)::BIGINT AS n_segments, 'restate>guide' AS compressed,
   coalesce(array_to_string(list_transform(list_filter([list_filter(g, lambda x: x.s = 'restate')[1], list_filter(g, lambda x: x.s = 'guide')[1]], lambda x: x IS NOT NULL), lambda x: x.t), '|'), '') AS fragments FROM g""")
 def _(v):
-    d = v.table("documents").where(~F.substring("text", 1, 60).rlike(text.TAG)).select(
-        "doc_id", F.concat(F.lit("[restate] "), F.substring("text", 1, 30), F.lit(" [restate] "), F.substring("text", 31, 15), F.lit(" [guide]"), F.substring("text", 46, 15), F.lit("[other]")).alias("t")
+    d = v.table("documents").where(~F.col("text").rlike(text.TAG)).select(
+        "doc_id", F.concat(F.lit("[restate] "), F.substring("text", 1, 30), F.lit(" [restate] "), F.substring("text", 31, 15), F.lit(" [guide]"), F.expr("substring(text, 46)"), F.lit("[other]")).alias("t")
     )
     d = d.select("doc_id", text.tag_sequence(F.col("t")).alias("tags"), text.tag_segments(F.col("t")).alias("segments"))
     return d.select(
