@@ -78,3 +78,8 @@ def without_orientation(candidates: DataFrame, key: str, orientation: str) -> Da
 
 def stage(history: Column) -> Column:
     return F.when(F.size(history) == 0, "first_contact").otherwise("follow_up")
+
+
+def context(cards: Column, external: Column, k: int, enabled: bool = True) -> Column:
+    """The first k cards, then external ones, at most k and their number together; only external ones if disabled."""
+    return F.slice(F.concat(F.slice(cards, 1, k) if enabled else F.array().cast("array<string>"), external), 1, F.lit(k) + F.size(external))

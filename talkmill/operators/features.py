@@ -35,12 +35,12 @@ def rank_keywords(counts: DataFrame, label: str, classes: list[str], least: floa
     return rows if top is None else rows.orderBy(F.desc(F.round("score", 9)), "token").limit(top)
 
 
-def top_per_class(keywords: DataFrame, label: str, n: int, classes: int) -> DataFrame:
+def top_per_class(keywords: DataFrame, label: str, n: int, classes: int, tie: str | None = None) -> DataFrame:
     """Balanced choice of n: the best ceil(n / classes) of each class, then whatever ranks best overall."""
     share = -(-n // classes)
     each = Window.partitionBy(label).orderBy(F.desc("score"), "token")
     marked = keywords.withColumn("within", F.row_number().over(each))
-    return marked.orderBy(F.col("within") > share, F.desc("score"), "token").limit(n)
+    return marked.orderBy(F.col("within") > share, F.desc("score"), "token", *([tie] if tie else [])).limit(n)
 
 
 def class_weights(rows: DataFrame, label: str, classes: int) -> DataFrame:

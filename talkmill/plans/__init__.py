@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import joins, rules, scalars  # noqa: F401  each registers its queries
+from . import aggregates, joins, rules, scalars, windows  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
