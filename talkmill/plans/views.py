@@ -68,11 +68,17 @@ class Views:
 
     @cached_property
     def probabilities(self) -> DataFrame:
-        def draw(at: int):
-            return F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), at, 4), 16, 10).cast("double") + 1
+        return drawn(self.table("documents"))
 
-        a, b, c = draw(1), draw(5), draw(9)
-        return self.table("documents").select("doc_id", "text", (a / (a + b + c)).alias("p_green"), (b / (a + b + c)).alias("p_yellow"), (c / (a + b + c)).alias("p_red"))
+
+def drawn(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, p_green, p_yellow, p_red) of documents."""
+
+    def draw(at: int):
+        return F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), at, 4), 16, 10).cast("double") + 1
+
+    a, b, c = draw(1), draw(5), draw(9)
+    return docs.select("doc_id", "text", (a / (a + b + c)).alias("p_green"), (b / (a + b + c)).alias("p_yellow"), (c / (a + b + c)).alias("p_red"))
 
 
 SQL_VIEWS = """
