@@ -48,7 +48,7 @@ def _grams(chars: Column, n: int) -> Column:
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct character n-grams; a text of n characters or fewer is its own only one, an empty one has none."""
     grams = let(F.split(text, ""), lambda chars: F.array_distinct(_grams(chars, n)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(grams)
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).when(text.isNotNull(), grams)
 
 
 def ngram_bag(text: Column, low: int, high: int, singles: Column | None = None, blocked: Column | None = None) -> Column:
@@ -59,6 +59,7 @@ def ngram_bag(text: Column, low: int, high: int, singles: Column | None = None,
         return F.concat(*parts)
 
     filled = let(F.filter(F.split(text, ""), lambda c: c != ""), bag)
+    filled = F.when(text.isNotNull(), filled)
     return filled if blocked is None else F.filter(filled, lambda g: ~F.array_contains(blocked, g))
 
 

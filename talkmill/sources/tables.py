@@ -41,7 +41,8 @@ def append_lines(rows: DataFrame, path: str) -> None:
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of JSON lines: what doesn't parse is set aside, so that it can be counted."""
     tolerant = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = spark.read.schema(tolerant).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", tolerant, options).alias("r")).select("r.*")
     return parsed.where("_corrupt_record is null").drop("_corrupt_record"), parsed.where("_corrupt_record is not null").select("_corrupt_record")
 
 
