@@ -149,10 +149,23 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa
 def components(edges: DataFrame) -> DataFrame:
     """edges (u long, v long) -> (id, component): the smallest id that each node reaches.
 
-    Alternates large-star and small-star steps; each takes minima by partial aggregation and joins them back,
-    so no node's neighbours meet in one place. Nodes without edges do not appear. Empty edges give no rows.
+    First every node is put under the least of its neighbours and itself, which leaves the few edges between those.
+    Then large-star and small-star steps alternate. Each takes minima by partial aggregation and joins them back, so no
+    node's neighbours meet in one place. Nodes without edges do not appear. Empty edges give no rows.
     """
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    every = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    if every.isEmpty():
+        return every.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    both = every.unionByName(every.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    under = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("top")))
+    tops = every.join(under, "u").select("v", F.col("top").alias("a")).join(under.withColumnsRenamed({"u": "v", "top": "b"}), "v")
+    e = cut(tops.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    found = _stars(e).withColumnsRenamed({"id": "top"})
+    return under.join(found, "top", "left").select(F.col("u").alias("id"), F.coalesce("component", "top").alias("component"))
+
+
+def _stars(e: DataFrame) -> DataFrame:
+    """components() by alternating steps; e is checkpointed, with u > v."""
     if e.isEmpty():
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     seen = None
