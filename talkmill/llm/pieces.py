@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +21,8 @@ class Vocabulary(NamedTuple):
     score; rank: when a merge makes the piece (0: a character); left, right: what it is last merged from; sound: BPE
     turns its text into itself; single: by character number, the piece that is this character (-1: none); byte: by byte
     value, its piece; pairs, made: sorted left * size + right of all pairs that join to a piece, and that piece's rank;
-    raw: UTF-8 of each piece with spaces restored, byte pieces as their byte; splits: no piece holds a space after
+    plain: pieces that DP over last pieces can't place, as they rank before a part of theirs or tie with another; index: multi-character
+    pieces by text, with their scores; raw: UTF-8 of each piece with spaces restored, byte pieces as their byte; splits: no piece holds a space after
     another character, so texts fall apart before each run of spaces.
     """
 
@@ -35,6 +38,8 @@ class Vocabulary(NamedTuple):
     byte: np.ndarray
     pairs: np.ndarray
     made: np.ndarray
+    plain: np.ndarray
+    index: dict[str, tuple[int, float]]
     raw: list[bytes]
     splits: bool
 
@@ -52,6 +57,31 @@ def _merged(text: str, score: dict[str, float]) -> list[tuple[str, str, str]]:
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+def merge_plainly(v: Vocabulary, number: np.ndarray) -> list[int]:
+    """The BPE pieces of one unit by merging: best score first, leftmost of equals."""
+    parts = [chr(v.chars[k - 1]) for k in number]
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap: list[tuple[float, int, str]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < len(parts) and (found := v.index.get(parts[i] + parts[after[i]])):
+            heapq.heappush(heap, (-found[1], i, parts[i] + parts[after[i]]))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    while heap:
+        _, i, text = heapq.heappop(heap)
+        if not parts[i] or after[i] >= len(parts) or parts[i] + parts[after[i]] != text:
+            continue  # either part has merged elsewhere meanwhile
+        j = after[i]
+        parts[i], parts[j], after[i] = text, "", after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        offer(before[i])
+        offer(i)
+    return [v.index[p][0] if len(p) > 1 else int(v.single[int(np.searchsorted(v.chars, ord(p))) + 1]) for p in parts if p]
+
+
 def load_vocabulary(path: str) -> Vocabulary:
     """Read a BPE model with byte fallback and identity normalisation. Runs once, where the job is put together."""
     import sentencepiece
@@ -87,6 +117,9 @@ def load_vocabulary(path: str) -> Vocabulary:
     single = np.full(len(chars) + 1, -1, np.int64)
     for c, k in number.items():
         single[k] = index.get(c, -1)
+    seen = Counter(score[t] for t in order)
+    plain = (rank[left] > rank) | (rank[right] > rank)
+    plain[[index[t] for t in order if seen[score[t]] > 1]] = True
     joined = [(index[t[:k]] * n + index[t[k:]], order[t]) for t in order for k in range(1, len(t)) if t[:k] in index and t[k:] in index]
     pairs, made = (np.array(x, np.int64) for x in zip(*sorted(joined), strict=True))
     return Vocabulary(
@@ -94,7 +127,7 @@ def load_vocabulary(path: str) -> Vocabulary:
         [np.array([number[c] for c in t], np.int64) if t in index and index[t] == i else np.zeros(0, np.int64) for i, t in enumerate(text)],
         np.array([len(t) if t in index else 0 for t in text]),
         np.array([score.get(t, 0.0) for t in text]),
-        rank, left, right, sound, single, byte, pairs, made,
+        rank, left, right, sound, single, byte, pairs, made, plain, {t: (index[t], score[t]) for t in order},
         [bytes([int(t[3:-1], 16)]) if model.is_byte(i) else b"" if special[i] else t.replace(SPACE, " ").encode() for i, t in enumerate(text)],
         not any(SPACE in t.lstrip(SPACE) for t in index),
     )

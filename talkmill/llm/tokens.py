@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices
-from .pieces import BITS, NO_CHAR, SPACE, Pairs, Vocabulary, load_vocabulary
+from .pieces import BITS, NO_CHAR, SPACE, Pairs, Vocabulary, load_vocabulary, merge_plainly
 
 #: Characters in one packed key, and keys that cover the longest piece.
 IN_KEY = 4
@@ -125,12 +125,15 @@ def relax(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray, numbe
     """The BPE pieces of each unit (at unit, of size characters), as (flat pieces, number of each unit's).
 
     Every beginning of a unit has one BPE encoding, known by its last piece. Edges are taken by where they end: one
-    whose piece may follow the last piece of what is before it is the last piece there.
+    whose piece may follow the last piece of what is before it is the last piece there. Units in which a piece of
+    v.plain occurs (runs of spaces) are merged one by one instead.
     """
     n = len(number)
     own = np.zeros(n, np.int64)
     own[unit[np.arange(len(unit))]] = 1
     of = np.cumsum(own) - 1
+    by_hand = np.zeros(len(unit), bool)
+    by_hand[of[start[v.plain[piece]]]] = True
     alone = np.flatnonzero(v.single[number] >= 0)
     start, piece = np.concatenate([start, alone]), np.concatenate([piece, v.single[number[alone]]])
     end = start + v.length[piece]
@@ -151,7 +154,7 @@ def relax(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray, numbe
         good[rest] = pairs(before, p[rest])
         last[e[good] - 1] = p[good]
     # Walk back from each unit's end, all units at once.
-    at, live = unit + size, np.arange(len(unit))
+    at, live = unit + size, np.flatnonzero(~by_hand)
     unit_of, place = [], []
     while len(live):
         p = last[at[live] - 1]
@@ -164,6 +167,9 @@ def relax(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray, numbe
     whose = np.concatenate(unit_of) if unit_of else np.zeros(0, np.int64)
     flat = np.concatenate(place) if place else np.zeros(0, np.int64)
     depth = np.concatenate([np.full(len(u), -i) for i, u in enumerate(unit_of)]) if unit_of else whose
+    for u in np.flatnonzero(by_hand):
+        ids = merge_plainly(v, number[unit[u] : unit[u] + size[u]])
+        whose, flat, depth = np.append(whose, np.full(len(ids), u)), np.append(flat, ids), np.append(depth, np.arange(len(ids)))
     order = np.lexsort((depth, whose))
     return flat[order], np.bincount(whose, minlength=len(unit))
 
@@ -331,6 +337,7 @@ class Counter:
         v = self.v
         node = np.zeros(len(unit), np.int64)
         last, count, score, best = np.full(1, -1), np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int64)
+        by_hand = np.zeros(1, bool)  # a piece of v.plain occurs on the way here
         # Matches in progress at the nodes of the level above: where each began (a node), and its place in the pieces' trie.
         begun, place, holder = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         level, first = np.array([0]), 0
@@ -357,6 +364,9 @@ class Counter:
             piece = self.piece[place]
             done = piece >= 0
             w, b, p = whose[done], begun[done], piece[done]
+            hand = by_hand[parent]
+            hand[w[v.plain[p]]] = True
+            by_hand = np.concatenate([by_hand, hand])
             new_last, new_count = np.full(len(key), -1), np.zeros(len(key), np.int64)
             whole = (b == 0) & v.sound[p]
             rest = np.flatnonzero((b != 0) & (last[b] >= 0) & v.sound[p])
@@ -376,6 +386,8 @@ class Counter:
             ended = size[live] == depth
             stop = live[ended]
             bpe[stop], unigram[stop] = count[node[stop]], best[node[stop]]
+            for i in stop[by_hand[node[stop]]]:
+                bpe[i] = len(merge_plainly(v, number[unit[i] : unit[i] + size[i]]))
             live = live[~ended]
         return bpe, unigram
 
