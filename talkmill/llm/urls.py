@@ -37,7 +37,7 @@ def judge_urls(
     visits and `variable` of them are different segments, or if its share of blocked labels does not differ from its
     siblings' by `z` standard errors (branches without labels don't differ). What lies below `depth` levels is one
     wildcard **. A template's purity is its share of blocked labels, smoothed by `smooth` labels of its host, the
-    host's by as many of all pages. Unlabelled pages of templates with a purity of `reject` or more are blocked.
+    host's by as many of all pages. Unlabelled pages of templates that have labels and a purity of `reject` or more are blocked.
     A null url, or one without ://, has an empty host and path. Repeated pages are judged alike and all returned; an
     empty table gives no rows; other columns play no part.
     """
@@ -76,8 +76,8 @@ def judge_urls(
     total = hosts.agg(F.sum("host_bad").alias("b"), F.sum("host_labels").alias("l")).first()
     share = (total.b or 0) / total.l if total.l else 0.0
     host_share = (F.col("host_bad") + smooth * share) / (F.col("host_labels") + smooth)
-    judged = templates.join(hosts, "host").select("host", "template", ((F.col("bad") + smooth * host_share) / (F.col("labels") + smooth)).alias("purity"))
+    judged = templates.join(hosts, "host").select("host", "template", F.col("labels").alias("own"), ((F.col("bad") + smooth * host_share) / (F.col("labels") + smooth)).alias("purity"))
     by_path = tree.select("host", "path", "template").join(judged, ["host", "template"])
     return parsed.join(by_path, ["host", "path"]).select(
-        "page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when(F.col("purity") >= reject, "block").otherwise("allow")).alias("verdict")
+        "page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when((F.col("purity") >= reject) & (F.col("own") > 0), "block").otherwise("allow")).alias("verdict")
     )
