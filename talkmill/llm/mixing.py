@@ -85,21 +85,19 @@ def mix_sources(
     plan = sources.withColumn("drawn", F.when(F.col("tokens") > 0, F.round(weight * (budget * total)).cast("long")))
     order = Window.partitionBy("__key").orderBy(F.xxhash64(F.lit(seed), "__key", "__block"), "__block").rowsBetween(Window.unboundedPreceding, -1)
     placed = sums.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(plan, "__key")
-    placed = cut(
-        placed.select(
-            "__key", "__block", "size", "before", "tokens", "drawn",
-            F.when(F.col("tokens") > 0, F.expr("drawn div nullif(tokens, 0)")).otherwise(1).alias("passes"),
-            F.when(F.col("tokens") > 0, F.expr("drawn % nullif(tokens, 0) - before")).otherwise(0).alias("room"),
-        )
-    )
+    passes = F.when(F.col("tokens") > 0, F.expr("drawn div nullif(tokens, 0)")).otherwise(1)
+    room = F.when(F.col("tokens") > 0, F.expr("drawn % nullif(tokens, 0) - before")).otherwise(0)
+    stream = F.struct("size", "before", "tokens", "drawn", passes.alias("passes"), room.alias("room")).alias("__plan")
+    placed = cut(placed.select("__key", "__block", stream))
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
     dealt = rows.join(placed, ["__key", "__block"])
-    ends = (F.col("room") > 0) & (F.col("room") < F.col("size"))
+    p = lambda name: F.col(f"__plan.{name}")
+    ends = (p("room") > 0) & (p("room") < p("size"))
     inside = Window.partitionBy("__key", "__block").orderBy(F.xxhash64(F.lit(f"{seed} inside"), F.col(doc_id), F.col(text)), F.col(doc_id)).rowsBetween(Window.unboundedPreceding, -1)
     started = F.coalesce(F.sum("__tokens").over(inside), F.lit(0))
-    whole = dealt.where(~ends).withColumn("__copies", F.col("passes") + ((F.col("room") > 0) & (F.col("room") >= F.col("size"))).cast("long"))
-    partial = dealt.where(ends).withColumn("__copies", F.col("passes") + (started < F.col("room")).cast("long"))
+    whole = dealt.where(~ends).withColumn("__copies", p("passes") + ((p("room") > 0) & (p("room") >= p("size"))).cast("long"))
+    partial = dealt.where(ends).withColumn("__copies", p("passes") + (started < p("room")).cast("long"))
     drawn = whole.unionByName(partial).where("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    at = F.when(F.col("drawn") > 0, ((F.col("__epoch") - 1) * F.col("tokens") + F.col("before")) / F.col("drawn")).otherwise(0.0)
+    at = F.when(p("drawn") > 0, ((F.col("__epoch") - 1) * p("tokens") + p("before")) / p("drawn")).otherwise(0.0)
     return drawn.withColumn("__at", at).select(*(F.col(f"`{c}`") for c in docs.columns), "__tokens", "__epoch", "__at")
