@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str, text: st
     n_bad, n_good = (int(total["bad"].sum()), int(total["good"].sum())) if len(total) else (0, 0)
     counts = counts[counts["feature"] != 0]
     if not n_bad or not n_good:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, 0.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, -3.0)
     bad, good = counts["bad"].to_numpy(float), counts["good"].to_numpy(float)
     weight = settings.prior * (n_bad + n_good)
     prior = weight * (bad + good) / (n_bad + n_good)
@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str, text: st
     x = np.array([_evidence(n, [(0, 0, s) for s in scores], model.rate, settings)[0] for n, scores in zip(seen["n"], seen["scores"], strict=True)])
     y = seen["toxic"].to_numpy(float)
     slope, intercept = _scale(x, y)
-    return model._replace(slope=slope, intercept=intercept)
+    # No evidence says no more than that a document is one of the sample.
+    return model._replace(slope=slope, intercept=min(intercept, float(np.log((n_bad + 1) / (n_good + 1)))))
 
 
 def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
