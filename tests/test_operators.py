@@ -32,6 +32,30 @@ def test_chain_does_not_collapse(spark):
     assert got == {1: ("", None), 2: ("duplicate_in_cell", 1), 3: ("duplicate_exact", 1), 4: ("", None), 5: ("", None), 6: ("duplicate_exact", 5)}
 
 
+def test_dedupe_equals_the_loop(spark):
+    random.seed(12)
+    base = ["".join(random.choice("abcdefg") for _ in range(90)) for _ in range(3)]
+    texts = [(i, random.choice("xyz"), "".join(random.choice("abc") if random.random() < 0.015 else c for c in random.choice(base))) for i in range(60)]
+    texts += [(100 + i, c, t) for i, (_, _, t) in enumerate(texts[:12]) for c in "xz"[i % 2]]
+
+    def grams(t):
+        return {t[k : k + 3] for k in range(len(t) - 2)}
+
+    kept, want = [], {}
+    for i, cell, t in texts:
+        want[i] = ("", None)
+        for j, other, u in kept:
+            same = len(grams(t) & grams(u)) / len(grams(t) | grams(u))
+            why = "duplicate_exact" if t == u else "duplicate_in_cell" if cell == other and same >= 0.82 else "duplicate_global" if same >= 0.9 else ""
+            if why:
+                want[i] = (why, j)
+                break
+        else:
+            kept.append((i, cell, t))
+    got = {r.id: (r.reason, r.by) for r in dedup.dedupe_utterances(spark.createDataFrame(texts, "id long, cell string, text string")).collect()}
+    assert got == want and len({w for w, _ in want.values()}) == 4
+
+
 def test_similar_pairs_are_complete(spark):
     random.seed(5)
     base = ["".join(random.choice("abcde ") for _ in range(40)) for _ in range(4)]
