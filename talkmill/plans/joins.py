@@ -179,8 +179,8 @@ SELECT doc_id AS id, item_id AS best, round(overlap, 9) AS overlap FROM o QUALIF
 def _(v):
     def grams(t, key):
         words = F.regexp_extract_all(F.lower("text"), F.lit("[^ \t\n\r]+"), 0)
-        runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, 8), " ")))
-        return v.table(t).select(F.col(key).alias("id"), text.let(words, lambda w: F.when(F.size(w) >= 8, runs(w)).otherwise(F.array().cast("array<string>"))).alias("grams"))
+        runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.slice(w, i, 8))))
+        return v.table(t).select(F.col(key).alias("id"), text.let(words, lambda w: F.when(F.size(w) >= 8, runs(w)).otherwise(F.array().cast("array<bigint>"))).alias("grams"))
 
     return retrieval.copy_overlap(grams("documents", "doc_id"), grams("benchmark", "item_id"), 8).withColumn("overlap", F.round("overlap", 9))
 
