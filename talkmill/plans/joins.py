@@ -122,7 +122,7 @@ SELECT query_id, example_id, level, round(score, 9) AS score, row_number() OVER
 def _(v):
     q = v.messages.where("role = 'student'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_distinct(text.latin_words(F.col("text"))).alias("tokens"))
     e = v.examples.select(F.col("doc_id").alias("id"), F.array_distinct(text.latin_words(F.col("text"))).alias("tokens"))
-    scored = retrieval.token_overlap(q, e).join(v.examples.select(F.col("doc_id").alias("example_id"), "scenario", "tier"), "example_id").withColumn("score", F.round("cosine", 9))
+    scored = retrieval.token_overlap(q, e, 0.1999).join(v.examples.select(F.col("doc_id").alias("example_id"), "scenario", "tier"), "example_id").withColumn("score", F.round("cosine", 9))
     return retrieval.tiered(scored, "query_id", F.col("scenario") == "en", F.col("tier"), "score", "example_id", 3, 0.2).select("query_id", "example_id", "level", "score", "rank")
 
 

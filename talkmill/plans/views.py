@@ -11,15 +11,22 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 TAGS = ("template_low_information", "unsupported_third_party_motive", "third_party_excuse", "hard_boundary_fabrication", "adult_coaching_question")
 
 
+#: Tables whose rows take long to work on, so that a single split would be felt.
+TEXTS = ("documents", "conversations", "pages")
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(rows) if name in TEXTS else rows
 
     @cached_property
     def candidates(self) -> DataFrame:

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many tasks as there are cores, if they come in fewer splits than that (a small file is one split).
+    Tables with more splits than cores stay as they are, unshuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_sheet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A CSV sheet: UTF-8 with or without a byte-order mark, quoted cells over several lines, unnamed columns dropped, blanks as empty text."""
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
