@@ -10,7 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ALNUM, LOWER, text_bytes
+from .common import ALNUM, LOWER, slices, text_bytes
 
 #: Phrases that the base labels rest on.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -166,12 +166,13 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     schema = docs.select(doc_id).schema.fields[0]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
         for batch in batches:
-            raw, offset = text_bytes(batch.column(1))
-            data = raw.tobytes()
-            rows = [scan_text(data[a:b]) for a, b in zip(offset[:-1], offset[1:], strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
+            for part in slices(batch, 1):
+                raw, offset = text_bytes(part.column(1))
+                data = raw.tobytes()
+                rows = [scan_text(data[a:b]) for a, b in zip(offset[:-1], offset[1:], strict=True)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
 
     return docs.select(doc_id, text).mapInArrow(scan, f"doc_id {schema.dataType.simpleString()}, {SCHEMA}")
