@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,17 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def judge_urls(
-    pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, depth: int = 4, variable: float = 0.5, least: int = 8, z: float = 1.96, smooth: float = 4.0, reject: float = 0.7
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, depth: int | None = None, variable: float = 0.5, least: int = 8, z: float = 1.96, smooth: float = 4.0, reject: float = 0.7, margin: float = 0.3
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, template, purity, verdict.
 
     The rules label the pages that they fit: 1 blocked, 0 allowed. The tree of each host is built level by level.
-    A segment becomes the wildcard * if it is a number (or holds eight hex digits), if its node has at least `least`
-    visits and `variable` of them are different segments, or if its share of blocked labels does not differ from its
-    siblings' by `z` standard errors (branches without labels don't differ). What lies below `depth` levels is one
-    wildcard **. A template's purity is its share of blocked labels, smoothed by `smooth` labels of its host, the
+    A segment becomes the wildcard * if it is a number (or holds eight hex digits), or if its node has at least `least`
+    visits and `variable` of them are different segments. Other segments are branches: those that labels show to be like
+    their siblings share the wildcard ?, which no path holds; that is, both sides have `least` labels and the difference of
+    their shares of blocked labels lies within `margin`, `z` standard errors included. All others, unlabelled ones too,
+    stay apart. What lies below `depth` levels, if given, is one wildcard **; else the tree is as deep as the paths.
+    A template's purity is its share of blocked labels, smoothed by `smooth` labels of its host, the
     host's by as many of all pages. Unlabelled pages of templates that have labels and a purity of `reject` or more are blocked.
     A null url, or one without ://, has an empty host and path. Repeated pages are judged alike and all returned; an
     empty table gives no rows; other columns play no part.
@@ -51,26 +55,34 @@ def judge_urls(
     )
     tree = cut(paths.withColumns({"segments": F.filter(F.split("path", "/"), lambda s: s != ""), "template": F.lit("")}))
     sums = [F.sum(c).alias(c) for c in ("n", "labels", "bad")]
-    for level in range(depth):
+    longest = tree.agg(F.max(F.size("segments")).alias("n")).first().n or 0
+    ended = []
+    for level in range(longest if depth is None else min(depth, longest)):
+        if level and level % 4 == 0:
+            tree = cut(tree)
+            ended.append(tree.where(F.size("segments") <= level))
+            tree = tree.where(F.size("segments") > level)
         here = tree.withColumn("segment", F.get("segments", F.lit(level)))
         child = here.where("segment is not null").groupBy("host", "template", "segment").agg(*sums)
         node = child.groupBy("host", "template").agg(
             F.count("*").alias("children"), F.sum("n").alias("visits"), F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad")
         )
-        rest, pooled = F.expr("all_labels - labels"), F.expr("all_bad / nullif(all_labels, 0)")
-        gap = F.expr("bad / nullif(labels, 0)") - F.expr("all_bad - bad") / F.nullif(rest, F.lit(0))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(F.col("labels"), F.lit(0)) + 1 / F.nullif(rest, F.lit(0))))
+        rest = F.expr("all_labels - labels")
+        own, other = F.expr("(bad + 1) / (labels + 2)"), (F.expr("all_bad - bad") + 1) / (rest + 2)
+        error = F.sqrt(own * (1 - own) / (F.col("labels") + 2) + other * (1 - other) / (rest + 2))
+        alike = (F.col("labels") >= least) & (rest >= least) & (F.abs(own - other) + z * error <= margin)
         number = F.col("segment").rlike(r"^[0-9]+(\.[a-z]+)?$|[0-9a-f]{8}")
         wide = (F.col("visits") >= least) & (F.col("children") >= variable * F.col("visits"))
-        differs = F.coalesce((error > 0) & (F.abs(gap) >= z * error), F.lit(False))
         named = child.join(node, ["host", "template"]).select(
-            "host", "template", "segment", F.when(number | wide | ~differs, "*").otherwise(F.col("segment")).alias("name")
+            "host", "template", "segment", F.when(number | wide, "*").when(alike, "?").otherwise(F.col("segment")).alias("name")
         )
         more = F.size("segments") > level
         tree = here.join(named, ["host", "template", "segment"], "left").select(
             "host", "path", "n", "labels", "bad", "segments", F.when(more, F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))).otherwise(F.col("template")).alias("template")
         )
-    tree = cut(tree.withColumn("template", F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))))
+    tree = reduce(DataFrame.unionByName, ended, tree)
+    below = F.size("segments") > (longest if depth is None else depth)
+    tree = cut(tree.withColumn("template", F.when(below, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))))
     templates = tree.groupBy("host", "template").agg(*sums)
     hosts = templates.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("bad").alias("host_bad"))
     total = hosts.agg(F.sum("host_bad").alias("b"), F.sum("host_labels").alias("l")).first()

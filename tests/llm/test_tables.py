@@ -88,6 +88,20 @@ def test_url_templates(spark):
     assert got["http://s.com/blog/7"].verdict == "allow" and got["http://s.com/blog/7"].template == "/blog/*"
 
 
+def test_url_branches_without_labels_stay_apart(spark):
+    """Likeness needs labels on both sides: an unlabelled branch is allowed, branches alike by labels are judged together, as deep as paths go."""
+    deep = "http://d.com/a/b/c/d/e"
+    rows = [f"http://s.com/{b}/{i}" for b in ("shop", "news") for i in range(40)] + [f"{deep}/{b}/{i}" for b in ("x", "y", "z") for i in range(200)]
+    rows += [f"http://t.com/{b}/{c}{i}" for b in ("p", "q", "r") for c in ("", "u/") for i in range(40)]
+    rules = (("block", "s.com/shop/1"), ("block", "s.com/shop/2"), ("block", "d.com/a/b/c/d/e/x/1"), ("allow", "d.com/a/b/c/d/e/y/1")) + tuple(("block", f"t.com/{b}/{i}") for b in "pq" for i in (1, 2))
+    got = {u: r for u, r in zip(rows, sorted(urls.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules=rules).collect(), key=lambda r: r.page_id))}
+    for url, verdict, template in (
+        ("http://s.com/shop/7", "block", "/shop/*"), ("http://s.com/news/7", "allow", "/news/*"), (f"{deep}/x/7", "block", "/a/b/c/d/e/x/*"), (f"{deep}/y/7", "allow", "/a/b/c/d/e/y/*"), (f"{deep}/z/7", "allow", "/a/b/c/d/e/z/*"),
+        ("http://t.com/p/7", "block", "/?/*"), ("http://t.com/q/7", "block", "/?/*"), ("http://t.com/r/7", "allow", "/r/*"), ("http://t.com/p/u/7", "allow", "/?/u/*"),
+    ):
+        assert (got[url].verdict, got[url].template) == (verdict, template), url
+
+
 def brute_chats(rows):
     out = {}
     for c in {r[0] for r in rows}:
