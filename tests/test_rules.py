@@ -52,6 +52,42 @@ def test_soft_rules(spark, said, level, red, expected):
     assert values(spark, [(said, red)], "t string, p double", r=got) == [(expected,)]
 
 
+SAID = {
+    "passive_death_ideation": "I want to disappear", "active_suicide_ideation": "I will kill myself", "self_harm_expression": "I hurt myself", "method": "the pills", "time": "tonight",
+    "preparation": "I made a plan", "bullying": "you moron", "idiom": "what a clown", "negation": "not really",
+}
+
+
+def test_safety_signals_by_all_families(spark):
+    """Every combination of the nine families, against the formulas in plain Python."""
+    cases = [dict(zip(SAID, on)) for on in itertools.product((False, True), repeat=len(SAID))]
+    rows = [(". ".join(SAID[k] for k in SAID if c[k]),) for c in cases]
+    names = ("red_necessary", "risk_intent", "idiom", "bullying", "negated")
+    signals = rules.safety_signals(F.col("t"))
+    got = values(spark, rows, "t string", s=F.array_sort(signals["signals"]), **{n: signals[n] for n in names})
+    for c, g in zip(cases, got):
+        intent = c["active_suicide_ideation"] or c["passive_death_ideation"] or c["self_harm_expression"]
+        concrete = c["method"] or c["time"] or c["preparation"]
+        red = (c["self_harm_expression"] and c["method"]) or (intent and concrete and not c["negation"])
+        want = (red, intent, c["idiom"] and not intent and not c["method"], c["bullying"] and not intent and not concrete, c["passive_death_ideation"] and c["negation"] and not concrete)
+        assert g == (sorted(k for k in c if c[k]), *want), c
+
+
+@pytest.mark.parametrize(
+    "said,soft,strict",
+    [
+        ("I hurt myself with pills", "red", "red"), ("I hurt myself with pills, not really", "red", "red"), ("I want to disappear tonight", "red", "red"), ("I want to disappear, there is a bridge", "red", "red"),
+        ("I will kill myself, I made a plan", "red", "red"), ("I will kill myself tonight, not really", "yellow", "yellow"), ("I will kill myself", "yellow", "yellow"), ("what a clown with pills", "red", "yellow"), ("you moron, tonight", "red", "yellow"),
+        ("I want to disappear, not really", "yellow", "yellow"), ("you scum", "red", "red"),
+    ],
+)
+def test_reds_by_signals(spark, said, soft, strict):
+    signals = rules.safety_signals(F.col("t"))
+    a = rules.soft_rules(F.lit("red"), F.lit(0.0), F.lit(0.9), F.col("t"), signals, ["hello"], "^i am tired$", 0.3)
+    b = rules.policy_level(F.lit(0.0), F.lit(0.9), signals, F.lit(0.4), F.lit(0.6), F.lit("strict"))
+    assert values(spark, [(said,)], "t string", a=a, b=b) == [(soft, strict)]
+
+
 def test_caps_compose(spark):
     rows = [(["template_low_information", "adult_coaching_question"],), (["third_party_excuse", "hard_boundary_fabrication"],), ([],)]
     c = judge.cap_scores(F.lit(2), F.lit(2), F.lit(2), F.lit(False), F.lit(""), F.col("t"))
