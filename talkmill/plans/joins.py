@@ -110,7 +110,7 @@ def _(v):
 
 @query("j10_greedy_dedupe")
 def _(v):
-    return dedup.dedupe_utterances(utterances(v))
+    return dedup.dedupe_utterances(utterances(v), by_ratio=True)
 
 
 QUERY_SQL = """q AS (SELECT conv_id * 1000 + turn AS query_id, """ + WORDS.format("text") + """ AS t FROM messages WHERE role = 'student'), e AS (SELECT doc_id AS example_id, scenario, tier, """ + WORDS.format("text") + """ AS t FROM examples),

@@ -1,5 +1,6 @@
 """Operators on small tables, against plain Python."""
 
+import difflib
 import json
 import random
 from fractions import Fraction
@@ -56,6 +57,43 @@ def test_dedupe_equals_the_loop(spark):
     assert got == want and len({w for w, _ in want.values()}) == 4
 
 
+def test_dedupe_by_ratio_equals_the_loop(spark):
+    """One-letter edits in and across cells, short and long, against the loop over max(Jaccard, matching ratio)."""
+    random.seed(21)
+    texts = [(0, "x", "anutterancewithfewletters12"), (1, "x", "anutterancewithXewletters12"), (2, "y", "anutterancewithfewlexters12")]
+    for n in (4, 9, 15, 20, 27, 40, 58, 90, 230):
+        base = "".join(random.choice("abcdefghijkl") for _ in range(n))
+        for edits in (0, 1, 1, 2, n // 9, n // 7, n // 5):
+            t = list(base)
+            for at in random.sample(range(n), edits):
+                t[at] = random.choice(["", "z", "yy"])
+            texts.append((len(texts), random.choice("xy"), "".join(t)))
+    order = random.sample(texts[3:], len(texts) - 3)
+    texts = texts[:3] + [(3 + i, c, t) for i, (_, c, t) in enumerate(order)] + [(len(texts), "y", texts[0][2]), (len(texts) + 1, "y", "")]
+
+    def grams(t):
+        return {t[k : k + 3] for k in range(len(t) - 2)} or {t} - {""}
+
+    kept, want = [], {}
+    for i, cell, t in texts:
+        want[i] = ("", None)
+        for j, other, u in kept:
+            same = max(len(grams(t) & grams(u)) / max(len(grams(t) | grams(u)), 1), difflib.SequenceMatcher(None, t, u).ratio())
+            why = "duplicate_exact" if t == u else "duplicate_in_cell" if cell == other and same >= 0.82 else "duplicate_global" if same >= 0.9 else ""
+            if why:
+                want[i] = (why, j)
+                break
+        else:
+            kept.append((i, cell, t))
+    df = spark.createDataFrame(texts, "id long, cell string, text string")
+    got = {r.id: (r.reason, r.by) for r in dedup.dedupe_utterances(df, by_ratio=True).collect()}
+    assert got == want and got[1] == ("duplicate_in_cell", 0) and got[2] == ("duplicate_global", 0)
+    reps = df.groupBy(F.col("text").alias("norm")).agg(F.min("id").alias("id"), F.lit(1).cast("long").alias("cells"))
+    pairs = {(r.a, r.b) for r in dedup.ratio_pairs(reps, 0.82, 0.9, tile=7).where("forward >= 0.82").collect()}
+    norm = {r.id: r.norm for r in reps.collect()}
+    assert pairs == {(a, b) for a in norm for b in norm if a < b and norm[a] and norm[b] and difflib.SequenceMatcher(None, norm[b], norm[a]).ratio() >= 0.82}
+
+
 def test_similar_pairs_are_complete(spark):
     random.seed(5)
     base = ["".join(random.choice("abcde ") for _ in range(40)) for _ in range(4)]
