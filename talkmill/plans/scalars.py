@@ -24,6 +24,11 @@ def _(v):
     return v.table("documents").where(plain).select("doc_id", text.nfkc(F.concat("lang", "source")).alias("name"), F.md5(text.nfkc("text")).alias("hash"))
 
 
+@query("f02_nfkc_all")
+def _(v):
+    return v.table("documents").select("doc_id", text.nfkc(F.concat("lang", "source")).alias("name"), F.md5(text.nfkc("text")).alias("hash"))
+
+
 @query("f05_f09_grams", """WITH g AS (SELECT doc_id, text[1:length(text)//2] AS a, text[length(text)//4+1:] AS b FROM documents), s AS (SELECT doc_id, a, b,
   CASE WHEN length(a) = 0 THEN [] WHEN length(a) <= 3 THEN [a] ELSE list_distinct(list_transform(range(1, length(a) - 1), lambda i: substr(a, i, 3))) END AS x,
   CASE WHEN length(b) = 0 THEN [] WHEN length(b) <= 3 THEN [b] ELSE list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3))) END AS y FROM g)

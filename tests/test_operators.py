@@ -1,15 +1,19 @@
 """Operators on small tables, against plain Python."""
 
 import difflib
+import hashlib
 import json
 import random
+import unicodedata
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkmill.functions import text
 from talkmill.operators import agreement, dedup, metrics, models, queues, sampling, scores, sessions
+from talkmill.plans import QUERIES
 from talkmill.sources import tables
 
 
@@ -246,3 +250,17 @@ def test_json_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 4
     (tmp_path / "t.txt").write_text("one\n\n  two \n")
     assert [r.text for r in tables.read_texts(spark, str(tmp_path / "t.txt")).collect()] == ["one", "two"]
+
+
+def test_nfkc(spark):
+    said = ["ＡＢＣ１２３！", "e\u0301", "\u00e9", "ﬁne ①②", "㌔ ｶﾞ", "x² ½", "가", "a\xa0b", "plain", "", None]
+    want = {"ABC123!", "\u00e9", "fine 12", "キロ ガ", "x2 1⁄2", "가", "a b", "plain", "", None}
+    got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i").select(text.nfkc("t").alias("n")).collect()]
+    assert set(got) == want and got == [t and unicodedata.normalize("NFKC", t) for t in said]
+
+
+def test_nfkc_query_takes_all_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {(d.doc_id, unicodedata.normalize("NFKC", d.lang + d.source), hashlib.md5(unicodedata.normalize("NFKC", d.text).encode()).hexdigest()) for d in docs}
+    assert {tuple(r) for r in QUERIES["f02_nfkc_all"](spark, sf).collect()} == want and not all(d.text.isascii() for d in docs)
