@@ -9,7 +9,7 @@ from talkmill.llm.exact import drop_exact
 from talkmill.llm.mixing import mix_sources
 from talkmill.llm.near import drop_near
 from talkmill.llm.queries import MODEL
-from talkmill.llm.tokens import encode
+from talkmill.llm.tokens import encode, with_token_counts
 from talkmill.llm.toxicity import drop_toxic
 
 
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix draws them."""
-    return mix_sources(docs).drop("__tokens", "__epoch", "__at")
+    return mix_sources(cut(with_token_counts(docs, MODEL, "__n")), tokens="__n").drop("__n", "__tokens", "__epoch", "__at")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

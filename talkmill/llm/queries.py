@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, loss_text, read_back
+from .common import cut
 from .exact import exact_groups
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .near import Plan, near_components
-from .tokens import count_tokens, encode
+from .tokens import count_tokens, encode, with_token_counts
 from .toxicity import score_toxicity
 from .urls import judge_urls
 from .vectors import near_vectors
@@ -52,7 +53,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = cut(with_token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL, "__n"))
+    mixed = mix_sources(docs, tokens="__n")
     return mixed.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__at").alias("position"))
 
 

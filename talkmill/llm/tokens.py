@@ -414,6 +414,20 @@ class Counter:
         return tuple(np.bincount(u.doc, x[slot], len(texts)).astype(np.int64) for x in (self.n, self.unigram))
 
 
+def with_token_counts(docs: DataFrame, model: str, name: str, text: str = "text") -> DataFrame:
+    """docs plus `name`, count_tokens' n_tokens of each row's own text; for rows whose ids may repeat."""
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+
+    @F.arrow_udf("long")
+    def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = Counter(shared.value)
+        for column in columns:
+            parts = [pa.array(counter(pa.compute.fill_null(p.column(0), ""))[0], pa.int64()) for p in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
+
+    return docs.withColumn(name, count(F.col(text)))
+
+
 def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_unigram.
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from talkmill.llm import common, exact, licenses, mixing, near, toxicity
+from talkmill.llm import common, exact, licenses, mixing, near, queries, toxicity
+from talkmill.llm.tokens import count_tokens, with_token_counts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -222,3 +223,16 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_sources(none, source="norm").count() == 0
     empty = mixing.mix_sources(docs.where("doc_id in (3, 4)"), source="norm")
     assert empty.count() == 2
+
+
+def test_mixing_by_token_counts(spark):
+    """Lines and unspaced texts weigh by their tokens, repeated ids by their own texts."""
+    rows = [(i % 90, "lines" if i % 2 else "spaced", ("\n" if i % 2 else " ").join(["word"] * 10)) for i in range(200)] + [(500, "lines", None), (501, "spaced", "")]
+    counted = with_token_counts(spark.createDataFrame(rows, "doc_id long, source string, text string"), queries.MODEL, "__n")
+    want = {(r.doc_id, r.n_tokens) for r in count_tokens(counted, queries.MODEL).collect()}
+    assert {(r.doc_id, r["__n"]) for r in counted.collect()} == want and counted.count() == len(rows)
+    drawn = {r.source: r.t for r in mixing.mix_sources(counted, entropy=None, repeats=None, blocks=16, tokens="__n").groupBy("source").agg(F.sum("__tokens").alias("t")).collect()}
+    assert drawn == {r.source: r.t for r in counted.groupBy("source").agg(F.sum("__n").alias("t")).collect()} and drawn["lines"] > 900
+    made = {r.doc_id: r.n_tokens for r in queries.op8_source_mixing(spark, "/root/testdata/sf0.001").collect()}
+    op7 = {r.doc_id: r.n_tokens for r in queries.op7_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert made and all(op7[i] == n for i, n in made.items())
