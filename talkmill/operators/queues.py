@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 
 def numeric_key(key: Column) -> Column:
-    """Keys as numbers; what isn't one comes last."""
-    return F.coalesce(F.try_to_number(F.trim(key), F.lit("9999999999")).cast("long"), F.lit(10**9).cast("long"))
+    """A sort key: whole numbers by their value, then what isn't one."""
+    value = F.trim(key).try_cast("long")
+    return F.struct(value.isNull().alias("other"), value.alias("value"))
 
 
 def ordered_union(*parts: DataFrame) -> DataFrame:
@@ -18,15 +21,25 @@ def ordered_union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)))
 
 
-def numbered(rows: DataFrame, *order) -> DataFrame:
-    """rows plus number from 1 in a total order, without one task for all: rows are sorted over partitions, and each
-    partition starts after those before it (their sizes are one small row each)."""
-    ranged = rows.withColumn("__order", F.struct(*order))
-    split = ranged.repartitionByRange("__order").sortWithinPartitions("__order").withColumn("__part", F.spark_partition_id())
-    sizes = split.groupBy("__part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    inside = Window.partitionBy("__part").orderBy("__order")
-    return split.withColumn("__in", F.row_number().over(inside)).join(F.broadcast(before), "__part").withColumn("number", F.col("before") + F.col("__in")).drop("__order", "__part", "__in", "before")
+#: Runs (of one group in one partition) up to which their offsets are broadcast; beyond, they are joined by shuffle.
+BROADCAST_RUNS = 200_000
+
+
+def numbered(rows: DataFrame, *order, within: tuple[str, ...] = ()) -> DataFrame:
+    """rows plus number, from 1 in a total order (of each group of `within`), without one task for all or for a group.
+
+    Rows are dealt by range and sorted once, and kept with their partition and place in it: were they dealt twice, the
+    bounds could differ. A group's rows in one partition are a run; runs are counted, and each starts after the group's
+    runs before it. There are no more runs than partitions and groups together.
+    """
+    ranged = rows.withColumns({"__group": F.struct(*within) if within else F.lit(0), "__order": F.struct(*within, *order)})
+    split = settled(ranged.repartitionByRange("__order").sortWithinPartitions("__order").drop("__order").withColumn("__at", F.monotonically_increasing_id()))
+    split = split.withColumn("__part", F.shiftright("__at", 33))
+    runs = split.groupBy("__group", "__part").agg(F.count("*").alias("size"), F.min("__at").alias("start"))
+    earlier = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settled(runs.select("__group", "__part", (F.coalesce(F.sum("size").over(earlier), F.lit(0)) - F.col("start") + 1).alias("__offset")))
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_RUNS else offsets
+    return split.join(offsets, ["__group", "__part"]).withColumn("number", F.col("__at") + F.col("__offset")).drop("__group", "__part", "__at", "__offset")
 
 
 def priority_queue(review: DataFrame, key: str, order: str, rules: list[tuple[str, Column]], limit: int) -> DataFrame:

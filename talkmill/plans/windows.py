@@ -44,10 +44,11 @@ def _(v):
     return m.select("rows", F.array_join("lang", ",").alias("langs"), F.array_join("source", ",").alias("sources"))
 
 
-@query("w03_t02_t05_numbering", """WITH {views}, u AS (SELECT 0 AS part, session_id AS key, turn_id FROM turns WHERE status = 'answered' UNION ALL SELECT 1, turn_id::VARCHAR, turn_id FROM turns WHERE status <> 'answered') SELECT part::INT AS part, turn_id, row_number() OVER (ORDER BY part, CASE WHEN regexp_full_match(trim(key), '[0-9]+') THEN key::BIGINT ELSE 1000000000 END, key, turn_id) AS number FROM u""")
+@query("w03_t02_t05_numbering", """WITH {views}, u AS (SELECT 0 AS part, session_id AS key, turn_id FROM turns WHERE status = 'answered' UNION ALL SELECT 1, CASE turn_id % 5 WHEN 0 THEN 'x' || turn_id WHEN 1 THEN (turn_id * 1000000)::VARCHAR ELSE ' ' || turn_id END, turn_id FROM turns WHERE status <> 'answered')
+SELECT part::INT AS part, turn_id, row_number() OVER (ORDER BY part, try_cast(trim(key) AS BIGINT) IS NULL, try_cast(trim(key) AS BIGINT), key, turn_id) AS number FROM u""")
 def _(v):
     a = v.turns.where("status = 'answered'").select(F.col("session_id").alias("key"), "turn_id")
-    b = v.turns.where("status <> 'answered'").select(F.col("turn_id").cast("string").alias("key"), "turn_id")
+    b = v.turns.where("status <> 'answered'").select(F.when(F.col("turn_id") % 5 == 0, F.concat(F.lit("x"), "turn_id")).when(F.col("turn_id") % 5 == 1, (F.col("turn_id") * 1000000).cast("string")).otherwise(F.concat(F.lit(" "), "turn_id")).alias("key"), "turn_id")
     rows = queues.ordered_union(a, b).withColumn("n", queues.numeric_key(F.col("key")))
     return queues.numbered(rows, "part", "n", "key", "turn_id").select("part", "turn_id", F.col("number").cast("long").alias("number"))
 

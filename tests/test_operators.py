@@ -8,6 +8,7 @@ import unicodedata
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,6 +161,38 @@ def test_numbering_is_total(spark):
     assert {r.i: r.number for r in got} == want
 
 
+def test_numbering_of_many_rows_with_a_payload(spark, tmp_path):
+    """Two million rows over eight partitions, written and read back: every number once, in order, all rows there."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = spark.range(2_000_000).select("id", F.xxhash64("id").alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 3).alias("payload"))
+        queues.numbered(rows, "k", "id").write.parquet(str(tmp_path / "n"))
+        got = spark.read.parquet(str(tmp_path / "n"))
+        assert got.agg(F.count("*"), F.count_distinct("number"), F.min("number"), F.max("number"), F.count_distinct("id")).first() == (2_000_000, 2_000_000, 1, 2_000_000, 2_000_000)
+        after = got.repartitionByRange(8, "number").sortWithinPartitions("number").withColumn("next", F.lead("k").over(Window.partitionBy(F.spark_partition_id()).orderBy("number")))
+        assert after.where("next < k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbering_within_groups(spark):
+    random.seed(3)
+    rows = [(random.choice(["a", "b", None, None, None]), random.randrange(30), i) for i in range(500)]
+    got = queues.numbered(spark.createDataFrame(rows, "g string, k long, i long").repartition(7), "k", "i", within=("g",)).collect()
+    want = {}
+    for g in ("a", "b", None):
+        want |= {i: n for n, (k, i) in enumerate(sorted((k, i) for h, k, i in rows if h == g), 1)}
+    assert {r.i: r.number for r in got} == want
+    assert queues.numbered(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_numeric_keys_take_their_value_others_come_last(spark):
+    keys = ["5000000000", "x", " 7 ", "-3", "1000000000", "", "1.5", None]
+    got = [r.k for r in spark.createDataFrame([(k,) for k in keys], "k string").orderBy(queues.numeric_key(F.col("k")), "k").collect()]
+    assert got == ["-3", " 7 ", "1000000000", "5000000000", None, "", "1.5", "x"]
+
+
 def test_priority_queue_equals_the_cascade(spark):
     random.seed(8)
     rows = [(o, random.randrange(12), random.random() < 0.2, random.random() < 0.3) for o in range(40)]
