@@ -39,7 +39,15 @@ def read_tags(rationale: Column, mark: str = "audit_tags=") -> Column:
     return F.when(found == "", F.array().cast("array<string>")).otherwise(F.split(found, ","))
 
 
-def cap_scores(er: Column, ip: Column, ex: Column, boundary: Column, reason: Column, tags: Column, both_cap=("template_low_information",)) -> dict[str, Column]:
+#: The audit tags, and those that cap both ER and IP at 1.
+AUDIT_TAGS = (
+    "template_low_information", "forced_positive_reframe", "unsupported_third_party_motive", "third_party_excuse", "unsupported_fact_completion",
+    "hard_boundary_fabrication", "relationship_decision_risk", "adult_coaching_question", "low_pressure_binary_question",
+)
+CAPPING_TAGS = ("template_low_information", "forced_positive_reframe", "unsupported_fact_completion", "hard_boundary_fabrication", "relationship_decision_risk")
+
+
+def cap_scores(er: Column, ip: Column, ex: Column, boundary: Column, reason: Column, tags: Column, both_cap: tuple[str, ...] = CAPPING_TAGS) -> dict[str, Column]:
     """Caps that tags put on scores; they compose."""
 
     def has(*names: str) -> Column:

@@ -34,9 +34,18 @@ def compact_for_char(text: Column) -> Column:
     return F.regexp_replace(text, r"[^一-鿿A-Za-z0-9]+", "")
 
 
-def strip_punctuation(text: Column) -> Column:
-    """Lower case without punctuation and white space."""
-    return F.regexp_replace(F.lower(text), f"(?:{SPACE}" + r"|[!-/:-@\[-`{-~\u2010-\u2027\u3001-\u3011\uFF01-\uFF0F\uFF1A-\uFF20])+", "")
+#: The punctuation that normalised utterances lack.
+PUNCTUATION = "，。！？、,.!?；;：:\"'“”‘’（）()《》<>-"
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def strip_punctuation(text: Column, marks: str = PUNCTUATION) -> Column:
+    """Without white space and the marks; letters keep their case."""
+    return F.regexp_replace(text, f"[{SPACE[1:-1]}{''.join('\\' + m if m.isascii() else m for m in marks)}]+", "")
 
 
 def _grams(chars: Column, n: int) -> Column:
@@ -47,8 +56,12 @@ def _grams(chars: Column, n: int) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct character n-grams; a text of n characters or fewer is its own only one, an empty one has none."""
-    grams = let(F.split(text, ""), lambda chars: F.array_distinct(_grams(chars, n)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).when(text.isNotNull(), grams)
+
+    def grams(said: Column) -> Column:
+        some = let(F.split(said, ""), lambda chars: F.array_distinct(_grams(chars, n)))
+        return F.when(F.length(said) == 0, F.array().cast("array<string>")).when(F.length(said) <= n, F.array(said)).when(said.isNotNull(), some)
+
+    return let(text, grams)
 
 
 def ngram_bag(text: Column, low: int, high: int, singles: Column | None = None, blocked: Column | None = None) -> Column:
@@ -80,9 +93,19 @@ def valid_tokens(tokens: Column, stopwords: Column, least: int = 2) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) >= least) & ~F.array_contains(stopwords, t) & ~t.rlike("^[0-9]+$") & t.rlike(r"[a-z一-鿿]"))
 
 
-def sentence_count(text: Column) -> Column:
+#: Characters that aren't white space; what ends a sentence, and what ends a line.
+VISIBLE, TERMINATORS = f"[^{SPACE[1:-1]}]", "。！？!?"
+NEWLINES = r"\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029"
+
+
+def sentence_count(text: Column, terminators: str = TERMINATORS) -> Column:
     """Parts between terminators that are not blank."""
-    return F.size(F.filter(F.split(text, r"[.!?\n。！？]+"), lambda s: F.trim(s) != "")).cast("long")
+    return F.size(F.filter(F.split(text, f"[{terminators}]+"), lambda s: s.rlike(VISIBLE))).cast("long")
+
+
+def several_lines(text: Column) -> Column:
+    """Whether two lines or more are not blank."""
+    return F.size(F.filter(F.split(text, f"[{NEWLINES}]"), lambda s: s.rlike(VISIBLE))) > 1
 
 
 def truncate(text: Column, limit: int, mark: str = "...") -> Column:

@@ -43,6 +43,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))).otherwise(0.0)
 
 
+def unit_cosine(a: Column, b: Column) -> Column:
+    """cosine() of vectors that are l2_normalize()d."""
+    return F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(0.0)
+
+
 def l2_normalize(a: Column) -> Column:
     norm = F.sqrt(dot(a, a))
     return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))

@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settled
+from .queues import numbered
 from .sampling import draw
 
 
-def round_robin(good: DataFrame, bad: DataFrame, group: str, order: str, bad_order: str) -> DataFrame:
-    """(order, bad_order): the k-th good row of a group with its bad row k mod n; groups without bad rows drop out."""
-    g = good.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
-    b = bad.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(bad_order)) - 1)
-    n = b.groupBy(group).agg(F.count("*").alias("n"))
-    return g.join(n, group).withColumn("r", F.pmod("k", "n")).join(b, [group, "r"]).select(order, bad_order)
+def round_robin(good: DataFrame, bad: DataFrame, group: str, order: str, bad_order: str, other: str = "other") -> DataFrame:
+    """(order, bad_order): the k-th good row of a group with a bad row, number k modulo theirs: of the same group, or of
+    group `other` (null groups are it) where it has none, or of all where that has none either. Without bad rows there is no pair.
+
+    No group is sorted in one task (numbered()); only counts by group say where a group's partners come from.
+    """
+    return _in_turn(_in_groups(good, group, order, other), bad, group, order, bad_order, other)
+
+
+def _in_groups(rows: DataFrame, group: str, order: str, other: str) -> DataFrame:
+    """(group, order, k): rows numbered from 0 in their group."""
+    return numbered(rows.select(F.coalesce(group, F.lit(other)).alias(group), order), order, within=(group,)).select(group, order, (F.col("number") - 1).alias("k"))
+
+
+def _in_turn(good: DataFrame, bad: DataFrame, group: str, order: str, bad_order: str, other: str) -> DataFrame:
+    """round_robin() of good rows that are numbered already."""
+    b = _in_groups(bad, group, bad_order, other).select(bad_order, F.col(group).alias("__of"), F.col("k").alias("r"))
+    n = b.groupBy("__of").agg(F.count("*").alias("n"))
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max(F.when(F.col("__of") == other, F.col("n"))), F.lit(0)).alias("others"))
+    source = settled(
+        good.select(group).distinct().join(n, F.col(group) == F.col("__of"), "left").crossJoin(F.broadcast(total)).select(
+            group, F.when(F.col("n") > 0, F.col(group)).when(F.col("others") > 0, other).alias("__of"), F.when(F.col("n") > 0, F.col("n")).when(F.col("others") > 0, F.col("others")).otherwise(F.col("total")).alias("n")
+        )
+    )
+    if not source.where("__of is null and n > 0").isEmpty():
+        every = numbered(bad.select(bad_order), bad_order).select(bad_order, F.lit(None).cast(b.schema["__of"].dataType).alias("__of"), (F.col("number") - 1).alias("r"))
+        b = b.unionByName(every)
+    asked = good.join(source.where("n > 0"), group).select(order, "__of", F.pmod("k", "n").alias("r"))
+    return asked.join(b, asked["__of"].eqNullSafe(b["__of"]) & (asked["r"] == b["r"])).select(order, bad_order)
 
 
 def blind(rows: DataFrame, hidden: list[str], blanks: list[str]) -> DataFrame:
@@ -41,14 +66,18 @@ def seeded_swap(rows: DataFrame, key: str, a: str, b: str, seed: str) -> DataFra
 def control_pairs(clean: DataFrame, partner: DataFrame, negative: DataFrame, boundary: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """(pair_type, good, other, left, right, swapped): clean against another clean row, a negative, a flagged one, and itself (a tie). Each side has (key, group)."""
 
+    numbers = _in_groups(clean, group, key, "other")
+
     def against(kind: str, other: DataFrame) -> DataFrame:
         renamed = other.select(F.col(key).alias("other"), group)
-        return round_robin(clean.select(key, group), renamed, group, key, "other").select(F.lit(kind).alias("pair_type"), F.col(key).alias("good"), "other")
+        return _in_turn(numbers, renamed, group, key, "other", "other").select(F.lit(kind).alias("pair_type"), F.col(key).alias("good"), "other")
 
     itself = clean.select(F.lit("duplicate_tie").alias("pair_type"), F.col(key).alias("good"), F.col(key).alias("other"))
     every = against("clean", partner).unionByName(against("negative", negative)).unionByName(against("boundary", boundary)).unionByName(itself)
     return seeded_swap(every.withColumns({"pair_key": F.concat_ws("/", "pair_type", "good"), "left": F.col("good"), "right": F.col("other")}), "pair_key", "left", "right", seed).drop("pair_key")
 
 
-def counted_exclusions(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("exclusion").agg(F.count("*").alias("n"))
+def counted_exclusions(marked: DataFrame, reasons: list[str]) -> DataFrame:
+    """(exclusion, n) of each reason, in their order and 0 where none has it."""
+    counts = marked.agg(*(F.count_if(F.col("exclusion") == r).alias(r) for r in reasons))
+    return counts.select(F.posexplode(F.array(*(F.struct(F.lit(r).alias("exclusion"), F.col(r).alias("n")) for r in reasons))).alias("position", "x")).select("position", "x.*")

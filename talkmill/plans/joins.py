@@ -8,6 +8,7 @@ from ..functions import text
 from ..functions.judge import string_array
 from ..operators import dedup, pairs, retrieval, scores, sessions
 from .registry import query
+from .scalars import PUNCTUATED
 
 WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{2,}}'))"
 
@@ -90,7 +91,7 @@ def _(v):
     return cells(d.select(F.col("lang").alias("persona")).distinct(), d.select(F.col("source").alias("scenario")).distinct())
 
 
-GRAM_SQL = """u AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(lower(text), '(?:[ \\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]|[!-/:-@\\[-`{-~\\x{2010}-\\x{2027}\\x{3001}-\\x{3011}\\x{FF01}-\\x{FF0F}\\x{FF1A}-\\x{FF20}])+', '', 'g') AS t FROM messages),
+GRAM_SQL = f"""u AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(text, '{PUNCTUATED}+', '', 'g') AS t FROM messages),
 o AS (SELECT min(id) AS id, t FROM u GROUP BY t), g AS (SELECT id, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END) AS g FROM o), n AS (SELECT id, count(*) AS n FROM g GROUP BY id)"""
 
 
@@ -113,27 +114,38 @@ def _(v):
     return dedup.dedupe_utterances(utterances(v), by_ratio=True)
 
 
-QUERY_SQL = """q AS (SELECT conv_id * 1000 + turn AS query_id, """ + WORDS.format("text") + """ AS t FROM messages WHERE role = 'student'), e AS (SELECT doc_id AS example_id, scenario, tier, """ + WORDS.format("text") + """ AS t FROM examples),
-p AS (SELECT query_id, example_id, scenario, tier, count(*) / sqrt(any_value(nq)::DOUBLE * any_value(ne)) AS score FROM (SELECT query_id, unnest(t) AS t, len(t) AS nq FROM q) JOIN (SELECT example_id, scenario, tier, unnest(t) AS t, len(t) AS ne FROM e) USING (t) GROUP BY ALL HAVING true)"""
+#: Examples that may be shown: no reds; scenarios are languages and two small ones. Conversations ask for one of these, or for one that no example has.
+SHOWN = """e AS (SELECT doc_id AS example_id, CASE WHEN doc_id % 97 = 0 THEN 'rare' WHEN doc_id % 53 = 0 THEN 'few' ELSE scenario END AS scenario, tier, """ + WORDS.format("text") + """ AS t FROM examples WHERE safety <> 'red'),
+q AS (SELECT conv_id * 1000 + turn AS query_id, ['en', 'fr', 'de', 'es', 'rare', 'none', 'few'][conv_id % 7 + 1] AS asked, """ + WORDS.format("text") + """ AS t FROM messages WHERE role = 'student'),
+h AS (SELECT asked, (SELECT count(*) FROM e WHERE e.scenario = x.asked AND tier = 'exemplar') AS one, (SELECT count(*) FROM e WHERE e.scenario = x.asked) AS two FROM (SELECT DISTINCT asked FROM q) x)"""
 
 
-@query("j11_w11_tiered_retrieval", "WITH {views}, " + QUERY_SQL.replace("GROUP BY ALL HAVING true", "GROUP BY query_id, example_id, scenario, tier") + """, r AS (SELECT *, CASE WHEN scenario = 'en' AND tier = 'exemplar' THEN 1 WHEN scenario = 'en' AND tier = 'reference' THEN 2 ELSE 3 END AS level FROM p WHERE score >= 0.2)
-SELECT query_id, example_id, level, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY level, round(score, 9) DESC, example_id) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level, round(score, 9) DESC, example_id) <= 3""")
+@query("j11_w11_tiered_retrieval", "WITH {views}, " + SHOWN + """, p AS (SELECT query_id, example_id, asked, scenario, tier, count(*) / sqrt(any_value(nq)::DOUBLE * any_value(ne)) AS score FROM (SELECT query_id, asked, unnest(t) AS t, len(t) AS nq FROM q) JOIN (SELECT example_id, scenario, tier, unnest(t) AS t, len(t) AS ne FROM e) USING (t) GROUP BY query_id, example_id, asked, scenario, tier),
+r AS (SELECT *, CASE WHEN scenario <> asked THEN 3 WHEN tier = 'exemplar' THEN 1 ELSE 2 END AS level, round(round(score, 9) + CASE WHEN tier = 'exemplar' THEN 0.08 + 0.04 ELSE 0.02 END::DOUBLE, 9) AS s FROM p JOIN h USING (asked) WHERE round(score, 9) >= 0.2),
+o AS (SELECT * FROM r WHERE level = 1 OR (level = 2 AND one < 3) OR (level = 3 AND two < 3))
+SELECT query_id, example_id, level, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY level, s DESC, example_id) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level, s DESC, example_id) <= 3""")
 def _(v):
-    q = v.messages.where("role = 'student'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_distinct(text.latin_words(F.col("text"))).alias("tokens"))
-    e = v.examples.select(F.col("doc_id").alias("id"), F.array_distinct(text.latin_words(F.col("text"))).alias("tokens"))
-    scored = retrieval.token_overlap(q, e, 0.1999).join(v.examples.select(F.col("doc_id").alias("example_id"), "scenario", "tier"), "example_id").withColumn("score", F.round("cosine", 9))
-    return retrieval.tiered(scored, "query_id", F.col("scenario") == "en", F.col("tier"), "score", "example_id", 3, 0.2).select("query_id", "example_id", "level", "score", "rank")
+    asked = F.element_at(string_array(("en", "fr", "de", "es", "rare", "none", "few")), (F.col("conv_id") % 7 + 1).cast("int"))
+    q = v.messages.where("role = 'student'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), asked.alias("scenario"), F.array_distinct(text.latin_words(F.col("text"))).alias("tokens"))
+    scenario = F.when(F.col("doc_id") % 97 == 0, "rare").when(F.col("doc_id") % 53 == 0, "few").otherwise(F.col("scenario"))
+    strategies = F.when(F.col("tier") == "exemplar", string_array(("restatement", "other", "guidance", "other", "guidance"))).otherwise(string_array(("other", "restatement")))
+    e = v.examples.where("safety <> 'red'").select(F.col("doc_id").alias("id"), scenario.alias("scenario"), "tier", strategies.alias("strategies"), F.array_distinct(text.latin_words(F.col("text"))).alias("tokens"))
+    return retrieval.tiered(q, e, 3, 0.2, ("restatement", "guidance"))
 
 
-@query("j12_memory_search", """WITH m AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, ['w' || vec_id % 7, 'x' || vec_id % 3] AS t FROM embeddings), p AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id,
-  round(0.65 * list_cosine_similarity(q.v, r.v) + 0.3 * len(list_intersect(q.t, r.t)) / 2 + 0.05 / (1 + ln(1 + r.vec_id / 24.0::DOUBLE)), 9) AS score FROM m q JOIN m r ON q.label = r.label WHERE q.vec_id % 100 = 0 AND r.vec_id % 4 <> 3)
+@query("j12_memory_search", """WITH m AS (SELECT vec_id, label, vec_id % 300 // 100 AS session, CASE WHEN vec_id % 6 = 5 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS v, ['w' || vec_id % 7, 'x' || vec_id % 3] AS t FROM embeddings), p AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id,
+  round(0.65 * greatest(list_cosine_similarity(q.v, r.v), 0) + 0.3 * len(list_intersect(q.t, r.t)) / 2 + 0.05 / (1 + ln(1 + r.vec_id / 24.0::DOUBLE)), 9) AS score FROM m q JOIN m r ON q.label = r.label WHERE q.vec_id % 100 = 0 AND r.vec_id % 4 <> 3 AND (q.vec_id % 200 = 0 OR q.session = r.session))
 SELECT query_id, record_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM p WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) <= 5""")
 def _(v):
     e = v.table("embeddings")
     tokens = F.array(F.concat(F.lit("w"), (F.col("vec_id") % 7).cast("string")), F.concat(F.lit("x"), (F.col("vec_id") % 3).cast("string")))
-    records = e.select(F.col("vec_id").alias("record_id"), F.col("label").alias("user"), F.col("embedding").alias("vector"), tokens.alias("tokens"), F.when(F.col("vec_id") % 4 == 3, "high").otherwise("low").alias("sensitivity"), (-3600.0 * F.col("vec_id")).alias("created"))
-    queries = records.where(F.col("record_id") % 100 == 0).select(F.col("record_id").alias("query_id"), "user", "vector", "tokens")
+    vector = F.when(F.col("vec_id") % 6 == 5, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    session = F.floor(F.col("vec_id") % 300 / 100)
+    records = e.select(
+        F.col("vec_id").alias("record_id"), F.col("label").alias("user"), session.alias("session"), vector.alias("vector"), tokens.alias("tokens"),
+        F.element_at(string_array(("low", "normal", "medium", "high")), (F.col("vec_id") % 4 + 1).cast("int")).alias("sensitivity"), (-3600.0 * F.col("vec_id")).alias("created"),
+    )
+    queries = records.where(F.col("record_id") % 100 == 0).select(F.col("record_id").alias("query_id"), "user", F.when(F.col("record_id") % 200 != 0, F.col("session")).alias("session"), "vector", "tokens")
     return retrieval.memory_search(queries, records, 0.0, 5, 0.2, rounded=9)
 
 
@@ -154,13 +166,18 @@ def _(v):
     return scores.metric_deltas(made, v.candidates, "turn_id", "candidate_id", F.col("er"))
 
 
-@query("j15_round_robin", """WITH {views}, g AS (SELECT doc_id, scenario, row_number() OVER (PARTITION BY scenario ORDER BY doc_id) - 1 AS k FROM examples WHERE safety = 'green'), b AS (SELECT doc_id AS bad_id, scenario, row_number() OVER (PARTITION BY scenario ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY scenario) AS n FROM examples WHERE safety = 'red')
-SELECT g.doc_id, b.bad_id FROM g JOIN b ON g.scenario = b.scenario AND g.k % b.n = b.r""")
+@query("j15_round_robin", """WITH {views}, g AS (SELECT doc_id, scenario, row_number() OVER (PARTITION BY scenario ORDER BY doc_id) - 1 AS k FROM examples WHERE safety = 'green'), b AS (SELECT doc_id AS bad_id, CASE WHEN source IN ('src0', 'src1') THEN 'other' ELSE scenario END AS scenario FROM examples WHERE safety = 'red' AND scenario NOT IN ('fr', 'es')),
+c AS (SELECT 'with' AS kind, bad_id, scenario AS s FROM b UNION ALL SELECT 'without', bad_id, scenario FROM b WHERE scenario <> 'other'), r AS (SELECT kind, bad_id, s, row_number() OVER (PARTITION BY kind, s ORDER BY bad_id) - 1 AS r, count(*) OVER (PARTITION BY kind, s) AS n FROM c UNION ALL SELECT kind, bad_id, '*', row_number() OVER (PARTITION BY kind ORDER BY bad_id) - 1, count(*) OVER (PARTITION BY kind) FROM c),
+f AS (SELECT kind, scenario, CASE WHEN scenario IN (SELECT s FROM c WHERE c.kind = x.kind) THEN scenario WHEN 'other' IN (SELECT s FROM c WHERE c.kind = x.kind) THEN 'other' ELSE '*' END AS s FROM (SELECT DISTINCT scenario FROM g), (SELECT DISTINCT kind FROM c) x)
+SELECT f.kind, g.doc_id, r.bad_id FROM g JOIN f USING (scenario) JOIN r ON r.kind = f.kind AND r.s = f.s AND g.k % r.n = r.r""")
 def _(v):
     from ..operators.reshape import round_robin
 
-    good, bad = (v.examples.where(F.col("safety") == s).select("doc_id", "scenario") for s in ("green", "red"))
-    return round_robin(good, bad.withColumnRenamed("doc_id", "bad_id"), "scenario", "doc_id", "bad_id")
+    good = v.examples.where("safety = 'green'").select("doc_id", "scenario")
+    bad = v.examples.where("safety = 'red' and scenario not in ('fr', 'es')").select(F.col("doc_id").alias("bad_id"), F.when(F.col("source").isin("src0", "src1"), "other").otherwise(F.col("scenario")).alias("scenario"))
+    made = {"with": bad, "without": bad.where("scenario <> 'other'")}
+    one, two = (round_robin(good, b, "scenario", "doc_id", "bad_id").withColumn("kind", F.lit(k)) for k, b in made.items())
+    return one.unionByName(two)
 
 
 @query("j16_j18_scored", """WITH {views} SELECT c.turn_id, c.candidate_id, t.scenario, c.total FROM candidates c JOIN turns t USING (turn_id) WHERE t.status = 'answered' AND c.orientation = 'emotion_first' AND c.er IN (1, 2)""")
@@ -169,20 +186,19 @@ def _(v):
     return scored.join(v.turns.where("status = 'answered'").select("turn_id", "scenario"), "turn_id").select("turn_id", "candidate_id", "scenario", "total")
 
 
-W8 = "regexp_extract_all(lower(text), '[^ \\t\\n\\r]+')"
+C8 = "regexp_replace(coalesce(text, ''), '[^\\x{4E00}-\\x{9FFF}A-Za-z0-9]+', '', 'g')"
+G8 = "CASE WHEN length(c) = 0 THEN [] WHEN length(c) < 8 THEN [c] ELSE list_distinct(list_transform(range(1, length(c) - 6), lambda i: substr(c, i, 8))) END"
 
 
-@query("j17_copy_overlap", f"""WITH d AS (SELECT doc_id, {W8} AS w FROM documents), r AS (SELECT item_id, {W8} AS w FROM benchmark),
-dg AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM d), rg AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' ')))) AS g FROM r),
-o AS (SELECT doc_id, item_id, count(*) / any_value(n) AS overlap FROM (SELECT doc_id, unnest(g) AS g, len(g) AS n FROM dg) JOIN rg USING (g) GROUP BY ALL)
-SELECT doc_id AS id, item_id AS best, round(overlap, 9) AS overlap FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) = 1""".replace("/ any_value(n) AS overlap FROM (SELECT doc_id, unnest(g) AS g, len(g) AS n FROM dg) JOIN rg USING (g) GROUP BY ALL", "/ any_value(n) AS overlap FROM (SELECT doc_id, unnest(g) AS g, len(g) AS n FROM dg) JOIN rg USING (g) GROUP BY doc_id, item_id"))
+@query("j17_copy_overlap", f"""WITH d AS (SELECT doc_id, {G8} AS g FROM (SELECT doc_id, {C8} AS c FROM documents)), r AS (SELECT item_id, unnest({G8}) AS g FROM (SELECT item_id, {C8} AS c FROM benchmark)),
+o AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(g) AS g FROM d) JOIN r USING (g) GROUP BY doc_id, item_id), t AS (SELECT doc_id, item_id, n FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id) = 1)
+SELECT doc_id AS id, item_id AS best, round(coalesce(n / len(g), 0), 4) AS overlap FROM d LEFT JOIN t USING (doc_id)""")
 def _(v):
     def grams(t, key):
-        words = F.regexp_extract_all(F.lower("text"), F.lit("[^ \t\n\r]+"), 0)
-        runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.slice(w, i, 8))))
-        return v.table(t).select(F.col(key).alias("id"), text.let(words, lambda w: F.when(F.size(w) >= 8, runs(w)).otherwise(F.array().cast("array<bigint>"))).alias("grams"))
+        compact = text.compact_for_char(F.coalesce("text", F.lit("")))
+        return v.table(t).select(F.col(key).alias("id"), F.transform(text.char_ngrams(compact, 8), lambda g: F.xxhash64(g)).alias("grams"))
 
-    return retrieval.copy_overlap(grams("documents", "doc_id"), grams("benchmark", "item_id"), 8).withColumn("overlap", F.round("overlap", 9))
+    return retrieval.copy_overlap(grams("documents", "doc_id"), grams("benchmark", "item_id"))
 
 
 @query("j19_expected_observed", """WITH {views} SELECT a.turn_id, (a.er = b.er) AS winner_ok, a.boundary = b.boundary AS strict_ok, NOT a.boundary OR b.boundary AS lenient_ok, a.ex = b.ex AS order_ok FROM candidates a JOIN candidates b ON a.turn_id = b.turn_id AND a.cand_no = 1 AND b.cand_no = 2""")

@@ -8,23 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import judge, text, vectors
 from .registry import query
 
+#: A class of white space and the punctuation of text.PUNCTUATION.
+PUNCTUATED = r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}，。！？、,.!?；;：:\"''“”‘’（）()《》<>-]"
 SPACES = r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 @query("f01_f04_normalise", rf"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '{SPACES}+', ' ', 'g'))) AS normal, length(regexp_replace(text, '[^\x{{4E00}}-\x{{9FFF}}A-Za-z0-9]+', '', 'g')) AS compact,
-  md5(regexp_replace(lower(text), '(?:{SPACES}|[!-/:-@\[-`{{-~\x{{2010}}-\x{{2027}}\x{{3001}}-\x{{3011}}\x{{FF01}}-\x{{FF0F}}\x{{FF1A}}-\x{{FF20}}])+', '', 'g')) AS bare FROM documents""")
+  md5(regexp_replace(text, '{PUNCTUATED}+', '', 'g')) AS bare FROM documents""")
 def _(v):
     t = F.col("text")
     return v.table("documents").select("doc_id", F.md5(text.normalize_text(t)).alias("normal"), F.length(text.compact_for_char(t)).cast("long").alias("compact"), F.md5(text.strip_punctuation(t)).alias("bare"))
 
 
-@query("f02_nfkc", "SELECT doc_id, nfc_normalize(lang || source) AS name, md5(text) AS hash FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def _(v):
-    plain = F.length("text") == F.octet_length("text")
-    return v.table("documents").where(plain).select("doc_id", text.nfkc(F.concat("lang", "source")).alias("name"), F.md5(text.nfkc("text")).alias("hash"))
-
-
-@query("f02_nfkc_all")
+@query("f02_nfkc")
 def _(v):
     return v.table("documents").select("doc_id", text.nfkc(F.concat("lang", "source")).alias("name"), F.md5(text.nfkc("text")).alias("hash"))
 
@@ -89,7 +85,7 @@ def _(v):
 
 
 @query("f17_f19_f29_sentences", r"""WITH d AS (SELECT doc_id, text, regexp_split_to_array(text, '[.!?\n]+') AS p FROM documents)
-SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?\n。！？]+'), lambda s: trim(s) <> ''))::BIGINT AS sentences,
+SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[。！？!?]+'), lambda s: regexp_matches(s, '[^""" + SPACES[1:-1] + r"""]')))::BIGINT AS sentences,
   CASE WHEN length(t) <= 60 THEN t ELSE rtrim(t[1:57]) || '...' END AS short,
   md5(array_to_string(list_filter(list_transform(string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS cleaned,
   coalesce(list_filter(list_transform(p, lambda s: trim(s)), lambda s: s <> '')[-1], '') AS last_sentence,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import history, signals
-from ..streaming.replay import replay
+from ..streaming.replay import replay, scratch, stream_of
 from .registry import query
-from .rules import SIGNALS
+from .rules import FINAL, LEVELS, NAMES, SIGNALS
+from .views import drawn, spoken
 
 
 @query("r01_rolling_history", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role <> 'system') SELECT 's' || conv_id AS session_id, least(count(*), 4) AS n, sum(length(text)) FILTER (k <= 4)::BIGINT AS chars FROM r GROUP BY conv_id""")
@@ -28,12 +29,14 @@ def _(v):
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
 
 
-@query("r04_s11_triage_stream", "WITH {views}, " + SIGNALS + r""", l AS (SELECT *, CASE WHEN p_red >= 0.45 THEN 'red' WHEN p_yellow + p_red >= 0.55 THEN 'yellow' ELSE 'green' END AS level FROM d)
-SELECT doc_id, CASE WHEN abuse THEN 'red' WHEN level = 'yellow' AND NOT (bullying OR idiom) AND p_yellow + p_red < 0.65 THEN 'green' WHEN level <> 'red' THEN level WHEN idiom THEN CASE WHEN p_yellow + p_red >= 0.55 THEN 'yellow' ELSE 'green' END WHEN bullying THEN 'yellow' WHEN p_red < 0.8 THEN 'yellow' ELSE 'red' END AS level FROM l""")
+@query("r04_s11_triage_stream", "WITH {views}, " + SIGNALS + ", " + LEVELS + f" SELECT doc_id, {NAMES} AS signals, {FINAL} AS level FROM l")
 def _(v):
-    from .views import drawn
-
-    return replay(v.spark, f"{v.sf_dir}/documents.parquet", lambda s: signals.triage(drawn(s)).select("doc_id", "level"))
+    """Each message is judged as it comes and appended to the safety log, which is read back."""
+    folder = scratch(v.spark)
+    source = stream_of(v.spark, f"{v.sf_dir}/documents.parquet")
+    levels = signals.triage(spoken(drawn(source))).select("doc_id", F.array_join("signals", ",").alias("signals"), "level")
+    signals.append_log(levels, f"{folder}/log", f"{folder}/state").awaitTermination()
+    return v.spark.read.schema(levels.schema).parquet(f"{folder}/log")
 
 
 @query("r05_scored_turns", """SELECT a.event_id AS turn_id, b.value AS score FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id = b.event_id AND a.event_type <> 'purchase'""")

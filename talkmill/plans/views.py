@@ -88,6 +88,26 @@ def drawn(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", (a / (a + b + c)).alias("p_green"), (b / (a + b + c)).alias("p_yellow"), (c / (a + b + c)).alias("p_red"))
 
 
+#: A saying for each family of safety signals; document d has those of the bits of d, so all combinations occur. Some documents say something else altogether.
+SAYINGS = ("what a clown", "you moron", "I wish I was  dead", "I will kill myself", "I cut myself", "there are pills", "tonight", "I made a plan", "not really")
+INSTEAD = ("Hello!", "I'm a bit tired.", "$env:MODE = 1 python.exe --fast", "cd src\nuvicorn app --port=80 run.py", "cd src uvicorn app --port=80 run.py")
+
+
+def spoken(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text ..) with texts that say what SAYINGS and INSTEAD list."""
+    bits = (F.when(F.shiftright("doc_id", i) % 2 == 1, F.lit(f". {s}")).otherwise("") for i, s in enumerate(SAYINGS))
+    text = F.concat(F.coalesce("text", F.lit("")), *bits)
+    for k, said in enumerate(INSTEAD):
+        text = F.when(F.col("doc_id") % 23 == k, said).otherwise(text)
+    return rows.withColumn("text", text)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+SPOKEN = "spoken AS (SELECT * REPLACE (CASE doc_id % 23 " + " ".join(f"WHEN {k} THEN {_quoted(s)}" for k, s in enumerate(INSTEAD)) + " ELSE coalesce(text, '') || " + " || ".join(f"CASE WHEN (doc_id >> {i}) % 2 = 1 THEN {_quoted('. ' + s)} ELSE '' END" for i, s in enumerate(SAYINGS)) + " END AS text) FROM probabilities)"
+
 SQL_VIEWS = """
 candidates AS (SELECT *, er + ip + ex + 0.5::DOUBLE * (casel / 10.0::DOUBLE) AS total FROM (
   SELECT l_orderkey AS turn_id, l_linenumber::BIGINT AS cand_no, 'c' || l_linenumber AS candidate_id,

@@ -166,6 +166,15 @@ def _(v):
     return pairs.filter_pairs(wide, tests, "text", "turn_id").select("turn_id", "exclusion")
 
 
+@query("t10_exclusion_counts", """WITH {views}, w AS (SELECT a.boundary AS f1, b.boundary AS f2, t.scenario FROM candidates a JOIN candidates b ON a.turn_id = b.turn_id AND a.cand_no = 1 AND b.cand_no = 2 JOIN turns t ON t.turn_id = a.turn_id), c AS (SELECT count(*) FILTER (scenario = '5-LOW') AS x, count(*) FILTER (scenario <> '5-LOW' AND f1 AND f2) AS y FROM w)
+SELECT 0 AS position, 'fallback_text' AS exclusion, x AS n FROM c UNION ALL SELECT 1, 'both_flagged', y FROM c UNION ALL SELECT 2, 'never', 0 FROM c""")
+def _(v):
+    wide = pairs.pair_table(v.candidates.join(v.turns.select("turn_id", "scenario"), "turn_id"), "turn_id", "candidate_id", ["boundary"], ["scenario"])
+    tests = [("fallback_text", F.col("scenario") == "5-LOW"), ("both_flagged", F.col("c1_boundary") & F.col("c2_boundary"))]
+    marked = pairs.filter_pairs(wide.withColumn("text", F.col("turn_id").cast("string")), tests, "text", "turn_id")
+    return reshape.counted_exclusions(marked, ["fallback_text", "both_flagged", "never"])
+
+
 @query("t11_t12_blind", """WITH {views} SELECT turn_id, cand_no, '' AS A_ER, unnest(['er', 'ip', 'ex']) AS source, unnest([er, ip, ex]) AS score FROM candidates""")
 def _(v):
     sheet = reshape.blind(v.candidates, ["er", "ip", "ex", "total", "boundary", "tags", "casel"], ["A_ER"])
@@ -174,12 +183,14 @@ def _(v):
     return sheet.withColumn("key", key).join(holdout, "key").select("turn_id", "cand_no", "A_ER", "source", "score")
 
 
-@query("t13_t15_t19_controls", """WITH {views}, g AS (SELECT doc_id, scenario, row_number() OVER (PARTITION BY scenario ORDER BY doc_id) - 1 AS k FROM examples WHERE safety = 'green'), o AS (SELECT CASE safety WHEN 'green' THEN 'clean' WHEN 'red' THEN 'boundary' ELSE 'negative' END AS kind, doc_id AS other, scenario, row_number() OVER (PARTITION BY scenario, safety ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY scenario, safety) AS n FROM examples WHERE safety IN ('red', 'yellow', 'green')),
-p AS (SELECT kind AS pair_type, doc_id AS good, other FROM g JOIN o ON g.scenario = o.scenario AND k % n = r UNION ALL SELECT 'duplicate_tie', doc_id, doc_id FROM g), s AS (SELECT *, ('0x' || substr(md5('swap|' || pair_type || '/' || good), 1, 1))::INT % 2 = 1 AS swapped FROM p)
+@query("t13_t15_t19_controls", """WITH {views}, g AS (SELECT doc_id, scenario, row_number() OVER (PARTITION BY scenario ORDER BY doc_id) - 1 AS k FROM examples WHERE safety = 'green'), c AS (SELECT CASE safety WHEN 'green' THEN 'clean' WHEN 'red' THEN 'boundary' ELSE 'negative' END AS kind, doc_id AS other, scenario AS s FROM examples WHERE safety IN ('red', 'yellow', 'green') AND NOT (safety = 'red' AND scenario IN ('de', 'fr'))),
+o AS (SELECT kind, other, s, row_number() OVER (PARTITION BY kind, s ORDER BY other) - 1 AS r, count(*) OVER (PARTITION BY kind, s) AS n FROM c UNION ALL SELECT kind, other, '*', row_number() OVER (PARTITION BY kind ORDER BY other) - 1, count(*) OVER (PARTITION BY kind) FROM c),
+f AS (SELECT kind, scenario, CASE WHEN scenario IN (SELECT s FROM c WHERE c.kind = x.kind) THEN scenario ELSE '*' END AS s FROM (SELECT DISTINCT scenario FROM g), (SELECT DISTINCT kind FROM c) x),
+p AS (SELECT f.kind AS pair_type, doc_id AS good, other FROM g JOIN f USING (scenario) JOIN o ON o.kind = f.kind AND o.s = f.s AND k % n = r UNION ALL SELECT 'duplicate_tie', doc_id, doc_id FROM g), s AS (SELECT *, ('0x' || substr(md5('swap|' || pair_type || '/' || good), 1, 1))::INT % 2 = 1 AS swapped FROM p)
 SELECT pair_type, good, other, CASE WHEN swapped THEN other ELSE good END AS "left", CASE WHEN swapped THEN good ELSE other END AS "right", swapped FROM s""")
 def _(v):
     side = lambda s: v.examples.where(F.col("safety") == s).select("doc_id", "scenario")
-    return reshape.control_pairs(side("green"), side("green"), side("yellow"), side("red"), "scenario", "doc_id", "swap")
+    return reshape.control_pairs(side("green"), side("green"), side("yellow"), side("red").where("scenario not in ('de', 'fr')"), "scenario", "doc_id", "swap")
 
 
 @query("t16_t18_queue_rows", """WITH {views} SELECT turn_id, 'calibration' AS row_type, er::VARCHAR AS human, boundary::VARCHAR AS flag FROM candidates WHERE cand_no = 1 UNION ALL SELECT turn_id, 'review', '', boundary::VARCHAR FROM candidates WHERE cand_no = 2""")

@@ -15,6 +15,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a stream; its path is given as a pattern, since a plain path must be a folder."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def replay(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append", **conf: str) -> DataFrame:
     """The rows that plan gives over path as a stream, written batch by batch as Parquet and read back."""
     folder = scratch(spark)
@@ -22,8 +27,7 @@ def replay(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, since a plain path must be a folder
-        made = plan(source)
+        made = plan(stream_of(spark, path))
         write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
         query = made.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()

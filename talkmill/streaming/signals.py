@@ -24,7 +24,7 @@ def triage(messages: DataFrame, red: float = 0.45, yellow: float = 0.55) -> Data
     """messages (text, p_yellow, p_red) plus signals and level, without state: what batches get, streams get too."""
     signals = rules.safety_signals(F.col("text"))
     level = rules.thresholds(F.col("p_yellow"), F.col("p_red"), F.lit(red), F.lit(yellow))
-    final = rules.soft_rules(level, F.col("p_yellow"), F.col("p_red"), F.col("text"), signals, ["hello", "thanks"], "^(?:i am|i'm) (?:a bit )?(?:tired|sad)$", yellow)
+    final = rules.soft_rules(level, F.col("p_yellow"), F.col("p_red"), F.col("text"), signals, yellow)
     return messages.withColumns({"signals": signals["signals"], "level": final})
 
 

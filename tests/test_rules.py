@@ -21,7 +21,7 @@ def test_length_bounds(spark, length, reason):
 
 
 def test_crisis_skips_later_rules_but_not_missing_fields(spark):
-    rows = [("danger " + "a." * 300, "x"), ("danger", ""), ("b" * 30 + ". " * 3 + "x@y", "x"), ("One two three four five. " * 6, "x")]
+    rows = [("danger " + "a." * 300, "x"), ("danger", ""), ("b" * 30 + "! " * 3 + "x@y", "x"), ("One two three four five! " * 6, "x")]
     got = rules.mechanical_reason(F.col("t"), rules.missing_columns(["s"]), ["danger"], "@", 20, 220, 5)
     assert [r[0] for r in values(spark, rows, "t string, s string", r=got)] == [None, "missing_fields:s", "non_student_or_prompt_marker", "sentence_count_out_of_range"]
 
@@ -43,18 +43,18 @@ def test_disposition_order(spark):
 @pytest.mark.parametrize(
     "said,level,red,expected",
     [
-        ("hello", "red", 0.9, "green"), ("I am tired", "yellow", 0.5, "green"), ("I will end my life tonight", "green", 0.0, "red"), ("I want to disappear", "red", 0.9, "yellow"),
-        ("PATH=/usr/bin run.py --fast", "red", 0.9, "green"), ("so be it", "yellow", 0.1, "green"), ("what a clown", "red", 0.9, "yellow"), ("you moron", "red", 0.9, "yellow"), ("so be it", "red", 0.7, "yellow"), ("so be it", "red", 0.85, "red"),
+        ("Hello!", "red", 0.9, "green"), ("I am tired", "yellow", 0.5, "green"), ("I will end my life tonight", "green", 0.0, "red"), ("I want to disappear", "red", 0.9, "yellow"),
+        ("$env:MODE=1 python.exe --fast", "red", 0.9, "green"), ("git pull --all\n\nrun.py", "red", 0.9, "green"), ("git pull --all run.py", "red", 0.9, "red"), ("git pull --all run.py\n \n", "red", 0.9, "red"), ("so be it", "yellow", 0.1, "green"), ("what a clown", "red", 0.9, "yellow"), ("you moron", "red", 0.9, "yellow"), ("so be it", "red", 0.7, "yellow"), ("so be it", "red", 0.85, "red"),
     ],
 )
 def test_soft_rules(spark, said, level, red, expected):
-    got = rules.soft_rules(F.lit(level), F.lit(0.0), F.col("p"), F.col("t"), rules.safety_signals(F.col("t")), ["hello"], "^i am tired$", 0.3)
+    got = rules.soft_rules(F.lit(level), F.lit(0.0), F.col("p"), F.col("t"), rules.safety_signals(F.col("t")), 0.3, ["hello"], "^iamtired$")
     assert values(spark, [(said, red)], "t string, p double", r=got) == [(expected,)]
 
 
 SAID = {
-    "passive_death_ideation": "I want to disappear", "active_suicide_ideation": "I will kill myself", "self_harm_expression": "I hurt myself", "method": "the pills", "time": "tonight",
-    "preparation": "I made a plan", "bullying": "you moron", "idiom": "what a clown", "negation": "not really",
+    "passive_death_ideation": "I want to  disappear", "active_suicide_ideation": "I will KILL myself", "self_harm_expression": "I hurt myself", "method_signal": "the pills", "time_signal": "tonight",
+    "preparation_signal": "I made a plan", "bullying_context": "you moron", "idiom_expression": "what a clown", "negation_or_downgrade": "not really",
 }
 
 
@@ -67,9 +67,9 @@ def test_safety_signals_by_all_families(spark):
     got = values(spark, rows, "t string", s=F.array_sort(signals["signals"]), **{n: signals[n] for n in names})
     for c, g in zip(cases, got):
         intent = c["active_suicide_ideation"] or c["passive_death_ideation"] or c["self_harm_expression"]
-        concrete = c["method"] or c["time"] or c["preparation"]
-        red = (c["self_harm_expression"] and c["method"]) or (intent and concrete and not c["negation"])
-        want = (red, intent, c["idiom"] and not intent and not c["method"], c["bullying"] and not intent and not concrete, c["passive_death_ideation"] and c["negation"] and not concrete)
+        concrete = c["method_signal"] or c["time_signal"] or c["preparation_signal"]
+        red = (c["self_harm_expression"] and c["method_signal"]) or (intent and concrete and not c["negation_or_downgrade"])
+        want = (red, intent, c["idiom_expression"] and not intent and not c["method_signal"], c["bullying_context"] and not intent and not concrete, c["passive_death_ideation"] and c["negation_or_downgrade"] and not concrete)
         assert g == (sorted(k for k in c if c[k]), *want), c
 
 
@@ -78,12 +78,12 @@ def test_safety_signals_by_all_families(spark):
     [
         ("I hurt myself with pills", "red", "red"), ("I hurt myself with pills, not really", "red", "red"), ("I want to disappear tonight", "red", "red"), ("I want to disappear, there is a bridge", "red", "red"),
         ("I will kill myself, I made a plan", "red", "red"), ("I will kill myself tonight, not really", "yellow", "yellow"), ("I will kill myself", "yellow", "yellow"), ("what a clown with pills", "red", "yellow"), ("you moron, tonight", "red", "yellow"),
-        ("I want to disappear, not really", "yellow", "yellow"), ("you scum", "red", "red"),
+        ("I want to disappear, not really", "yellow", "yellow"), ("you scum", "red", "yellow"),
     ],
 )
 def test_reds_by_signals(spark, said, soft, strict):
     signals = rules.safety_signals(F.col("t"))
-    a = rules.soft_rules(F.lit("red"), F.lit(0.0), F.lit(0.9), F.col("t"), signals, ["hello"], "^i am tired$", 0.3)
+    a = rules.soft_rules(F.lit("red"), F.lit(0.0), F.lit(0.9), F.col("t"), signals, 0.3)
     b = rules.policy_level(F.lit(0.0), F.lit(0.9), signals, F.lit(0.4), F.lit(0.6), F.lit("strict"))
     assert values(spark, [(said,)], "t string", a=a, b=b) == [(soft, strict)]
 
@@ -91,7 +91,26 @@ def test_reds_by_signals(spark, said, soft, strict):
 def test_caps_compose(spark):
     rows = [(["template_low_information", "adult_coaching_question"],), (["third_party_excuse", "hard_boundary_fabrication"],), ([],)]
     c = judge.cap_scores(F.lit(2), F.lit(2), F.lit(2), F.lit(False), F.lit(""), F.col("t"))
-    assert values(spark, rows, "t array<string>", **c) == [(1, 1, 1, False, ""), (2, 0, 2, True, "hard_boundary_fabrication"), (2, 2, 2, False, "")]
+    assert values(spark, rows, "t array<string>", **c) == [(1, 1, 1, False, ""), (1, 0, 2, True, "hard_boundary_fabrication"), (2, 2, 2, False, "")]
+
+
+@pytest.mark.parametrize("tag", ["template_low_information", "forced_positive_reframe", "unsupported_fact_completion", "hard_boundary_fabrication", "relationship_decision_risk"])
+def test_five_tags_cap_er_and_ip(spark, tag):
+    c = judge.cap_scores(F.lit(2), F.lit(2), F.lit(2), F.lit(False), F.lit(""), F.col("t"))
+    assert [r[:3] for r in values(spark, [([tag],)], "t array<string>", **c)] == [(1, 1, 2)]
+
+
+def test_ends_do_not_count_in_length(spark):
+    got = rules.mechanical_reason(F.col("t"), F.array().cast("array<string>"), ["danger"], "@", 20, 220, 5)
+    rows = [(" " * 10 + "a" * 15,), ("　" + "a" * 20 + "\n",), ("a" * 220 + "   ",), ("About 3.5 of 4.2. Well" + "!" * 5,)]
+    assert [r[0] for r in values(spark, rows, "t string", r=got)] == ["text_length_out_of_range", None, None, None]
+    assert values(spark, [("a" * 180 + " ",), ("a" * 181,), ("a" * 221,)], "t string", r=rules.needs_length_review(F.col("t"), 180, 220)) == [(False,), (True,), (False,)]
+
+
+def test_punctuation_and_sentences(spark):
+    rows = [("Ab, c d!",), ("ab",), ("3.5 is. one? two！",), ("", )]
+    got = values(spark, rows, "t string", p=text.strip_punctuation(F.col("t")), n=text.sentence_count(F.col("t")))
+    assert got == [("Abcd", 1), ("ab", 1), ("35isonetwo", 2), ("", 0)]
 
 
 def test_tags_are_appended_once_and_read_back(spark):
