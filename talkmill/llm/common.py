@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,14 +12,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import Rounds, settled
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the reliable checkpoint folder, so lost executors can reread it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """Compute df once and keep it in the session's checkpoint folder, so lost executors can reread it."""
+    return settled(df)
+
+
+#: Groups up to which a table of them is broadcast (some 20 to 40 MB); beyond, only those of more than HOT rows are (there are
+#: no more of these than rows / HOT) and the rest are joined by shuffle.
+BROADCAST_GROUPS, HOT = 200_000, 1_000_000
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of docs has, upper or lower case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
+    """rows left-joined with groups (key, n: how many rows of it there are, ..), which were computed before; null: no
+    group. No key gathers its rows in one task: small tables go to the rows, of large ones the hot groups do."""
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), key, "left")
+    key = [key] if isinstance(key, str) else key
+    more = [c for c in groups.columns if c not in key]
+    hot = F.broadcast(groups.where(F.col(n) > HOT))
+    one = rows.join(hot, key)
+    other = rows.join(hot.select(*key), key, "left_anti").join(groups.where(F.col(n) <= HOT), key, "left")
+    return one.select(*rows.columns, *more).unionByName(other.select(*rows.columns, *more))
 
 
 def ascii_lower(text):
@@ -168,14 +194,14 @@ def _stars(e: DataFrame) -> DataFrame:
     """components() by alternating steps; e is checkpointed, with u > v."""
     if e.isEmpty():
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    seen = None
+    seen, rounds = None, Rounds(e.sparkSession)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = rounds.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
