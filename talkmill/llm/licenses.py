@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -23,7 +24,9 @@ NOTICES = (
 )
 BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
 TAG = "spdx license identifier"
-_FAMILY = re.compile(r"(agpl|lgpl|gpl|apache|mit|bsd|mpl|epl|isc|cc0|cc-by(?:-[a-z]+)*?)(?=$|[-.+0-9])")
+#: An identifier is its family's name, then a version, a number of clauses or a variant: what stands before the first
+#: part that begins with a digit, or that is one of these words.
+_PART = re.compile(r"-(?=\d|only$|or-later$|clause|no-|style|modern|variant)")
 #: What follows a tag on its line.
 _EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
@@ -31,9 +34,8 @@ _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
 def family(identifier: str) -> str:
-    """The label of an identifier: its family, or else itself."""
-    found = _FAMILY.match(identifier)
-    return found[1] if found else identifier
+    """The label of any public identifier: its family's name (gpl-2.0-or-later: gpl, bsd-3-clause: bsd, cc-by-sa-4.0: cc-by-sa, 0bsd, zlib and the like: themselves)."""
+    return _PART.split(identifier.rstrip("+"), maxsplit=1)[0]
 
 
 def parse_expression(text: str) -> list[str] | None:
@@ -73,36 +75,59 @@ def parse_expression(text: str) -> list[str] | None:
     return best
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The choices that an expression leaves: sets of identifiers that hold together (exceptions are named after theirs)."""
-    stack: list[list[frozenset[str]]] = []
+class Term(NamedTuple):
+    """A value on the evaluation stack. choices: the sets of licences of which one must be kept to, None where there
+    would be more than MOST_CHOICES; need: licences that all choices share; may: all of them; text: the expression
+    with brackets where they matter; binds: of its outermost operator."""
+
+    choices: frozenset[frozenset[str]] | None
+    need: frozenset[str]
+    may: frozenset[str]
+    text: str
+    binds: int
+
+
+#: Choices that are listed; what all of them ask for, and what any may, is known whatever their number.
+MOST_CHOICES = 64
+
+
+def evaluate(postfix: list[str]) -> Term:
+    """What an expression asks for: or joins the choices of its sides, and combines each with each, with names an exception.
+
+    A choice that asks for more than another does is dropped. need and may are exact at any size: what an or needs is
+    what both sides need, what an and needs is what either does.
+    """
+    stack: list[Term] = []
     for token in postfix:
         if token not in _BINDS:
-            stack.append([frozenset([token])])
+            one = frozenset([token])
+            stack.append(Term(frozenset([one]), one, one, token, 4))
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            both = left + right
-        elif token == "and":
-            both = [a | b for a in left for b in right]
-        else:
-            both = [frozenset(f"{a} with {b}" for a in x for b in y) for x in left for y in right]
-        stack.append(list(dict.fromkeys(both)))
+        binds = _BINDS[token]
+        said = [f"({x.text})" if x.binds < binds else x.text for x in (left, right)]
+        text = f" {token} ".join(said)
+        if token == "with":
+            under = lambda ids, name=right.text: frozenset(f"{x} with {name}" for x in ids)
+            stack.append(Term(left.choices and frozenset(map(under, left.choices)), under(left.need), under(left.may), text, binds))
+            continue
+        choices = None
+        if left.choices is not None and right.choices is not None:
+            made = left.choices | right.choices if token == "or" else frozenset(a | b for a in left.choices for b in right.choices) if len(left.choices) * len(right.choices) <= MOST_CHOICES**2 else None
+            if made is not None:
+                made = frozenset(c for c in made if not any(d < c for d in made))
+                choices = made if len(made) <= MOST_CHOICES else None
+        need = left.need & right.need if token == "or" else left.need | right.need
+        stack.append(Term(choices, need, left.may | right.may, text, binds))
     return stack[0]
 
 
-def expression_labels(text: str) -> list[str]:
-    """Families of all identifiers in the expression that text begins with. Only distinct operands are kept, so its
-    size follows the text's, not the number of choices."""
-    postfix = parse_expression(text)
-    out, skip = [], set()
-    for i, token in enumerate(postfix or ()):
-        if token == "with":
-            skip.add(i - 1)
-    for i, token in enumerate(postfix or ()):
-        if token not in _BINDS and i not in skip and token not in ("none", "noassertion"):
-            out.append(family(token))
-    return sorted(set(out))
+def _name(identifier: str) -> str:
+    return identifier.partition(" with ")[0]
+
+
+def families(identifiers) -> set[str]:
+    return {family(_name(x)) for x in identifiers} - {"none", "noassertion"}
 
 
 @cache
@@ -118,7 +143,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _SPACES = bytes(int(LOWER[i]) if ALNUM[LOWER[i]] else 32 for i in range(256))
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, score double"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, options array<string>, required string, score double"
 
 
 def scan_text(raw: bytes) -> tuple:
@@ -143,30 +168,44 @@ def scan_text(raw: bytes) -> tuple:
         if label not in labels:
             doubt *= 1 - weight
         labels.add(label)
-    expressions = []
+    expressions, options, required = [], [], set()
     if tagged:
         for found in _EXPRESSION.finditer(raw.translate(bytes(LOWER))):
-            said = found[1].decode("utf-8", "replace")
-            more = expression_labels(said)
-            if more:
-                doubt *= 1 - TAG_WEIGHT
-                labels.update(more)
-                expressions.append(" ".join(parse_expression(said)))
-    return len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), expressions, 1 - doubt
+            postfix = parse_expression(found[1].decode("utf-8", "replace"))
+            if postfix is None:
+                continue
+            value = evaluate(postfix)
+            may, need = families(value.may), families(value.need)
+            if not may:
+                continue
+            # A licence that every choice asks for is sure; of several that one may choose from, each is less so.
+            doubt *= 1 - TAG_WEIGHT * (1 + len(need)) / (1 + len(may))
+            labels.update(may)
+            required.update(need)
+            expressions.append(value.text)
+            options.append("" if value.choices is None else " | ".join(sorted("+".join(sorted(c)) for c in value.choices)))
+    return (
+        len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)),
+        expressions, options, ",".join(sorted(required)), 1 - doubt,
+    )
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and the columns of SCHEMA.
 
     Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. n_base, first_word and
-    last_word count the places of BASE phrases; labels adds those of NOTICES and of tagged expressions (given in
-    postfix order). score is 1 less the product of what each label's first evidence leaves in doubt. A null or empty
-    text has no words, null places, empty labels and score 0. Repeated rows are scanned alike; no rows give no rows.
+    last_word count the places of BASE phrases; labels adds those of NOTICES and of all licences that tagged
+    expressions may end in. Expressions are evaluated: options lists the choices that each one leaves (licences of a
+    choice joined by +; empty where there are more than MOST_CHOICES), required the labels that every choice asks for.
+    score is 1 less the product of what each label's first evidence leaves in doubt; an expression that leaves a choice
+    leaves more doubt. A null or empty text has no words, null places, empty labels and score 0; a text of any length is
+    scanned whole. Repeated rows are scanned alike; no rows give no rows; other columns of docs, whatever their names,
+    play no part.
     """
     schema = docs.select(doc_id).schema.fields[0]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.float64())
         for batch in batches:
             for part in slices(batch, 1):
                 raw, offset = text_bytes(part.column(1))
