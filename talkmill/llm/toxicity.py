@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, hash_words, slices, split_words
+from .common import ALNUM, Words, cut, hash_words, slices, split_words
 
 #: A word is known by its first bytes too, so that inflected forms share what is known of their stem; 0: the whole word.
 STEMS = (4, 6, 0)
@@ -31,12 +31,13 @@ class Settings(NamedTuple):
 
 
 class Model(NamedTuple):
-    """features: sorted hashes; odds: their log-odds; rate: expected passages per word by chance; slope and intercept:
-    from a document's evidence to the logit of its score."""
+    """features: sorted hashes; odds: their log-odds; rate, decay: K and lambda of the law that chance passages follow;
+    slope and intercept: from a document's evidence to the logit of its score."""
 
     features: np.ndarray
     odds: np.ndarray
     rate: float
+    decay: float
     slope: float
     intercept: float
 
@@ -77,14 +78,24 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(h[0], h[1], float(h[3] - h[2])) for h in held]
 
 
-def _evidence(n: int, found: list[tuple[int, int, float]], rate: float, settings: Settings) -> tuple[float, list]:
+def _evidence(n: int, found: list[tuple[int, int, float]], model: Model, settings: Settings) -> tuple[float, list]:
     """A document's evidence and significant passages (start, end, score, expected). By Karlin and Altschul's law about
-    rate * n * exp(-score) passages score as well by chance; -log of that, summed over significant ones, is evidence."""
-    rated = [(a, b, s, rate * n * float(np.exp(-s))) for a, b, s in found]
+    rate * n * exp(-decay * score) passages score as well by chance; -log of that, summed over significant ones, is evidence."""
+    rated = [(a, b, s, model.rate * n * float(np.exp(-model.decay * s))) for a, b, s in found]
     good = [r for r in rated if r[3] <= settings.significant]
     return min(settings.cap, sum(-np.log(max(r[3], 1e-300)) for r in good)), good
 
 
+def chance_law(scores: np.ndarray, words: int) -> tuple[float, float]:
+    """(rate, decay): K and lambda of the law of chance passages, from the maximal segments of clean texts of `words` words.
+
+    Above one nat the excess of a chance segment is exponential, so lambda is the number of such segments over their
+    summed excess (with one segment of one nat put to both), and K makes as many expected to reach one nat as do."""
+    excess = scores[scores >= 1.0] - 1.0
+    decay = float((len(excess) + 1) / (excess.sum() + 1))
+    return (len(excess) + 1) / max(1, words) * float(np.exp(decay)), decay
+
+
 def _scan(w: Words, model: Model, settings: Settings) -> Iterator[tuple[int, list]]:
     """Each text's number of words and segments."""
     odds = word_odds(w, model, settings.drift)
@@ -97,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str, text: st
     """Log-odds from three quarters of the sample; chance rate and final scale from the last, which they haven't seen.
 
     Only labelled rows with toxic 0 or 1 count; if both labels aren't there, the model knows no word. At most
-    settings.sample rows are drawn, so what is broadcast and collected is bounded by them.
+    settings.sample rows are drawn, so what is broadcast and collected is bounded by them. Of an id with several texts
+    the one of the smallest hash is learnt from.
     """
     drawn = (
         labels.where(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -106,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str, text: st
         .select(F.col("doc_id").alias("labelled"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("scale")), F.lit(4)) == 0).alias("held"))
     )
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    known = texts.join(F.broadcast(drawn), F.col("id") == F.col("labelled")).select("text", "toxic", "held")
+    # One text for each labelled id, so what is kept here, and what of it is collected, is bounded by the sample.
+    found = texts.join(F.broadcast(drawn), F.col("id") == F.col("labelled"))
+    known = cut(found.groupBy("labelled", "toxic", "held").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("x")).select(F.col("x.t").alias("text"), "toxic", "held"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,18 +142,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str, text: st
     n_bad, n_good = (int(total["bad"].sum()), int(total["good"].sum())) if len(total) else (0, 0)
     counts = counts[counts["feature"] != 0]
     if not n_bad or not n_good:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, -3.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, 1.0, -3.0)
     bad, good = counts["bad"].to_numpy(float), counts["good"].to_numpy(float)
     weight = settings.prior * (n_bad + n_good)
     prior = weight * (bad + good) / (n_bad + n_good)
 
     def logit(y: np.ndarray, n: int) -> np.ndarray:
-        return np.log(y + prior) - np.log(n + weight - y - prior)
+        return np.log(y + prior) - np.log(np.maximum(n + weight - y - prior, 1e-9))
 
     odds = logit(bad, n_bad) - logit(good, n_good) - settings.deviations * np.sqrt(1 / (bad + prior) + 1 / (good + prior))
     features = counts["feature"].to_numpy(np.int64).view(np.uint64)[odds > 0]
     order = np.argsort(features)
-    model = Model(features[order], odds[odds > 0][order], 1.0, 1.0, 0.0)
+    model = Model(features[order], odds[odds > 0][order], 1.0, 1.0, 1.0, 0.0)
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str, text: st
 
     seen = known.where("held").select("text", "toxic").mapInArrow(trial, "toxic long, n long, scores array<double>").toPandas()
     clean = seen[seen["toxic"] == 0]
-    # The chance rate that makes as many passages of clean documents expected to reach 1 nat as do.
-    reach = sum(int((np.asarray(s) >= 1).sum()) for s in clean["scores"])
-    model = model._replace(rate=(reach + 1) / (max(1, int(clean["n"].sum())) * float(np.exp(-1))))
-    x = np.array([_evidence(n, [(0, 0, s) for s in scores], model.rate, settings)[0] for n, scores in zip(seen["n"], seen["scores"], strict=True)])
+    rate, decay = chance_law(np.array([s for scores in clean["scores"] for s in scores]), int(clean["n"].sum()))
+    model = model._replace(rate=rate, decay=decay)
+    x = np.array([_evidence(n, [(0, 0, s) for s in scores], model, settings)[0] for n, scores in zip(seen["n"], seen["scores"], strict=True)])
     y = seen["toxic"].to_numpy(float)
     slope, intercept = _scale(x, y)
     # No evidence says no more than that a document is one of the sample.
@@ -184,8 +197,9 @@ def score_toxicity(
     non-ASCII characters after lower-casing A-Z. passages lists each significant toxic passage as (first word, word
     after its last, score in nats, expected number by chance). score, from 0 to 1, rises with their joint evidence;
     predicted is 1 at threshold and above. Null and empty texts have no passages and the score of no evidence, as have
-    all texts if the labels are all alike or missing. Repeated rows score alike; no rows give no rows; other columns
-    and labels of documents that aren't there play no part.
+    all texts if the labels are all alike or missing. A text of any length is read whole, in time and memory that grow
+    with it. Null ids are scored like others. Repeated rows score alike; no rows give no rows; other columns, whatever
+    their names, and labels of documents that aren't there play no part.
     """
     model = fit(docs, labels, F.lit(True) if train is None else train, doc_id, text, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -197,7 +211,7 @@ def score_toxicity(
             for part in slices(batch, 1):
                 ns, scores, passages = [], [], []
                 for n, found in _scan(split_words(part.column(1), ALNUM), model, settings):
-                    evidence, good = _evidence(n, found, model.rate, settings)
+                    evidence, good = _evidence(n, found, model, settings)
                     ns.append(n)
                     scores.append(1 / (1 + np.exp(-(model.slope * evidence + model.intercept))))
                     passages.append([dict(zip(("start", "end", "score", "expected"), g, strict=True)) for g in good])
@@ -209,7 +223,10 @@ def score_toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, settings: Settings = Settings()) -> DataFrame:
-    """docs, all columns, without the rows that score_toxicity predicts toxic. Texts don't move: each task scores its own rows."""
+    """docs, all columns, without the rows that score_toxicity predicts toxic. Texts don't move: each task scores its own rows.
+
+    Nulls, empty and very long texts, repeated rows and empty tables as there; repeated rows stay or go together.
+    """
     model = fit(docs, labels, F.lit(True), doc_id, text, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
@@ -218,7 +235,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         model = shared.value
         for batch in batches:
             for part in slices(batch, at):
-                evidence = np.array([_evidence(n, found, model.rate, settings)[0] for n, found in _scan(split_words(part.column(at), ALNUM), model, settings)])
+                evidence = np.array([_evidence(n, found, model, settings)[0] for n, found in _scan(split_words(part.column(at), ALNUM), model, settings)])
                 keep = 1 / (1 + np.exp(-(model.slope * evidence + model.intercept))) < threshold
                 yield part.filter(pa.array(keep, pa.bool_()))
 
