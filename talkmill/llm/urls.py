@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, with_groups
 
 #: (verdict, rule); a rule is a host, then a path's beginning.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -41,9 +41,11 @@ def judge_urls(
     their shares of blocked labels lies within `margin`, `z` standard errors included. All others, unlabelled ones too,
     stay apart. What lies below `depth` levels, if given, is one wildcard **; else the tree is as deep as the paths.
     A template's purity is its share of blocked labels, smoothed by `smooth` labels of its host, the
-    host's by as many of all pages. Unlabelled pages of templates that have labels and a purity of `reject` or more are blocked.
-    A null url, or one without ://, has an empty host and path. Repeated pages are judged alike and all returned; an
-    empty table gives no rows; other columns play no part.
+    host's by as many of all pages. Unlabelled pages of templates with a purity of `reject` or more are blocked, if the
+    template's own labels alone say at `z` deviations that half of it is to be blocked: no template is rejected for its host.
+    A null url, or one without ://, has an empty host and path; urls of any length are read whole; a null page_id is a
+    page like any other. Repeated pages are judged alike and all returned; an empty table gives no rows; other columns
+    play no part. No host, template or path gathers its rows in one task: tables of them go to the rows (with_groups()).
     """
     host, path = url_parts(F.col(url))
     parsed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -63,9 +65,11 @@ def judge_urls(
             ended.append(tree.where(F.size("segments") <= level))
             tree = tree.where(F.size("segments") > level)
         here = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        child = here.where("segment is not null").groupBy("host", "template", "segment").agg(*sums)
-        node = child.groupBy("host", "template").agg(
-            F.count("*").alias("children"), F.sum("n").alias("visits"), F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad")
+        child = cut(here.where("segment is not null").groupBy("host", "template", "segment").agg(*sums, F.count("*").alias("paths")))
+        node = cut(
+            child.groupBy("host", "template").agg(
+                F.count("*").alias("children"), F.sum("n").alias("visits"), F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad")
+            )
         )
         rest = F.expr("all_labels - labels")
         own, other = F.expr("(bad + 1) / (labels + 2)"), (F.expr("all_bad - bad") + 1) / (rest + 2)
@@ -73,23 +77,30 @@ def judge_urls(
         alike = (F.col("labels") >= least) & (rest >= least) & (F.abs(own - other) + z * error <= margin)
         number = F.col("segment").rlike(r"^[0-9]+(\.[a-z]+)?$|[0-9a-f]{8}")
         wide = (F.col("visits") >= least) & (F.col("children") >= variable * F.col("visits"))
-        named = child.join(node, ["host", "template"]).select(
-            "host", "template", "segment", F.when(number | wide, "*").when(alike, "?").otherwise(F.col("segment")).alias("name")
+        named = cut(
+            with_groups(child, node, ["host", "template"], "children").select(
+                "host", "template", "segment", "paths", F.when(number | wide, "*").when(alike, "?").otherwise(F.col("segment")).alias("name")
+            )
         )
         more = F.size("segments") > level
-        tree = here.join(named, ["host", "template", "segment"], "left").select(
+        tree = with_groups(here, named, ["host", "template", "segment"], "paths").select(
             "host", "path", "n", "labels", "bad", "segments", F.when(more, F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))).otherwise(F.col("template")).alias("template")
         )
     tree = reduce(DataFrame.unionByName, ended, tree)
     below = F.size("segments") > (longest if depth is None else depth)
     tree = cut(tree.withColumn("template", F.when(below, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))))
-    templates = tree.groupBy("host", "template").agg(*sums)
-    hosts = templates.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("bad").alias("host_bad"))
+    templates = cut(tree.groupBy("host", "template").agg(*sums, F.count("*").alias("paths")))
+    hosts = cut(templates.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("bad").alias("host_bad"), F.count("*").alias("templates")))
     total = hosts.agg(F.sum("host_bad").alias("b"), F.sum("host_labels").alias("l")).first()
     share = (total.b or 0) / total.l if total.l else 0.0
     host_share = (F.col("host_bad") + smooth * share) / (F.col("host_labels") + smooth)
-    judged = templates.join(hosts, "host").select("host", "template", F.col("labels").alias("own"), ((F.col("bad") + smooth * host_share) / (F.col("labels") + smooth)).alias("purity"))
-    by_path = tree.select("host", "path", "template").join(judged, ["host", "template"])
-    return parsed.join(by_path, ["host", "path"]).select(
-        "page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when((F.col("purity") >= reject) & (F.col("own") > 0), "block").otherwise("allow")).alias("verdict")
+    purity = (F.col("bad") + smooth * host_share) / (F.col("labels") + smooth)
+    # The least share of blocked pages that a template's own labels allow for (Wilson's bound): the host's share alone rejects nothing.
+    own = F.try_divide("bad", "labels")
+    bound = (own + z * z / (2 * F.col("labels")) - z * F.sqrt(own * (1 - own) / F.col("labels") + z * z / (4 * F.col("labels") * F.col("labels")))) / (1 + z * z / F.col("labels"))
+    sure = F.when(F.col("labels") > 0, bound >= 0.5).otherwise(False)
+    judged = cut(with_groups(templates, hosts, "host", "templates").select("host", "template", "paths", purity.alias("purity"), (sure & (purity >= reject)).alias("bad")))
+    by_path = cut(with_groups(tree.select("host", "path", "n", "template"), judged, ["host", "template"], "paths").select("host", "path", "n", "template", "purity", "bad"))
+    return with_groups(parsed, by_path, ["host", "path"]).select(
+        "page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict")
     )
