@@ -121,26 +121,31 @@ class Matcher:
         return order[where], np.repeat(self.piece, found)
 
 
-def relax(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray, number: np.ndarray, start: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The BPE pieces of each unit (at unit, of size characters), as (flat pieces, number of each unit's).
+#: Characters up to which a unit is taken in one go; longer ones are cut into blocks of as many. Blocks that best_paths holds at once.
+LONG, SIDE = 512, 128
+
+
+def relax(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray, by_hand: np.ndarray, number: np.ndarray, start: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The BPE pieces of each unit (at unit, of size characters), as (flat pieces, number of each unit's). start, piece: all
+    edges of two characters or more within units.
 
     Every beginning of a unit has one BPE encoding, known by its last piece. Edges are taken by where they end: one
-    whose piece may follow the last piece of what is before it is the last piece there. Units in which a piece of
-    v.plain occurs (runs of spaces) are merged one by one instead.
+    whose piece may follow the last piece of what is before it is the last piece there. Units by_hand are merged one
+    by one instead.
     """
     n = len(number)
     own = np.zeros(n, np.int64)
-    own[unit[np.arange(len(unit))]] = 1
+    own[unit] = 1
     of = np.cumsum(own) - 1
-    by_hand = np.zeros(len(unit), bool)
-    by_hand[of[start[v.plain[piece]]]] = True
     alone = np.flatnonzero(v.single[number] >= 0)
     start, piece = np.concatenate([start, alone]), np.concatenate([piece, v.single[number[alone]]])
+    mine = ~by_hand[of[start]]
+    start, piece = start[mine], piece[mine]
     end = start + v.length[piece]
     step = end - unit[of[start]]
     order = np.argsort(step, kind="stable")
     start, piece, end, step = start[order], piece[order], end[order], step[order]
-    bounds = np.searchsorted(step, np.arange(1, int(size.max(initial=0)) + 2))
+    bounds = np.searchsorted(step, np.arange(1, int(size[~by_hand].max(initial=0)) + 2))
     last = np.full(n + 1, -1, np.int64)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if a == b:
@@ -155,25 +160,151 @@ def relax(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray, numbe
         last[e[good] - 1] = p[good]
     # Walk back from each unit's end, all units at once.
     at, live = unit + size, np.flatnonzero(~by_hand)
-    unit_of, place = [], []
+    unit_of, place, depth = [], [], []
     while len(live):
         p = last[at[live] - 1]
         if (p < 0).any():
             raise AssertionError("a unit has no encoding")
         unit_of.append(live)
         place.append(p)
+        depth.append(np.full(len(live), -len(depth)))
         at[live] -= v.length[p]
         live = live[at[live] > unit[live]]
-    whose = np.concatenate(unit_of) if unit_of else np.zeros(0, np.int64)
-    flat = np.concatenate(place) if place else np.zeros(0, np.int64)
-    depth = np.concatenate([np.full(len(u), -i) for i, u in enumerate(unit_of)]) if unit_of else whose
     for u in np.flatnonzero(by_hand):
-        ids = merge_plainly(v, number[unit[u] : unit[u] + size[u]])
-        whose, flat, depth = np.append(whose, np.full(len(ids), u)), np.append(flat, ids), np.append(depth, np.arange(len(ids)))
+        ids = np.array(merge_plainly(v, number[unit[u] : unit[u] + size[u]]), np.int64)
+        unit_of.append(np.full(len(ids), u))
+        place.append(ids)
+        depth.append(np.arange(len(ids)))
+    whose, flat, depth = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (unit_of, place, depth))
     order = np.lexsort((depth, whose))
     return flat[order], np.bincount(whose, minlength=len(unit))
 
 
+def encode_units(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray, number: np.ndarray, start: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """relax() of units of any length. Units in which a piece of v.plain occurs (runs of spaces) are merged by hand.
+
+    Longer units are cut into blocks that are encoded side by side. Two encodings stand side by side if their pieces at
+    the seam may; where they may not, what lies around the seam is encoded again (_mend()).
+    """
+    own = np.zeros(len(number), np.int64)
+    own[unit] = 1
+    of = np.cumsum(own) - 1
+    by_hand = np.zeros(len(unit), bool)
+    by_hand[of[start[v.plain[piece]]]] = True
+    long = (size > LONG) & ~by_hand
+    blocks = np.where(long, -(-size // LONG), 1)
+    whose = np.repeat(np.arange(len(unit)), blocks)
+    offset = (np.arange(len(whose)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * LONG
+    block, width = unit[whose] + offset, np.where(long[whose], np.minimum(LONG, size[whose] - offset), size[whose])
+    end = start + v.length[piece]
+    inside = end <= (block + width)[np.searchsorted(block, start, "right") - 1] if len(block) else np.zeros(0, bool)
+    flat, count = relax(v, pairs, block, width, by_hand[whose], number, start[inside], piece[inside])
+    if not long.any():
+        return flat, count
+    to = np.cumsum(count)
+    seam = to[:-1][whose[:-1] == whose[1:]]
+    bad = seam[~pairs(flat[seam - 1], flat[seam])]
+    total = np.bincount(whose, count, len(unit)).astype(np.int64)
+    if len(bad):
+        order = np.argsort(start, kind="stable")
+        flat, total = _mend(v, pairs, unit, number, start[order], piece[order], flat, total, bad)
+    return flat, total
+
+
+def _mend(v: Vocabulary, pairs: Pairs, unit: np.ndarray, number: np.ndarray, start: np.ndarray, piece: np.ndarray, flat: np.ndarray, total: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat and total with right pieces around the seams `bad` (before which piece each lies). A window of pieces about
+    each is encoded anew; if the new pieces may not stand beside those around it, the window grows. Windows that
+    touch become one; one that fills its unit is right in any case. start is sorted."""
+    to = np.cumsum(total)
+    first = to - total
+    of = np.searchsorted(to, bad, "right")
+    pos = unit[np.repeat(np.arange(len(unit)), total)] + np.concatenate(([0], np.cumsum(v.length[flat])))[:-1]
+    pos -= np.repeat(np.concatenate(([0], np.cumsum(v.length[flat])))[first.clip(max=len(flat))], total)
+    reach = {}  # (first piece, piece after the last) -> new pieces
+    grow = [(max(int(j) - 8, int(first[u])), min(int(j) + 8, int(to[u])), int(u)) for j, u in zip(bad, of, strict=True)]
+    while grow:
+        merged: list[list] = []
+        for lo, hi, u in sorted([*grow, *((lo, hi, u) for (lo, hi, u) in reach)]):
+            if merged and merged[-1][2] == u and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi, u])
+        todo = [tuple(m) for m in merged if tuple(m) not in reach]
+        reach = {tuple(m): reach[tuple(m)] for m in merged if tuple(m) in reach}
+        numbers, starts, edges, begin, width, at = [], [], [], [], [], 0
+        for lo, hi, u in todo:
+            p = int(pos[lo])
+            q = int(pos[hi - 1] + v.length[flat[hi - 1]])
+            i, j = np.searchsorted(start, [p, q])
+            inside = np.flatnonzero(start[i:j] + v.length[piece[i:j]] <= q) + i
+            numbers.append(np.append(number[p:q], NO_CHAR))
+            starts.append(start[inside] - p + at)
+            edges.append(piece[inside])
+            begin.append(at)
+            width.append(q - p)
+            at += q - p + 1
+        made, n = relax(v, pairs, np.array(begin), np.array(width), np.zeros(len(todo), bool), np.concatenate(numbers), np.concatenate(starts), np.concatenate(edges))
+        parts = np.split(made, np.cumsum(n)[:-1])
+        grow = []
+        for (lo, hi, u), ids in zip(todo, parts, strict=True):
+            fits = (lo == first[u] or pairs(flat[lo - 1 : lo], ids[:1])[0]) and (hi == to[u] or pairs(ids[-1:], flat[hi : hi + 1])[0])
+            if fits:
+                reach[lo, hi, u] = ids
+            else:
+                more = hi - lo
+                grow.append((max(lo - more, int(first[u])), min(hi + more, int(to[u])), u))
+    out, at, total = [], 0, total.copy()
+    for (lo, hi, u), ids in sorted(reach.items()):
+        out += [flat[at:lo], ids]
+        at = hi
+        total[u] += len(ids) - (hi - lo)
+    return np.concatenate([*out, flat[at:]]), total
+
+
+def best_paths(v: Vocabulary, unit: np.ndarray, size: np.ndarray, number: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """The number of pieces of each unit's best unigram path (of equal scores the fewest), for units of any length.
+
+    A unit is cut into blocks. SIDE of them at a time run side by side, from each place at which a piece may enter them,
+    to each place beyond them at which one may leave; then they are joined in order.
+    """
+    longest, out = int(v.length.max()), np.zeros(len(unit), np.int64)
+    alone = np.flatnonzero(v.single[number] >= 0)
+    start, piece = np.concatenate([start, alone]), np.concatenate([piece, v.single[number[alone]]])
+    order = np.argsort(start, kind="stable")
+    start, piece = start[order], piece[order]
+    for u in range(len(unit)):
+        at, taken = np.full(longest, -np.inf), np.zeros(longest, np.int64)
+        at[0] = 0.0
+        stop = int(unit[u] + size[u])
+        for begin in range(int(unit[u]), stop, LONG * SIDE):
+            width = min(LONG * SIDE, stop - begin)
+            i, j = np.searchsorted(start, [begin, begin + width])
+            best, steps = _block_paths(v, start[i:j] - begin, piece[i:j], -(-width // LONG))
+            for b in range(best.shape[2]):
+                last = begin + b * LONG + LONG >= stop
+                reach = [stop - begin - b * LONG] if last else range(LONG, LONG + longest)
+                new = [max((at[o] + best[t, o, b], -int(taken[o] + steps[t, o, b])) for o in range(longest)) for t in reach]
+                at, taken = np.array([x for x, _ in new]), np.array([-c for _, c in new])
+        out[u] = taken[0]
+    return out
+
+
+def _block_paths(v: Vocabulary, start: np.ndarray, piece: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, pieces) of the best paths through n blocks, by (place reached, place entered, block); start counts from the first block's."""
+    longest = int(v.length.max())
+    score = np.full((longest + 1, LONG, n), -np.inf)
+    score[v.length[piece], start % LONG, start // LONG] = v.score[piece]
+    best = np.full((LONG + longest, longest, n), -np.inf)
+    steps = np.zeros((LONG + longest, longest, n), np.int64)
+    best[np.arange(longest), np.arange(longest)] = 0.0
+    for t in range(LONG):
+        for k in np.flatnonzero((score[:, t] > -np.inf).any(axis=1)):
+            made, count = best[t] + score[k, t], steps[t] + 1
+            better = (made > best[t + k]) | ((made == best[t + k]) & (count < steps[t + k]))
+            best[t + k][better], steps[t + k][better] = made[better], count[better]
+    return best, steps
+
+
 class Encoder:
     """Units to pieces, with a memory of a bounded number of distinct units across the texts of one task."""
 
@@ -184,28 +315,28 @@ class Encoder:
 
     def _forget(self) -> None:
         self.hash, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.said = Said()
 
-    def _learn(self, u: Units, hashes: np.ndarray, unit: np.ndarray, end: np.ndarray) -> None:
+    def _pieces(self, u: Units, unit: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, at, n): the pieces of units, each at its place in flat."""
         size = end - unit
         known = u.number[unit] != NO_CHAR
-        # The distinct new units on end, a character of no piece between any two.
-        span = size[known] + 1
-        begin = np.cumsum(span) - span
-        where = np.repeat(unit[known] - begin, span) + np.arange(span.sum())
-        number = u.number[np.minimum(where, len(u.number) - 1)]
-        number[begin + span - 1] = NO_CHAR
+        number, begin = apart(u.number, unit[known], size[known])
         start, piece = self.matcher.edges(number) if len(number) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        flat, count = relax(self.v, self.pairs, begin, size[known], number, start, piece)
+        flat, count = encode_units(self.v, self.pairs, begin, size[known], number, start, piece)
         odd = [self.v.byte[list(chr(c).encode())] for c in u.code[unit[~known]].tolist()]
         at, n = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
         n[known], n[~known] = count, [len(o) for o in odd]
         at[known], at[~known] = np.cumsum(count) - count, len(flat) + np.cumsum(n[~known]) - n[~known]
-        if len(self.hash) + len(unit) > self.most:
-            self._forget()
+        return np.concatenate([flat.astype(np.int32), *(o.astype(np.int32) for o in odd)]), at, n
+
+    def _learn(self, u: Units, hashes: np.ndarray, unit: np.ndarray, end: np.ndarray) -> None:
+        flat, at, n = self._pieces(u, unit, end)
         hashed = np.concatenate([self.hash, hashes])
         order = np.argsort(hashed, kind="stable")
         self.hash, self.at = hashed[order], np.concatenate([self.at, at + len(self.flat)])[order]
-        self.n, self.flat = np.concatenate([self.n, n])[order], np.concatenate([self.flat, flat.astype(np.int32), *(o.astype(np.int32) for o in odd)])
+        self.n, self.flat = np.concatenate([self.n, n])[order], np.concatenate([self.flat, flat])
+        self.said.add(u, unit, end, order)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of each text's)."""
@@ -219,9 +350,50 @@ class Encoder:
         if new.any():
             self._learn(u, distinct[new], u.start[first[new]], end[first[new]])
         slot = np.searchsorted(self.hash, distinct)[back]
-        n, at = self.n[slot], self.at[slot]
+        n, at, flat = self.n[slot], self.at[slot], self.flat
+        if len(other := self.said.differ(u, end, slot)):
+            more, at[other], n[other] = self._pieces(u, u.start[other], end[other])
+            at[other] += len(flat)
+            flat = np.concatenate([flat, more])
         where = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.flat[where], np.bincount(u.doc, n, len(texts)).astype(np.int64)
+        return flat[where], np.bincount(u.doc, n, len(texts)).astype(np.int64)
+
+
+def apart(number: np.ndarray, unit: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, begin): the units on end, a character of no piece behind each."""
+    span = size + 1
+    begin = np.cumsum(span) - span
+    where = np.repeat(unit - begin, span) + np.arange(span.sum())
+    out = number[np.minimum(where, len(number) - 1)] if len(number) else number
+    out[begin + span - 1] = NO_CHAR
+    return out, begin
+
+
+class Said:
+    """The characters of the units that are remembered, to tell units of one hash apart."""
+
+    def __init__(self):
+        self.code, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, u: Units, unit: np.ndarray, end: np.ndarray, order: np.ndarray) -> None:
+        size = end - unit
+        where = np.repeat(unit - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        self.at = np.concatenate([self.at, len(self.code) + np.cumsum(size) - size])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.code = np.concatenate([self.code, u.code[where]])
+
+    def differ(self, u: Units, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which units of u are not what is remembered at their slot."""
+        size = end - u.start
+        same = self.size[slot] == size
+        # Units follow each other without gaps, so their characters in order are the text.
+        at = np.where(same, self.at[slot], 0)
+        where = np.repeat(at - u.start, size) + np.arange(len(u.code))
+        wrong = self.code[np.minimum(where, max(len(self.code) - 1, 0))] != u.code if len(self.code) else np.zeros(0, bool)
+        bad = ~same
+        if wrong.any():
+            bad[np.searchsorted(u.start, np.flatnonzero(wrong), "right") - 1] = True
+        return np.flatnonzero(bad)
 
 
 def decode_bytes(v: Vocabulary, raw: tuple[np.ndarray, np.ndarray], ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +425,9 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     ids are those of the BPE model in the file `model` (which must have a piece for every byte): identity normalisation,
     one dummy space ahead, spaces as U+2581, other characters as bytes. round_trip tells that decoding gives back the
     text; only a U+2581 in a text, which becomes a space, prevents it. Null and empty texts have no ids and come back
-    empty (round_trip true). Repeated rows are encoded alike; no rows give no rows; other columns play no part.
+    empty (round_trip true). Null ids and repeated rows are encoded like others; texts are read whole, and a run of
+    characters without spaces, however long, in blocks. No rows give no rows; other columns, whatever their names, play
+    no part.
 
     Each task indexes the distinct units of a slice of texts by a suffix array, searches every piece in it, sorts the
     edges by where they end and relaxes them; units met before are looked up.
@@ -329,6 +503,42 @@ class Counter:
 
     def _forget(self) -> None:
         self.hash, self.n, self.unigram = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.said = Said()
+
+    def edges(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, piece) of all pieces of two characters or more, by following the pieces' trie from every place at once."""
+        place, live, starts, pieces = np.zeros(len(number), np.int64), np.arange(len(number)), [], []
+        depth = 0
+        while len(live):
+            go = (place[live] << BITS) | number[live + depth]
+            at = np.minimum(np.searchsorted(self.keys, go), len(self.keys) - 1)
+            ok = self.keys[at] == go
+            live = live[ok]
+            place[live] = self.target[at[ok]]
+            piece = self.piece[place[live]]
+            done = (piece >= 0) & (self.v.length[piece] > 1)
+            starts.append(live[done])
+            pieces.append(piece[done])
+            depth += 1
+            live = live[live + depth < len(number)]
+        return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.int64), *pieces])
+
+    def _counts(self, u: Units, unit: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(BPE pieces, pieces of the best unigram path) of units: long ones in blocks, others by the trie of all."""
+        size = end - unit
+        known = u.number[unit] != NO_CHAR
+        bpe, unigram = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
+        short, long = known & (size <= LONG), known & (size > LONG)
+        bpe[short], unigram[short] = self.trie_counts(u.number, unit[short], size[short])
+        if long.any():
+            number, begin = apart(u.number, unit[long], size[long])
+            start, piece = self.edges(number)
+            sound = self.v.sound[piece]
+            bpe[long] = encode_units(self.v, self.pairs, begin, size[long], number, start[sound], piece[sound])[1]
+            unigram[long] = best_paths(self.v, begin, size[long], number, start, piece)
+        code = u.code[unit[~known]]
+        bpe[~known] = unigram[~known] = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        return bpe, unigram
 
     def trie_counts(self, number: np.ndarray, unit: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(BPE pieces, pieces of the best unigram path) of each unit. Level by level, each node, a beginning that units
@@ -336,11 +546,12 @@ class Counter:
         (of equal ones the fewest pieces) and its number. Units read theirs off where they end."""
         v = self.v
         node = np.zeros(len(unit), np.int64)
-        last, count, score, best = np.full(1, -1), np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int64)
-        by_hand = np.zeros(1, bool)  # a piece of v.plain occurs on the way here
+        # There are no more nodes than the root and the units' characters.
+        room, nodes = 1 + int(size.sum()), 1
+        last, count, score, best = np.full(room, -1), np.zeros(room, np.int64), np.zeros(room), np.zeros(room, np.int64)
+        by_hand = np.zeros(room, bool)  # a piece of v.plain occurs on the way here
         # Matches in progress at the nodes of the level above: where each began (a node), and its place in the pieces' trie.
         begun, place, holder = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        level, first = np.array([0]), 0
         bpe, unigram = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
         live, depth = np.arange(len(unit)), 0
         while len(live):
@@ -359,14 +570,14 @@ class Counter:
             at = np.minimum(np.searchsorted(self.keys, go), len(self.keys) - 1)
             ok = self.keys[at] == go
             whose, begun, place = whose[ok], begun[ok], self.target[at[ok]]
-            first = len(last)
+            first, nodes = nodes, nodes + len(key)
             holder = whose + first
             piece = self.piece[place]
             done = piece >= 0
             w, b, p = whose[done], begun[done], piece[done]
             hand = by_hand[parent]
             hand[w[v.plain[p]]] = True
-            by_hand = np.concatenate([by_hand, hand])
+            by_hand[first:nodes] = hand
             new_last, new_count = np.full(len(key), -1), np.zeros(len(key), np.int64)
             whole = (b == 0) & v.sound[p]
             rest = np.flatnonzero((b != 0) & (last[b] >= 0) & v.sound[p])
@@ -379,8 +590,7 @@ class Counter:
             lead = np.concatenate(([True], w[1:] != w[:-1])) if len(w) else np.zeros(0, bool)
             new_score, new_best = np.full(len(key), -np.inf), np.zeros(len(key), np.int64)
             new_score[w[lead]], new_best[w[lead]] = total[lead], best[b[lead]] + 1
-            last, count = np.concatenate([last, new_last]), np.concatenate([count, new_count])
-            score, best = np.concatenate([score, new_score]), np.concatenate([best, new_best])
+            last[first:nodes], count[first:nodes], score[first:nodes], best[first:nodes] = new_last, new_count, new_score, new_best
             node[live] = back + first
             depth += 1
             ended = size[live] == depth
@@ -400,18 +610,17 @@ class Counter:
             self._forget()
             new[:] = True
         if new.any():
-            unit = u.start[where[new]]
-            size = end[where[new]] - unit
-            known = u.number[unit] != NO_CHAR
-            bpe, unigram = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
-            bpe[known], unigram[known] = self.trie_counts(u.number, unit[known], size[known])
-            code = u.code[unit[~known]]
-            bpe[~known] = unigram[~known] = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+            unit, to = u.start[where[new]], end[where[new]]
+            bpe, unigram = self._counts(u, unit, to)
             hashed = np.concatenate([self.hash, distinct[new]])
             order = np.argsort(hashed, kind="stable")
             self.hash, self.n, self.unigram = hashed[order], np.concatenate([self.n, bpe])[order], np.concatenate([self.unigram, unigram])[order]
+            self.said.add(u, unit, to, order)
         slot = np.searchsorted(self.hash, distinct)[back]
-        return tuple(np.bincount(u.doc, x[slot], len(texts)).astype(np.int64) for x in (self.n, self.unigram))
+        n, unigram = self.n[slot], self.unigram[slot]
+        if len(other := self.said.differ(u, end, slot)):
+            n[other], unigram[other] = self._counts(u, u.start[other], end[other])
+        return tuple(np.bincount(u.doc, x, len(texts)).astype(np.int64) for x in (n, unigram))
 
 
 def with_token_counts(docs: DataFrame, model: str, name: str, text: str = "text") -> DataFrame:
@@ -432,8 +641,9 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     """One row per row of docs: doc_id, n_tokens, n_unigram.
 
     n_tokens is the number of ids that encode() gives; n_unigram that of the best path when the model's piece scores are
-    read as a unigram model's (of equally good ones, the shortest). Null and empty texts have none. Repeated rows count
-    alike; no rows give no rows; other columns play no part.
+    read as a unigram model's (of equally good ones, the shortest). Null and empty texts have none. Null ids and repeated
+    rows count like others; texts are read whole, long runs without spaces in blocks. No rows give no rows; other columns,
+    whatever their names, play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
