@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: Rows up to which the table of sources' blocks is broadcast; beyond, it is joined by shuffle on (source, block).
 BROADCAST_ROWS = 200_000
@@ -54,9 +54,10 @@ def find_exponent(sources: DataFrame, budget: float, entropy: float | None, repe
 
 
 def mix_sources(
-    docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", budget: float = 1.0, entropy: float | None = 0.95, repeats: float | None = 2.0, blocks: int = 1024, seed: str = "mix", tokens: str | None = None
+    docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", budget: float = 1.0, entropy: float | None = 0.95, repeats: float | None = 2.0, blocks: int = 1024, seed: str = "mix", tokens: str | None = None,
+    names: tuple[str, str, str] = ("__tokens", "__epoch", "__at"),
 ) -> DataFrame:
-    """docs, all columns, each row as often as the mix draws it, plus __tokens, __epoch (from 1) and __at.
+    """docs, all columns, each row as often as the mix draws it, plus `names`: __tokens, __epoch (from 1) and __at.
 
     tokens: a column of token counts (null as 0); without it the cheap token_length stands in, which suits only texts with
     spaces between words. budget: tokens to draw, as a multiple of all. Shares of tokens are raised to find_exponent's power and
@@ -67,14 +68,18 @@ def mix_sources(
     stream, so sorting by it interleaves the sources by weight.
 
     Null sources are one source; null and empty texts have no tokens and come with their block. A source without any
-    tokens has no weight, and its documents come once. Repeated rows are drawn each on their own. An empty table gives no rows; clashing names are
-    only the three given. Only sums by block, and the documents of each source's last block, are shuffled; a source
+    tokens has no weight, and its documents come once. Repeated rows are drawn each on their own. An empty table gives no rows. Columns of docs
+    may have any names but `names`, which is an error. Only sums by block, and the documents of each source's last block, are shuffled; a source
     with a third of all rows puts no more than one block of it into a task.
     """
     key = F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name"))
     block = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(blocks))
-    rows = docs.withColumns({"__key": key, "__block": block, "__tokens": token_length(F.col(text)) if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))})
-    sums = cut(rows.groupBy("__key", "__block").agg(F.sum("__tokens").alias("size")))
+    if clash := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+        raise ValueError(f"docs has columns {sorted(clash)}")
+    key_, block_, plan_, copies_ = fresh(docs, "__key", "__block", "__plan", "__copies")
+    tokens_, epoch_, at_ = names
+    rows = docs.withColumns({key_: key, block_: block, tokens_: token_length(F.col(text)) if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))})
+    sums = cut(rows.groupBy(F.col(key_).alias("__key"), F.col(block_).alias("__block")).agg(F.sum(tokens_).alias("size")))
     sources = sums.groupBy("__key").agg(F.sum("size").alias("tokens"))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     sources = cut(sources.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1)))))
@@ -88,17 +93,17 @@ def mix_sources(
     placed = sums.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(plan, "__key")
     passes = F.when(F.col("tokens") > 0, F.expr("drawn div nullif(tokens, 0)")).otherwise(1)
     room = F.when(F.col("tokens") > 0, F.expr("drawn % nullif(tokens, 0) - before")).otherwise(0)
-    stream = F.struct("size", "before", "tokens", "drawn", passes.alias("passes"), room.alias("room")).alias("__plan")
-    placed = cut(placed.select("__key", "__block", stream))
+    stream = F.struct("size", "before", "tokens", "drawn", passes.alias("passes"), room.alias("room")).alias(plan_)
+    placed = cut(placed.select(F.col("__key").alias(key_), F.col("__block").alias(block_), stream))
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
-    dealt = rows.join(placed, ["__key", "__block"])
-    p = lambda name: F.col(f"__plan.{name}")
+    dealt = rows.join(placed, [key_, block_])
+    p = lambda name: F.col(f"{plan_}.{name}")
     ends = (p("room") > 0) & (p("room") < p("size"))
-    inside = Window.partitionBy("__key", "__block").orderBy(F.xxhash64(F.lit(f"{seed} inside"), F.col(doc_id), F.col(text)), F.col(doc_id)).rowsBetween(Window.unboundedPreceding, -1)
-    started = F.coalesce(F.sum("__tokens").over(inside), F.lit(0))
-    whole = dealt.where(~ends).withColumn("__copies", p("passes") + ((p("room") > 0) & (p("room") >= p("size"))).cast("long"))
-    partial = dealt.where(ends).withColumn("__copies", p("passes") + (started < p("room")).cast("long"))
-    drawn = whole.unionByName(partial).where("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    at = F.when(p("drawn") > 0, ((F.col("__epoch") - 1) * p("tokens") + p("before")) / p("drawn")).otherwise(0.0)
-    return drawn.withColumn("__at", at).select(*(F.col(f"`{c}`") for c in docs.columns), "__tokens", "__epoch", "__at")
+    inside = Window.partitionBy(key_, block_).orderBy(F.xxhash64(F.lit(f"{seed} inside"), F.col(doc_id), F.col(text)), F.col(doc_id)).rowsBetween(Window.unboundedPreceding, -1)
+    started = F.coalesce(F.sum(tokens_).over(inside), F.lit(0))
+    whole = dealt.where(~ends).withColumn(copies_, p("passes") + ((p("room") > 0) & (p("room") >= p("size"))).cast("long"))
+    partial = dealt.where(ends).withColumn(copies_, p("passes") + (started < p("room")).cast("long"))
+    drawn = whole.unionByName(partial).where(F.col(copies_) > 0).withColumn(epoch_, F.explode(F.sequence(F.lit(1).cast("long"), copies_)))
+    at = F.when(p("drawn") > 0, ((F.col(epoch_) - 1) * p("tokens") + p("before")) / p("drawn")).otherwise(0.0)
+    return drawn.withColumn(at_, at).drop(key_, block_, plan_, copies_).select(*(F.col(f"`{c}`") for c in docs.columns), tokens_, epoch_, at_)

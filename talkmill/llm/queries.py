@@ -53,9 +53,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cut(with_token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL, "__n"))
-    mixed = mix_sources(docs, tokens="__n")
-    return mixed.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__at").alias("position"))
+    docs = cut(with_token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), MODEL, "n"))
+    return mix_sources(docs, tokens="n", names=("n_tokens", "epoch", "position")).select("doc_id", "source", "n_tokens", "epoch", "position")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
