@@ -36,6 +36,32 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in exact.drop_exact(df).collect()) == [("1", "a"), ("2", "b"), ("None", "c")]
 
 
+def test_exact_compares_bytes_where_hashes_collide(spark, monkeypatch):
+    """With a hash that knows only the first letter, and with tables too large to broadcast."""
+    real = exact._hashed
+    monkeypatch.setattr(exact, "_hashed", lambda *a: real(*a).withColumn("md5", F.md5(F.left("norm", F.lit(1)))))
+    rows = [(1, "ab"), (2, "AB"), (3, "ac"), (4, "ac"), (5, "ad"), (6, "x"), (7, "x"), (8, "y"), (9, None), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        want.setdefault((t or "").lower(), []).append(i)
+    want = {i: (max(g), len(g)) for g in want.values() for i in g}
+    for limit in (10**6, 0):
+        monkeypatch.setattr(common, "BROADCAST_GROUPS", limit)
+        monkeypatch.setattr(common, "HOT", 2)
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_groups(df, keep="max").collect()} == want
+    monkeypatch.setattr(exact, "_hashed", real)
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_groups(df, keep="max").collect()} == want
+
+
+def test_drop_exact_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a", 1, 5), (1, "A", 2, 6), (1, "a", 1, 5), (2, "b", 3, 7), (3, "b", 4, 8), (None, "c", 5, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long, md5 long").withColumn("norm", F.lit(1)).withColumn("best", F.lit(2)).withColumn("place", F.lit(3))
+    got = exact.drop_exact(df, keep="max")
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text, r.n) for r in got.collect()) == [("1", "A", 2), ("3", "b", 4), ("None", "c", 5)]
+
+
 def shingle_set(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
@@ -87,6 +113,64 @@ def test_near_components_of_one_large_cluster(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_near_components_of_a_long_chain(spark, monkeypatch, limit):
+    """Each text is like its neighbours only; boilerplate that many share links nothing; units grow with neighbours."""
+    monkeypatch.setattr(near, "BROADCAST_GROUPS", limit)
+    monkeypatch.setattr(common, "BROADCAST_GROUPS", limit)
+    monkeypatch.setattr(common, "HOT", 3)
+    random.seed(7)
+    words = [f"c{i}" for i in range(1200)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 90])) for i in range(150)]
+    shared = [f"b{i}" for i in range(30)]
+    rows += [(1000 + i, " ".join(shared + [f"x{i}_{k}" for k in range(30)])) for i in range(80)]
+    rows += [(2000 + i, rows[i % 5][1]) for i in range(30)]
+    seen = []
+    real = near._residue
+    monkeypatch.setattr(near, "_residue", lambda members, *a: seen.append(members.count()) or real(members, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.near_components(df, plan=near.Plan(words=3, percent=80), tile=8).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 3, 80).items()} and len({got[i] for i in range(150)}) == 1
+    assert sum(seen) <= 80 * 32
+
+
+def test_near_where_labels_meet_in_buckets(spark):
+    """Families whose members are near to some of each other only, so that buckets hold several labels."""
+    random.seed(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for k in random.sample(range(60), random.choice([0, 1, 2, 3, 4])):
+            own[k] = f"z{i}_{k}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (5, 256):
+        got = {r.doc_id: r.component_id for r in near.near_components(df, plan=near.Plan(words=1, percent=92), tile=tile).collect()}
+        assert got == {i: c for i, (_, c) in brute_components(rows, 1, 92).items()}
+
+
+def test_near_estimate_follows_the_similarity():
+    plan = near.Plan(words=3, percent=85)
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 62, 400, dtype=np.uint64)
+    for share in (0.0, 0.1, 0.3):
+        other = base.copy()
+        other[: int(400 * share)] = rng.integers(1, 1 << 62, int(400 * share), dtype=np.uint64)
+        keys, odd = near._sketches(near._signatures([base, other], plan.bands * plan.rows), plan)
+        bits = np.bitwise_count(odd[0] ^ odd[1]).sum()
+        true = 1 - (1 - share) / (1 + share)
+        assert abs(plan.differing(bits) / (plan.bands * plan.rows) - true) < 0.15
+    assert plan.differing(0) == 0 and plan.most_differing < plan.bands * plan.rows * 0.5
+
+
+def test_near_where_an_id_has_several_texts(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, c), (5, c + " more")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near.near_components(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
 def test_near_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(2, "a b c d"), (2, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near.near_components(df).collect()), key=str)
@@ -183,7 +267,8 @@ def test_licenses(spark, docs, none):
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert rows[6].labels == "apache,gpl,mit" and rows[7].labels == "licenseref-x"
-    assert rows[6].expressions == ["apache-2.0 mit or gpl-2.0-only classpath-exception-2.0 with and"]
+    assert rows[6].expressions == ["(apache-2.0 or mit) and gpl-2.0-only with classpath-exception-2.0"] and rows[6].required == "gpl"
+    assert rows[6].options == ["apache-2.0+gpl-2.0-only with classpath-exception-2.0 | gpl-2.0-only with classpath-exception-2.0+mit"]
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(none).count() == 0
 
 
@@ -196,7 +281,36 @@ def test_shunting_yard(text, postfix):
 
 
 def test_expression_choices():
-    assert licenses.evaluate(licenses.parse_expression("(mit or isc) and gpl with x")) == [frozenset({"mit", "gpl with x"}), frozenset({"isc", "gpl with x"})]
+    got = licenses.evaluate(licenses.parse_expression("(mit or isc) and gpl with x"))
+    assert got.choices == {frozenset({"mit", "gpl with x"}), frozenset({"isc", "gpl with x"})}
+    assert (got.need, got.may, got.text) == ({"gpl with x"}, {"mit", "isc", "gpl with x"}, "(mit or isc) and gpl with x")
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_expressions_equal_their_truth_table(seed):
+    """A set of licences satisfies an expression just when it holds one of its choices."""
+    random.seed(seed)
+
+    def grow(depth):
+        if depth == 0 or random.random() < 0.2:
+            return random.choice("abcd")
+        return f"({grow(depth - 1)} {random.choice(['and', 'or'])} {grow(depth - 1)})"
+
+    said = grow(4)
+    got = licenses.evaluate(licenses.parse_expression(said))
+    for k in range(16):
+        held = {c for i, c in enumerate("abcd") if k >> i & 1}
+        assert eval(re.sub(r"\b[a-d]\b", lambda m: str(m[0] in held), said)) == any(c <= held for c in got.choices)
+    assert got.need == frozenset.intersection(*got.choices) and licenses.evaluate(licenses.parse_expression(got.text)).choices == got.choices
+
+
+def test_choices_change_what_is_asked_for(spark):
+    said = ["MIT OR GPL-2.0", "MIT AND GPL-2.0", " AND ".join(f"(a{i} OR b{i})" for i in range(30))]
+    rows = licenses.scan_licenses(spark.createDataFrame([(i, f"SPDX-License-Identifier: {s}") for i, s in enumerate(said)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (rows[0].options, rows[0].required) == (["gpl-2.0 | mit"], "") and (rows[1].options, rows[1].required) == (["gpl-2.0+mit"], "gpl,mit")
+    assert rows[0].labels == rows[1].labels == "gpl,mit" and rows[0].score < rows[1].score
+    assert rows[2].options == [""] and len(rows[2].labels.split(",")) == 60
+    assert [licenses.family(x) for x in ("gpl-2.0-or-later", "bsd-3-clause", "cc-by-sa-4.0", "apache-2.0", "mit-0", "zlib", "mpl-2.0-no-copyleft-exception", "gpl+")] == ["gpl", "bsd", "cc-by-sa", "apache", "mit", "zlib", "mpl", "gpl"]
 
 
 def test_mixing(spark, docs, none):
@@ -225,6 +339,77 @@ def test_mixing(spark, docs, none):
     assert empty.count() == 2
 
 
+def plain_mix(rows, budget, entropy, repeats, blocks, seed="mix"):
+    """The draws of mix_sources in plain Python, the exponent by bisection: {(doc_id, text): copies}. rows: (doc_id, source, text, tokens)."""
+    import xxhash
+
+    def h(*values):
+        at = 42
+        for x in values:
+            if x is not None:
+                raw = x.encode() if isinstance(x, str) else int(x).to_bytes(4 if isinstance(x, bool) else 8, "little", signed=True)
+                at = xxhash.xxh64_intdigest(raw, at)
+        return at - (1 << 64) if at >= 1 << 63 else at
+
+    held, sizes = {}, {}
+    for r in rows:
+        key = (r[1] is None, r[1] or "")
+        block = h(seed, r[0], r[2]) % blocks
+        held.setdefault(key, {}).setdefault(block, []).append(r)
+        sizes[key] = sizes.get(key, 0) + r[3]
+    total = sum(sizes.values())
+    share = {k: s / total for k, s in sizes.items() if s}
+
+    def weights(x):
+        z = sum(p**x for p in share.values())
+        return {k: p**x / z for k, p in share.items()}
+
+    def bisect(good):
+        low, high = 0.0, 1.0
+        if good(0.0):
+            return 0.0
+        if not good(1.0):
+            return 1.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if good(middle) else (middle, high)
+        return high
+
+    wanted = bisect(lambda x: -sum(w * math.log(w) for w in weights(x).values()) <= entropy * math.log(len(share)) + 1e-12)
+    limit = bisect(lambda x: max(budget * total * w / sizes[k] for k, w in weights(x).items()) <= repeats)
+    w = weights(max(wanted, limit))
+    out = {}
+    for key, of in held.items():
+        drawn = round(w[key] * budget * total) if sizes[key] else 0
+        passes, room = divmod(drawn, sizes[key]) if sizes[key] else (1, 0)
+        for block in sorted(of, key=lambda b: (h(seed, *key, b), b)):
+            for r in sorted(of[block], key=lambda r: (h(f"{seed} inside", r[0], r[2]), r[0])):
+                out[r[0], r[2]] = out.get((r[0], r[2]), 0) + passes + (room > 0)
+                room -= r[3]
+    return {k: n for k, n in out.items() if n}
+
+
+@pytest.mark.parametrize("entropy,repeats", [(0.95, 2.0), (0.9, 10.0), (0.99, 1.3)])
+def test_mixing_equals_plain_draws(spark, entropy, repeats):
+    random.seed(5)
+    rows = [(i, random.choices(["big", "mid", "small", None, "bare"], [60, 25, 8, 4, 3])[0], f"text {i % 180} é") for i in range(400)]
+    rows = [(i, s, t, 0 if s == "bare" else random.randrange(0, 40)) for i, s, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, k long")
+    got = mixing.mix_sources(df, entropy=entropy, repeats=repeats, blocks=16, tokens="k")
+    counts = {(r.doc_id, r.text): r.n for r in got.groupBy("doc_id", "text").agg(F.count("*").alias("n")).collect()}
+    assert counts == plain_mix(rows, 1.0, entropy, repeats, 16)
+
+
+def test_mixing_leaves_clashing_columns_alone(spark):
+    df = spark.createDataFrame([(i, "s", "a b") for i in range(9)], "doc_id long, source string, text string")
+    for c in ("__block", "__key", "__plan", "__copies", "size"):
+        df = df.withColumn(c, F.lit(777))
+    got = mixing.mix_sources(df)
+    assert got.columns == [*df.columns, "__tokens", "__epoch", "__at"] and got.where("`__block` = 777 and `__copies` = 777 and `__key` = 777").count() == 9
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df.withColumn("__AT", F.lit(1)))
+
+
 def test_mixing_by_token_counts(spark):
     """Lines and unspaced texts weigh by their tokens, repeated ids by their own texts."""
     rows = [(i % 90, "lines" if i % 2 else "spaced", ("\n" if i % 2 else " ").join(["word"] * 10)) for i in range(200)] + [(500, "lines", None), (501, "spaced", "")]
@@ -236,3 +421,21 @@ def test_mixing_by_token_counts(spark):
     made = {r.doc_id: r.n_tokens for r in queries.op8_source_mixing(spark, "/root/testdata/sf0.001").collect()}
     op7 = {r.doc_id: r.n_tokens for r in queries.op7_token_counts(spark, "/root/testdata/sf0.001").collect()}
     assert made and all(op7[i] == n for i, n in made.items())
+
+
+def test_chance_law_is_that_of_exponential_excesses():
+    rng = np.random.default_rng(3)
+    rate, decay = toxicity.chance_law(1 + rng.exponential(1 / 2.5, 4000), 1_000_000)
+    assert decay == pytest.approx(2.5, rel=0.1) and rate * math.exp(-decay) == pytest.approx(4001 / 1_000_000)
+    assert toxicity.chance_law(np.zeros(0), 0) == (pytest.approx(math.e), 1.0)
+
+
+def test_toxicity_learns_from_one_text_of_a_repeated_id(spark):
+    clean, bad = "the sun is warm and bright today", "you vile scum rotten filth"
+    rows = [(i, f"{bad if i % 2 else clean} word{i}") for i in range(60)] + [(1, f"{bad} again")] * 50 + [(None, bad), (100, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_toxicity(df, labels).collect()
+    assert len(got) == len(rows) and all(r.predicted == (r.doc_id % 2 if r.doc_id is not None and r.doc_id < 60 else int(r.doc_id is None)) for r in got)
+    named = df.withColumn("toxic", F.lit("x")).withColumn("score", F.lit("y"))
+    assert toxicity.drop_toxic(named, labels).columns == named.columns

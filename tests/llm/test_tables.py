@@ -1,15 +1,19 @@
 """Operators on vectors, pages and conversations, and the pipeline, against plain Python."""
 
 import hashlib
+import math
+import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talkmill.llm import chat, queries, urls, vectors
+from talkmill.llm import chat, common, mixing, near, oracles, queries, toxicity, urls, vectors
+from talkmill.llm.tokens import with_token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,14 +57,57 @@ def test_near_vectors_edges(spark):
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == [(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, True)]
 
 
+def test_near_vectors_at_the_limit(spark):
+    """Cosines within rounding of the limit go by the vectors as given."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        x = rng.normal(size=16)
+        y = rng.normal(size=16)
+        y -= x * (x @ y) / (x @ x)
+        y *= np.sqrt(x @ x) / np.sqrt(y @ y)
+        rows += [(2 * i, x.tolist(), i), (2 * i + 1, (0.93 * x + np.sqrt(1 - 0.93**2) * y).tolist(), i)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    want = {}
+    for i in range(40):
+        a, b = np.array(rows[2 * i][1]), np.array(rows[2 * i + 1][1])
+        on = vectors._exact(a, b) >= 0.93
+        want |= {2 * i: (int(on), 2 * i), 2 * i + 1: (int(on), 2 * i if on else 2 * i + 1)}
+    assert got == want and 0 < sum(n for n, _ in want.values()) < 80
+
+
+def test_near_vectors_of_one_large_label(spark, monkeypatch):
+    """Nine tenths under one label, in small tiles and blocks, and tables too large to broadcast."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 20))
+    rows = [(i, (centres[i % 12] + rng.normal(size=20) * 0.3).astype(np.float32).tolist(), "big" if i % 10 else "small") for i in range(260)]
+    rows += [(1000 + i, rows[i % 3][1], rows[i % 3][2]) for i in range(20)]
+    want = brute_vectors(rows, 0.93)
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    monkeypatch.setattr(vectors, "PARTNERS", 2)
+    for limit in (10**6, 0):
+        monkeypatch.setattr(vectors, "BROADCAST_GROUPS", limit)
+        monkeypatch.setattr(common, "BROADCAST_GROUPS", limit)
+        monkeypatch.setattr(common, "HOT", 2)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string"), tile=7).collect()}
+        assert got == want
+
+
+def test_near_vectors_where_an_id_has_several(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.0], "a"), (3, [0.0, 1.0], "a")]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()]
+    assert sorted(got) in ([(1, 0, 1), (1, 1, 1), (2, 0, 2), (3, 1, 1)], [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)])
+
+
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
-def plain_rule(url):
+def plain_rule(url, rules=RULES):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].translate({i: i + 32 for i in range(65, 91)}), m[2]) if m else ("", "")
     best = None
-    for verdict, rule in RULES:
+    for verdict, rule in rules:
         h, _, p = rule.partition("/")
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
             best = (verdict, rule)
@@ -102,6 +149,69 @@ def test_url_branches_without_labels_stay_apart(spark):
         assert (got[url].verdict, got[url].template) == (verdict, template), url
 
 
+def plain_urls(rows, rules, variable=0.5, least=8, z=1.96, smooth=4.0, reject=0.7, margin=0.3):
+    """judge_urls in plain Python, a node of the tree at a time: {url: (template, purity, verdict)}. rows: urls."""
+    pages = []
+    for u in rows:
+        host, path, best = plain_rule(u, rules)
+        pages.append([u, host, path, best and best[0], [s for s in path.split("/") if s], ""])
+    for level in range(max(len(p[4]) for p in pages)):
+        nodes = {}
+        for p in pages:
+            if len(p[4]) > level:
+                nodes.setdefault((p[1], p[5]), []).append(p)
+        for of in nodes.values():
+            children = {}
+            for p in of:
+                children.setdefault(p[4][level], []).append(p)
+            labels = lambda ps: (sum(p[3] is not None for p in ps), sum(p[3] == "block" for p in ps))
+            names, (n_all, bad_all) = {}, labels(of)
+            for s, ps in children.items():
+                n, bad = labels(ps)
+                rest = n_all - n
+                own, other = (bad + 1) / (n + 2), (bad_all - bad + 1) / (rest + 2)
+                error = math.sqrt(own * (1 - own) / (n + 2) + other * (1 - other) / (rest + 2))
+                if re.search(r"^[0-9]+(\.[a-z]+)?$|[0-9a-f]{8}", s) or len(of) >= least and len(children) >= variable * len(of):
+                    names[s] = "*"
+                else:
+                    names[s] = "?" if n >= least and rest >= least and abs(own - other) + z * error <= margin else s
+            for p in of:
+                p[5] = f"{p[5]}/{names[p[4][level]]}"
+    by = {}
+    for p in pages:
+        for key in ((p[1], p[5]), (p[1],), ()):
+            by.setdefault(key, []).append(p[3])
+    out = {}
+    for u, host, path, ruled, _, template in pages:
+        n, bad = (sum(x is not None for x in by[host, template]), sum(x == "block" for x in by[host, template]))
+        above = [x for x in by[()] if x]
+        share = sum(x == "block" for x in above) / len(above) if above else 0.0
+        mine = [x for x in by[(host,)] if x]
+        share = (sum(x == "block" for x in mine) + smooth * share) / (len(mine) + smooth)
+        purity = (bad + smooth * share) / (n + smooth)
+        low = (bad / n + z * z / (2 * n) - z * math.sqrt(bad / n * (1 - bad / n) / n + z * z / (4 * n * n))) / (1 + z * z / n) if n else 0.0
+        out[u] = (template, purity, ruled or ("block" if purity >= reject and low >= 0.5 else "allow"))
+    return out
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_urls_equal_the_plain_tree(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_GROUPS", limit)
+    monkeypatch.setattr(common, "HOT", 20)
+    random.seed(6)
+    rows = [f"http://{h}.com/{'/'.join(random.choice(['en', 'de', 'news', 'shop', 'x1', str(random.randrange(9))]) for _ in range(random.randrange(4)))}" for h in "aab" for _ in range(150)]
+    rows += [f"http://a.com/en/{random.choice('pqr')}/{random.randrange(60)}" for _ in range(120)] + [None, "x", "http://c.com/en/1"]
+    rows += [f"http://{h}.com/item/{i}" for h in "ac" for i in range(60)] + [f"http://c.com/item/{i}/x" for i in range(30)]
+    rules = (("block", "com/en/p"), ("block", "com/en/q"), ("allow", "com/en/r/1"), ("block", "com/shop"), ("block", "com/item/1"), ("allow", "c.com/item/2"), ("allow", "a.com/news/"), ("block", "b.com/de/"))
+    want = plain_urls(rows, rules)
+    got = urls.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules=rules).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        template, purity, verdict = want[rows[r.page_id]]
+        assert (r.template, r.verdict) == (template, verdict) and r.purity == pytest.approx(purity), rows[r.page_id]
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
 def brute_chats(rows):
     out = {}
     for c in {r[0] for r in rows}:
@@ -131,6 +241,22 @@ def test_chats_come_back(spark):
     assert chat.format_chats(df.where("conv_id < 0")).count() == 0
 
 
+def plain(x):
+    return round(x, 6) + 0.0 if isinstance(x, float) else x
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{SF}/{f}')")
+    df = queries.QUERIES[name](spark, SF)
+    result = con.execute(oracles.ORACLES[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr) == sorted((tuple(map(plain, r)) for r in result.fetchall()), key=repr)
+
+
 def test_queries_return_their_columns(spark):
     want = {
         "op1_sentencepiece": "doc_id ids n_tokens", "op2_toxicity": "doc_id held_out score predicted", "op3_minhash_near_dedup": "doc_id n_shingles component_id kept", "op4_url_filters": "page_id host path rule verdict",
@@ -138,28 +264,65 @@ def test_queries_return_their_columns(spark):
         "op9_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op10_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     }
     assert set(queries.QUERIES) == set(want)
-    for name in ("op2_toxicity", "op6_license_scans", "op9_chat_formatting", "op10_exact_dedup"):
+    for name in set(want) - set(oracles.ORACLES):
         assert set(want[name].split()) <= set(queries.QUERIES[name](spark, SF).columns)
 
 
-def test_pipeline_equals_its_stages(spark):
+def test_pipeline_stages_equal_plain_python(spark):
+    """Each stage against plain Python on what the one before it left; then run() against the stages."""
+    import sentencepiece
+    from tests.llm.test_documents import brute_components, plain_mix
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
-    rows = {r.doc_id: r.text for r in docs.collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
+    lower = {i: i + 32 for i in range(65, 91)}
+
+    def toxic(rows):
+        bad = {r.doc_id for r in toxicity.score_toxicity(docs, labels).where("predicted = 1").collect()}
+        return [i for i, _, _ in rows if i not in bad]
+
+    def exact(rows):
+        groups = {}
+        for i, _, t in rows:
+            groups.setdefault((t or "").translate(lower), []).append(i)
+        return [max(g) for g in groups.values()]
+
+    def close(rows):
+        return [i for i, (_, c) in brute_components([(i, t) for i, _, t in rows], 5, 80).items() if i == c]
+
+    def mixed(rows):
+        n = {r.doc_id: r.k for r in with_token_counts(now, queries.MODEL, "k").collect()}
+        return [i for (i, _), k in plain_mix([(i, s, t, n[i]) for i, s, t in rows], 1.0, 0.95, 2.0, 1024).items() for _ in range(k)]
+
     now = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, now = now, stage(spark, now, SF).cache()
+    for (name, stage), twin in zip(corpus_pipeline.STAGES[:-1], (toxic, exact, close, mixed)):
+        rows = [(r.doc_id, r.source, r.text) for r in now.collect()]
+        want = sorted(twin(rows))
+        now = common.cut(stage(spark, now, SF))
         assert now.columns == docs.columns
-        ids = [r.doc_id for r in now.select("doc_id").collect()]
-        assert set(ids) <= {r.doc_id for r in before.select("doc_id").collect()}
-        if name == "exact_dedup":
-            groups = {}
-            for r in before.collect():
-                groups.setdefault(r.text.translate({i: i + 32 for i in range(65, 91)}), []).append(r.doc_id)
-            assert sorted(ids) == sorted(max(g) for g in groups.values())
+        assert sorted(r.doc_id for r in now.select("doc_id").collect()) == want, name
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
+    want = sorted((r.doc_id, tuple(model.encode(r.text or ""))) for r in now.collect())
     last = corpus_pipeline.STAGES[-1][1](spark, now, SF)
-    assert sorted(r.doc_id for r in last.collect()) == sorted(ids) and last.where("not round_trip").count() == 0
+    assert sorted((r.doc_id, tuple(r.ids)) for r in last.collect()) == want and last.where("not round_trip").count() == 0
     whole = corpus_pipeline.run(spark, SF)
-    assert sorted((r.doc_id, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id, r.n_tokens) for r in last.collect())
-    assert set(ids) <= set(rows)
+    assert sorted((r.doc_id, tuple(r.ids)) for r in whole.collect()) == want
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, empty, blank and long texts, repeated rows, clashing names; and an empty table."""
+    long = " ".join(f"w{i}" for i in range(30000)) + " " + "x" * 20000
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, " \t", "en", "a"), (4, "Same text here", None, "a"), (5, "same TEXT here", "en", None), (6, long, "en", "b"), (6, long, "en", "b"), (None, "no id", "en", "a"), (None, None, None, None), (7, "one more text", "en", "a"), (7, "one more text", "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    for c in ("n", "md5", "norm", "best", "gone", "tokens", "epoch", "at", "__key", "id", "score"):
+        docs = docs.withColumn(c, F.lit(9))
+    left = {"toxicity": 11, "exact_dedup": 6, "near_dedup": 10, "mixing": None}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.where("n <> 9 or md5 <> 9 or gone <> 9 or at <> 9").count() == 0
+        assert left[name] is None or got.count() == left[name], name
+        assert stage(spark, docs.where("doc_id < 0"), SF).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == len(rows) and last.where("not round_trip").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("doc_id < 0"), SF).count() == 0

@@ -104,3 +104,63 @@ def test_pairs_side_by_side(vocabulary, library):
         left, right = library.id_to_piece(a), library.id_to_piece(b)
         steps = pieces._merged(left + right, score)
         assert g == ([s[0] for s in steps if s[1] == ""] == [left, right]), (left, right)
+
+
+def test_long_runs_without_spaces(library):
+    """Blocks and mended seams give the library's ids, whatever the text; a million characters take seconds."""
+    import time
+
+    v = pieces.load_vocabulary(MODEL)
+    encoder, counter = tokens.Encoder(v), tokens.Counter(v)
+    random.seed(4)
+    words = "the quick brown fox jumps over lazy dogs information international understanding".split()
+    texts = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (511, 512, 513, 1025, 30000)]
+    texts += ["".join(random.choice(words) for _ in range(2000)), "ab" * 5000, "a" * 3000, "漢字かな" * 700, "".join(random.choice("abc漢́😀") for _ in range(4000)), "x" * 600 + "  " + "y" * 700]
+    ids, n = encoder(pa.array(texts))
+    at = 0
+    for t, k in zip(texts, n.tolist(), strict=True):
+        assert ids[at : at + k].tolist() == library.encode(t)
+        at += k
+    assert counter(pa.array(texts))[0].tolist() == n.tolist()
+    million = "".join(random.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    began = time.time()
+    assert encoder(pa.array([million]))[0].tolist() == library.encode(million)
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("size", [16, 23, 64])
+def test_blocks_of_any_size(library, monkeypatch, size):
+    """Small blocks, so that many seams need mending, some over and over; best paths against a plain DP."""
+    monkeypatch.setattr(tokens, "LONG", size)
+    monkeypatch.setattr(tokens, "SIDE", 3)
+    v = pieces.load_vocabulary(MODEL)
+    random.seed(size)
+    texts = ["".join(random.choice(a) for _ in range(random.randrange(1, 400))) for a in ("abcdefghij", "etaoin", "ABCabc123", "thean") for _ in range(15)]
+    ids, n = tokens.Encoder(v)(pa.array(texts))
+    bpe, best = tokens.Counter(v)(pa.array(texts))
+    score = {library.id_to_piece(i): library.get_score(i) for i in range(library.get_piece_size()) if v.length[i]}
+    at = 0
+    for t, k, b, u in zip(texts, n.tolist(), bpe.tolist(), best.tolist(), strict=True):
+        assert ids[at : at + k].tolist() == library.encode(t) and b == k
+        at += k
+        said = "▁" + t
+        state = [(0.0, 0)]
+        for e in range(1, len(said) + 1):
+            state.append(max((state[s][0] + score[said[s:e]], state[s][1] - 1) for s in range(max(0, e - 16), e) if said[s:e] in score))
+        assert u == -state[-1][1]
+
+
+def test_units_of_one_hash_are_told_apart(library, monkeypatch):
+    """With a hash that knows only a unit's length, ids and counts are still right."""
+    v = pieces.load_vocabulary(MODEL)
+    real = tokens.units_of
+
+    def weak(texts, v):
+        u = real(texts, v)
+        return u._replace(hash=np.diff(np.append(u.start, len(u.code))).astype(np.uint64))
+
+    monkeypatch.setattr(tokens, "units_of", weak)
+    encoder, counter = tokens.Encoder(v), tokens.Counter(v)
+    for texts in (["one two six ten", "the cat sat on a mat"], ["red fox é ran far", "one", "sixteen"]):
+        ids, n = encoder(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in library.encode(t)] and counter(pa.array(texts))[0].tolist() == n.tolist()
