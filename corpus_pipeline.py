@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmill.llm.common import cut
+from talkmill.llm.common import cut, fresh
 from talkmill.llm.exact import drop_exact
 from talkmill.llm.mixing import mix_sources
 from talkmill.llm.near import drop_near
@@ -14,33 +14,39 @@ from talkmill.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the model fitted on all labels doesn't predict toxic."""
+    """Rows that the model fitted on all labels doesn't predict toxic. Null, empty and blank texts stay; repeated rows
+    share their fate; without labels of both kinds, or on an empty table, nothing goes. Very long texts are read whole;
+    further columns, whatever their names, come along."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id."""
+    """Of equal texts (A-Z lower-cased, null as empty), the row with the largest id; of rows that repeat that id and text,
+    one. An empty table stays empty; further columns, whatever their names, come along."""
     return drop_exact(docs, keep="max")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 80 %), the document with the smallest id."""
+    """Of each group of near copies (five words, 80 %), the document with the smallest id. Null, empty and blank texts and
+    null ids stay, as do repeated rows of a document that stays. An empty table stays empty; further columns come along."""
     return drop_near(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix draws them."""
-    return mix_sources(cut(with_token_counts(docs, MODEL, "__n")), tokens="__n").drop("__n", "__tokens", "__epoch", "__at")
+    """Rows as often as the mix draws them, by their numbers of tokens. Null sources are one source; texts without tokens
+    come with their block; repeated rows are drawn each on their own. An empty table stays empty; further columns come along."""
+    n, *names = fresh(docs, "n", "tokens", "epoch", "at")
+    return mix_sources(cut(with_token_counts(docs, MODEL, n)), tokens=n, names=tuple(names)).drop(n, *names)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and round_trip of each row."""
+    """doc_id, ids, n_tokens and round_trip of each row. Null and empty texts have no ids; repeated rows are encoded alike."""
     return encode(docs, MODEL)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]
 
-#: The stages' models and encodings are beyond SQL; tests hold run() against a plain version.
+#: The stages' models and encodings are beyond SQL; tests hold each stage against plain Python on what it was given, and run() against the stages.
 ORACLE_SQL = None
 
 
