@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,3 +207,20 @@ def sample_id(run_id: Column, index: Column) -> Column:
 
 def fixed3(x: Column) -> Column:
     return F.format_string("%.3f", x)
+
+
+def stable_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the fields as JSON: keys sorted, nulls kept, a space after commas and colons, no other escapes than JSON needs."""
+    items = [F.concat(F.lit(f"{json.dumps(k, ensure_ascii=False)}: "), json_text(fields[k])) for k in sorted(fields)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}")), 256)
+
+
+def json_text(value: Column) -> Column:
+    """A column as JSON text: strings quoted, numbers and booleans bare, null for null."""
+    return F.regexp_extract(F.to_json(F.struct(value.alias("x")), {"ignoreNullFields": "false"}), r"(?s)^\{\"x\":(.*)\}$", 1)
+
+
+def bundle_hash(rows: DataFrame, by: list[str], label: str, text: str, head: str = "") -> DataFrame:
+    """by.., bundle: SHA-256 of `head` and each label with its text, a line each, in order of labels. A bundle is a few prompts."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(label, text))), lambda x: F.concat(x[label], F.lit("\n"), x[text]))
+    return rows.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.lit(head), F.array_join(parts, "\n")), 256).alias("bundle"))

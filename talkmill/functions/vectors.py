@@ -58,7 +58,7 @@ def recency(created: Column, now: Column) -> Column:
     return 1 / (1 + F.log1p(F.greatest(now - created, F.lit(0.0)) / 86400))
 
 
-def softmax(logits: Column, temperature: float) -> Column:
+def softmax(logits: Column, temperature: float | Column) -> Column:
     powers = F.transform(logits, lambda x: F.exp((x - F.array_max(logits)) / temperature))
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
 

@@ -83,3 +83,37 @@ def stage(history: Column) -> Column:
 def context(cards: Column, external: Column, k: int, enabled: bool = True) -> Column:
     """The first k cards, then external ones, at most k and their number together; only external ones if disabled."""
     return F.slice(F.concat(F.slice(cards, 1, k) if enabled else F.array().cast("array<string>"), external), 1, F.lit(k) + F.size(external))
+
+
+def secondary_safety(raw: Column) -> dict[str, Column]:
+    """level, unavailable, signals, rationale of a judge's secondary safety JSON: what is missing or no object, or has an
+    unknown level, counts as yellow and unavailable, with the signal that says why."""
+    value = F.trim(F.coalesce(raw, F.lit("")))
+    there = value.startswith("{") & F.try_parse_json(F.when(value.startswith("{"), value)).isNotNull()
+    level = F.trim(F.get_json_object(value, "$.risk_level"))
+    known = there & F.coalesce(level.isin("green", "yellow", "red"), F.lit(False))
+    listed = F.get_json_object(value, "$.matched_signals")
+    signals = F.when(F.coalesce(listed.startswith("["), F.lit(False)), F.coalesce(F.from_json(listed, "array<string>"), string_array([]))).otherwise(string_array([]))
+    return {
+        "level": F.when(known, level).otherwise("yellow"),
+        "unavailable": ~known,
+        "signals": F.when(~there, string_array(["secondary_safety_missing"])).when(~known, string_array(["secondary_safety_invalid"])).otherwise(signals),
+        "rationale": F.when(known, F.coalesce(F.nullif(F.trim(F.get_json_object(value, "$.rationale")), F.lit("")), F.lit("reviewed"))).otherwise("unavailable"),
+    }
+
+
+#: Own patterns of questions that push or only seem to ask.
+PUSHY = r"(?i)why don't you|shouldn't you|you must|isn't it obvious"
+
+
+def turn_checks(pairs: DataFrame, first: Column, passes: Column) -> dict[str, Column]:
+    """Checks of a pair table (c1_text, c2_text, c1_er, c2_er, c1_ip, c2_ip): a first turn asks nothing and doesn't push (later
+    ones pass these), c1 feels more, c2 solves more, and whether all or any candidates pass; passes: array of booleans."""
+    texts = [F.coalesce(F.col(f"{c}_text"), F.lit("")) for c in ("c1", "c2")]
+    asks = texts[0].rlike("[?？]") | texts[1].rlike("[?？]")
+    pushes = texts[0].rlike(PUSHY) | texts[1].rlike(PUSHY)
+    more = lambda a, b: F.coalesce(F.col(a) > F.col(b), F.lit(False))
+    return {
+        "no_question": ~first | ~asks, "no_push": ~first | ~pushes, "c1_er_more": more("c1_er", "c2_er"), "c2_ip_more": more("c2_ip", "c1_ip"),
+        "all_pass": F.forall(passes, lambda x: x), "any_pass": F.exists(passes, lambda x: x),
+    }

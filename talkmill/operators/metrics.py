@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import softmax
+from .rules import lowered_level
+
 CLASSES = ("green", "yellow", "red")
 
 
-def confusion(rows: DataFrame, by: list[str], truth: str = "truth", level: str = "level") -> DataFrame:
-    """by.. and nine counts n_<truth>_<level>, by partial aggregation of the rows as they stream."""
-    return rows.groupBy(*by).agg(*(F.count_if((F.col(truth) == t) & (F.col(level) == p)).alias(f"n_{t}_{p}") for t in CLASSES for p in CLASSES))
+def confusion(rows: DataFrame, by: list[str], truth: str = "truth", level: str = "level", weight: str | None = None) -> DataFrame:
+    """by.. and nine counts n_<truth>_<level>, by partial aggregation of the rows as they stream; a row counts as many times as its weight says."""
+    here = lambda t, p: (F.col(truth) == t) & (F.col(level) == p)
+    counted = lambda t, p: F.count_if(here(t, p)) if weight is None else F.coalesce(F.sum(F.when(here(t, p), F.col(weight))), F.lit(0))
+    return rows.groupBy(*by).agg(*(counted(t, p).alias(f"n_{t}_{p}") for t in CLASSES for p in CLASSES))
 
 
 def measures() -> dict[str, Column]:
@@ -30,19 +35,77 @@ def measures() -> dict[str, Column]:
     }
 
 
-def sweep(scored: DataFrame, grid: DataFrame, level: Column) -> DataFrame:
-    """grid plus measures of each setting. scored holds truth and small numbers only (no text); the grid is broadcast and rows fold straight into nine counts."""
-    return confusion(scored.crossJoin(F.broadcast(grid)).withColumn("level", level), grid.columns).withColumns(measures())
+def policy_sweep(scored: DataFrame, alphas: list[float], temperatures: list[float], reds: list[float], yellows: list[float], modes: list[str], rounded: int = 9) -> DataFrame:
+    """One row per setting: alpha, temperature, red, yellow, mode, val_objective, test_green_to_red, test_macro_f1 and rank; the best has rank 1.
+
+    scored: split (validation or test), truth, base and keyword (logits of CLASSES as arrays; alpha weighs the keywords'
+    share), idiom, bullying, negated, red_necessary. Settings whose yellow threshold is no more than half the red one are
+    left out. Thresholds are monotone, so rows are first folded to counts by (split, truth, signals, thresholds passed)
+    of each alpha and temperature; the thresholds and modes sweep that small table. Text never comes along.
+    """
+    flags = ["idiom", "bullying", "negated", "red_necessary"]
+    reds, yellows = sorted(reds), sorted(yellows)
+    heats = F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(t)).alias("temperature")) for a in alphas for t in temperatures))
+    rows = scored.select("split", "truth", *flags, "base", "keyword", F.explode(heats).alias("h")).select("split", "truth", *flags, "base", "keyword", "h.alpha", "h.temperature")
+    logits = F.zip_with("base", "keyword", lambda b, k: b + F.col("alpha") * k)
+    p = rows.withColumn("p", softmax(logits, F.col("temperature")))
+    passed = lambda x, limits: sum((F.when(x >= float(t), 1).otherwise(0) for t in limits), F.lit(0))
+    danger, any_ = F.col("p")[2], F.col("p")[1] + F.col("p")[2]
+    folded = p.select("split", "truth", *flags, "alpha", "temperature", passed(danger, reds).alias("i"), passed(any_, yellows).alias("j"), (danger >= 0.8).alias("sure"))
+    cells = folded.groupBy(*folded.columns).agg(F.count("*").alias("n"))
+    grid = [(r, y, m, i, j) for i, r in enumerate(reds) for j, y in enumerate(yellows) for m in modes if y > r * 0.5]
+    names = ("red", "yellow", "mode", "at", "or_at")
+    settings = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, g))) for g in grid))
+    swept = cells.withColumn("s", F.explode(settings)).select(*cells.columns, "s.*")
+    yellow = F.col("j") > F.col("or_at")
+    plain = F.when(F.col("i") > F.col("at"), "red").when(yellow, "yellow").otherwise("green")
+    level = lowered_level(plain, yellow, F.col("sure"), {f: F.col(f) for f in flags}, F.col("mode"))
+    keys = ["alpha", "temperature", "red", "yellow", "mode"]
+    judged = confusion(swept.withColumn("level", level), [*keys, "split"], weight="n").withColumns(measures())
+    pick = lambda split, m: F.round(F.max(F.when(F.col("split") == split, F.col(m))), rounded)
+    table = judged.groupBy(*keys).agg(pick("validation", "objective").alias("val_objective"), pick("test", "green_to_red").alias("test_green_to_red"), pick("test", "macro_f1").alias("test_macro_f1"))
+    # As many rows as there are settings, whatever the data.
+    best = Window.orderBy(F.desc("val_objective"), "test_green_to_red", F.desc("test_macro_f1"), *keys)
+    return table.withColumn("rank", F.row_number().over(best))
+
+
+def order_statistics(rows: DataFrame, value: str, places, buckets: int = 4096, few: int = 65_536) -> tuple[int, list[float]]:
+    """(n, the values at the places(n) of all n sorted ones, nulls and NaN aside), exactly.
+
+    Counts in buckets between the least and the largest value show which one holds a place; that one is cut again, until
+    its values are all equal or `few`. What comes back from a pass are counts: at most `buckets` or `few` rows.
+    """
+    x = rows.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    known: dict[tuple, list] = {}
+
+    def cut(low: float, high: float, size: int) -> list[tuple[float, float, int]]:
+        """(least, largest, count) of each bucket between low and high, in order."""
+        if (low, high) not in known:
+            part, width = x.where(F.col("x").between(low, high)), high / buckets - low / buckets
+            whole = size <= few or width == 0
+            key = F.col("x") if whole else F.floor((F.col("x") / width) - F.lit(low / width))
+            counts = part.groupBy(key.alias("k")).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("c"))
+            known[low, high] = sorted((r.a, r.b, r.c) for r in counts.collect())
+        return known[low, high]
 
+    def find(place: int) -> float:
+        a, b, size = low, high, n
+        while a < b:
+            for first, last, count in cut(a, b, size):
+                if place < count:
+                    a, b, size = first, last, count
+                    break
+                place -= count
+        return a
 
-def best_setting(swept: DataFrame, ties: list[str]) -> DataFrame:
-    return swept.orderBy(F.desc(F.round("objective", 9)), F.round("green_to_red", 9), F.desc(F.round("macro_f1", 9)), *ties).limit(1)
+    return n, [find(p) for p in places(n)] if n else []
 
 
 def latencies(rows: DataFrame, value: str) -> DataFrame:
-    """One row: n, mean, median, least, most, and p95 at index round(0.95 (n - 1)), halves to even, from counts of distinct values."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value)))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
-    p95 = upto.crossJoin(F.broadcast(stats.select("n"))).agg(F.min(F.when(F.col("upto") > F.bround(0.95 * (F.col("n") - 1)), F.col(value))).alias("p95"))
-    return stats.crossJoin(p95)
+    """One row: n, mean, median, least, most, and p95 at index round(0.95 (n - 1)), halves to even; null values don't count."""
+    _, found = order_statistics(rows, value, lambda n: [(n - 1) // 2, n // 2, round(0.95 * (n - 1))])
+    low, high, p95 = found or (None, None, None)
+    middle = None if low is None else (low + high) / 2
+    stats = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return stats.select("n", "mean", F.lit(middle).cast("double").alias("median"), "least", "most", F.lit(p95).cast("double").alias("p95"))

@@ -81,3 +81,15 @@ def counted_exclusions(marked: DataFrame, reasons: list[str]) -> DataFrame:
     """(exclusion, n) of each reason, in their order and 0 where none has it."""
     counts = marked.agg(*(F.count_if(F.col("exclusion") == r).alias(r) for r in reasons))
     return counts.select(F.posexplode(F.array(*(F.struct(F.lit(r).alias("exclusion"), F.col(r).alias("n")) for r in reasons))).alias("position", "x")).select("position", "x.*")
+
+
+def pair_profile(pairs: DataFrame, counted: list[str], texts: list[str], reasons: str, most: int = 20) -> DataFrame:
+    """(part, value, n) of a package of pairs: total, counts of each column's values, least, largest and mean length of the
+    texts (mean to one place, as text), and the `most` commonest reasons, of equals the first by name."""
+    total = pairs.agg(F.count("*").alias("n")).select(F.lit("total").alias("part"), F.lit("pairs").alias("value"), F.col("n").cast("double"))
+    counts = distributions(pairs, counted).select(F.concat(F.lit("by_"), F.col("column")).alias("part"), "value", F.col("n").cast("double"))
+    lengths = pairs.select(F.explode(F.array(*(F.length(F.coalesce(t, F.lit(""))) for t in texts))).alias("x"))
+    spans = lengths.agg(F.coalesce(F.min("x"), F.lit(0)).alias("min"), F.coalesce(F.max("x"), F.lit(0)).alias("max"), F.coalesce(F.round(F.avg("x"), 1), F.lit(0.0)).alias("avg"))
+    spans = spans.select(F.explode(F.array(*(F.struct(F.lit(n).alias("value"), F.col(n).cast("double").alias("n")) for n in ("min", "max", "avg")))).alias("s")).select(F.lit("length").alias("part"), "s.value", "s.n")
+    common = pairs.select(F.explode(reasons).alias("value")).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most)
+    return total.unionByName(counts).unionByName(spans).unionByName(common.select(F.lit("top_reason").alias("part"), "value", F.col("n").cast("double")))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import order_statistics
+from .queues import numbered
+
 
 def draw(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") for k in keys)))
 
 
 def tercile_cuts(rows: DataFrame, score: str) -> DataFrame:
-    """One row (low, high): scores at index floor((n-1)/3) and floor(2(n-1)/3) of the sorted scores, from counts of distinct ones."""
-    counts = rows.groupBy(score).agg(F.count("*").alias("c"))
-    # Distinct rounded scores are few, whatever the number of rows.
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(score))).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
-    at = lambda k: F.min(F.when(F.col("upto") > F.floor(k * (F.col("n") - 1) / 3), F.col(score)))
-    return upto.agg(at(1).alias("low"), at(2).alias("high"))
+    """One row (low, high): scores at index floor((n-1)/3) and floor(2(n-1)/3) of the sorted scores."""
+    _, found = order_statistics(rows, score, lambda n: [(n - 1) // 3, 2 * (n - 1) // 3])
+    low, high = found or (None, None)
+    return rows.sparkSession.createDataFrame([(low, high)], "low double, high double")
 
 
 def tercile(score: Column) -> Column:
@@ -31,7 +32,7 @@ def water_fill(strata: DataFrame, parent: list[str], child: str, seed: str) -> D
 
 
 def stratified_sample(rows: DataFrame, key: str, levels: list[str], size: int, seed: str) -> DataFrame:
-    """`size` rows spread evenly over nested levels as far as there are rows, numbered in md5 order. Quotas come from the small table of counts; rows are only ranked in their stratum."""
+    """`size` rows spread evenly over nested levels as far as there are rows, numbered in md5 order. Keys are unique. Quotas come from the small table of counts; no stratum is sorted in one task."""
     available = rows.count()
     if size < 1 or size > available:
         raise ValueError(f"size {size} must be from 1 to {available}")
@@ -41,9 +42,10 @@ def stratified_sample(rows: DataFrame, key: str, levels: list[str], size: int, s
         counts = rows.groupBy(*parent, level).agg(F.count("*").alias("available"))
         counts = counts.withColumn("quota", F.lit(size).cast("long")) if quota is None else counts.join(quota, parent)
         quota = water_fill(counts, parent, level, seed)
-    place = Window.partitionBy(*levels).orderBy(draw(seed, key), key)
-    picked = rows.withColumn("place", F.row_number().over(place)).join(F.broadcast(quota), levels).where("place <= quota").drop("place", "quota")
-    # At most `size` rows are left to number.
+    # Keys are numbered in their strata; the rows of those within the quota, `size` at most, are then fetched.
+    narrow = rows.select(key, *levels).withColumn("__draw", draw(seed, key))
+    chosen = numbered(narrow, "__draw", key, within=tuple(levels)).join(quota, levels).where("number <= quota").select(key)
+    picked = rows.join(chosen, key)
     return picked.withColumn("sample_no", F.row_number().over(Window.orderBy(draw(f"{seed}|order", key), key)))
 
 
@@ -60,13 +62,12 @@ def sample_per_group(rows: DataFrame, group: str, key: str, k: int, seed: str) -
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, test: float, validation: float, seed: str) -> DataFrame:
-    """rows plus split: of each class `test` of all, then `validation` of what is left, rounded; the rest is train."""
+    """rows plus split: of each class `test` of all, then `validation` of what is left, rounded; the rest is train. No class is sorted in one task."""
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    place = Window.partitionBy(label).orderBy(draw(seed, key), key)
     n_test = F.round(F.col("n") * test)
     n_val = F.round((F.col("n") - n_test) * validation)
-    ranked = rows.withColumn("place", F.row_number().over(place)).join(F.broadcast(counts), label)
-    return ranked.withColumn("split", F.when(F.col("place") <= n_test, "test").when(F.col("place") <= n_test + n_val, "validation").otherwise("train")).drop("place", "n")
+    ranked = numbered(rows.withColumn("__draw", draw(seed, key)), "__draw", key, within=(label,)).join(counts, label)
+    return ranked.withColumn("split", F.when(F.col("number") <= n_test, "test").when(F.col("number") <= n_test + n_val, "validation").otherwise("train")).drop("number", "n", "__draw")
 
 
 def keep_one(rows: DataFrame, key: str, order: str, last: bool = False) -> DataFrame:

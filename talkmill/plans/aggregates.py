@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import agreement, features, labels, metrics, pairs, rules, scores
 from .registry import query
+from .rules import SIGNALS
+from .views import spoken
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]{2,}')"
 
@@ -208,13 +210,25 @@ def _(v):
     return m.select("n_green_red", "n_red_red", *(F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "balanced", "objective")))
 
 
-@query("a36_sweep", "WITH {views}, g AS (SELECT r / 20.0::DOUBLE AS red, y / 20.0::DOUBLE AS yellow FROM range(4, 17) a(r), range(4, 17) b(y) WHERE y > r / 2), c AS (SELECT g.red, g.yellow, safety AS truth, CASE WHEN p_red >= red THEN 'red' WHEN p_yellow + p_red >= yellow THEN 'yellow' ELSE 'green' END AS level FROM probabilities JOIN examples USING (doc_id), g WHERE safety <> 'reject'), " + f"n AS (SELECT red, yellow, {COUNTS} FROM c GROUP BY red, yellow) SELECT red, yellow, round({OBJECTIVE}, 9) AS objective, round({MACRO}, 9) AS macro_f1 FROM n")
+SWEPT = """y AS (SELECT CASE d.doc_id % 3 WHEN 0 THEN 'validation' ELSE 'test' END AS split, safety AS truth, idiom, bullying, negated, necessary, ln(p_green) AS g, ln(p_yellow) AS y, ln(p_red) AS r, CASE WHEN quiet THEN 0.0 ELSE 0.5 END::DOUBLE AS ky, CASE WHEN necessary THEN 1.0 ELSE 0.0 END::DOUBLE AS kr FROM d JOIN examples e ON e.doc_id = d.doc_id WHERE safety <> 'reject' AND d.doc_id % 3 < 2),
+h AS (SELECT a::DOUBLE AS alpha, t::DOUBLE AS temperature, red::DOUBLE AS red, yellow::DOUBLE AS yellow, mode FROM (SELECT unnest([0, 0.5, 1.0]) AS a), (SELECT unnest([1.0, 1.5, 3.0]) AS t), (SELECT unnest([0.35, 0.55, 0.85]) AS red), (SELECT unnest([0.4, 0.5, 0.7]) AS yellow), (SELECT unnest(['none', 'context', 'soft', 'strict']) AS mode) WHERE yellow > red * 0.5),
+l AS (SELECT *, g AS lg, y + alpha * ky AS ly, r + alpha * kr AS lr FROM y, h), m AS (SELECT *, greatest(lg, ly, lr) AS mx FROM l), q AS (SELECT *, exp((lg - mx) / temperature) AS eg, exp((ly - mx) / temperature) AS ey, exp((lr - mx) / temperature) AS er FROM m),
+p AS (SELECT *, ey / (eg + ey + er) AS py, er / (eg + ey + er) AS pr FROM q), c AS (SELECT split, alpha, temperature, red, yellow, mode, truth, CASE WHEN pr < red THEN CASE WHEN py + pr >= yellow THEN 'yellow' ELSE 'green' END WHEN mode = 'none' THEN 'red' WHEN idiom THEN CASE WHEN py + pr >= yellow THEN 'yellow' ELSE 'green' END WHEN bullying OR negated THEN 'yellow'
+  WHEN mode = 'soft' AND NOT necessary AND pr < 0.8 THEN 'yellow' WHEN mode = 'strict' AND NOT necessary THEN 'yellow' ELSE 'red' END AS level FROM p)"""
+
+
+@query("a36_sweep", "WITH {views}, " + SIGNALS + ", " + SWEPT + f""", k9 AS (SELECT split, alpha, temperature, red, yellow, mode, {COUNTS} FROM c GROUP BY ALL), o AS (SELECT *, round({OBJECTIVE}, 9) AS objective, round(n_green_red / {ROW['green']}, 9) AS g2r, round({MACRO}, 9) AS macro FROM k9),
+w AS (SELECT alpha, temperature, red, yellow, mode, max(objective) FILTER (split = 'validation') AS val_objective, max(g2r) FILTER (split = 'test') AS test_green_to_red, max(macro) FILTER (split = 'test') AS test_macro_f1 FROM o GROUP BY alpha, temperature, red, yellow, mode)
+SELECT *, row_number() OVER (ORDER BY val_objective DESC, test_green_to_red, test_macro_f1 DESC, alpha, temperature, red, yellow, mode) AS rank FROM w""".replace("GROUP BY ALL", "GROUP BY split, alpha, temperature, red, yellow, mode"))
 def _(v):
-    axis = v.spark.range(4, 17)
-    grid = axis.select((F.col("id") / 20).alias("red"), F.col("id").alias("r")).crossJoin(axis.select((F.col("id") / 20).alias("yellow"), F.col("id").alias("y"))).where("y > r / 2").select("red", "yellow")
-    level = rules.thresholds(F.col("p_yellow"), F.col("p_red"), F.col("red"), F.col("yellow"))
-    swept = metrics.sweep(truth(v).select("truth", "p_yellow", "p_red"), grid, level)
-    return swept.select("red", "yellow", F.round("objective", 9).alias("objective"), F.round("macro_f1", 9).alias("macro_f1"))
+    c, signals = F.col, rules.safety_signals(F.col("text"))
+    said = spoken(v.probabilities).where("doc_id % 3 < 2")
+    marked = said.select("doc_id", "p_green", "p_yellow", "p_red", (F.size(signals["signals"]) == 0).alias("quiet"), *(signals[k].alias(k) for k in ("idiom", "bullying", "negated", "red_necessary")))
+    rows = marked.join(v.examples.where("safety <> 'reject'").select("doc_id", c("safety").alias("truth")), "doc_id").select(
+        F.when(c("doc_id") % 3 == 0, "validation").otherwise("test").alias("split"), "truth", "idiom", "bullying", "negated", "red_necessary", F.array(F.log("p_green"), F.log("p_yellow"), F.log("p_red")).alias("base"),
+        F.array(F.lit(0.0), F.when(c("quiet"), 0.0).otherwise(0.5), F.when(c("red_necessary"), 1.0).otherwise(0.0)).alias("keyword"),
+    )
+    return metrics.policy_sweep(rows, [0.0, 0.5, 1.0], [1.0, 1.5, 3.0], [0.35, 0.55, 0.85], [0.4, 0.5, 0.7], ["none", "context", "soft", "strict"]).withColumn("rank", c("rank").cast("long"))
 
 
 @query("a37_latencies", """WITH e AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) SELECT any_value(n) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, max(value) AS most, any_value(value) FILTER (i = round_even(0.95 * (n - 1), 0)) AS p95 FROM e""")
@@ -281,3 +295,49 @@ def _(v):
     fields = [(F.col("text"), 1.0), (F.concat_ws(" ", "source", "tier"), 2.0)]
     parts = [v.examples.select("doc_id", F.explode(text.latin_words(c)).alias("token"), F.lit(w).alias("w")) for c, w in fields]
     return parts[0].unionByName(parts[1]).groupBy("doc_id", "token").agg(F.sum("w").alias("weight"))
+
+
+@query("a29_comparison_totals", """WITH {views}, j AS (SELECT a.turn_id, a.boundary AS human, b.er = 2 AS e1, b.ip = 2 AS i1, c.er = 2 AS e2, c.ip = 2 AS i2, coalesce(b.casel >= 8, false) AS f1, coalesce(c.casel >= 7, false) AS f2 FROM candidates a LEFT JOIN candidates b ON a.turn_id = b.turn_id AND b.cand_no = 2 LEFT JOIN candidates c ON a.turn_id = c.turn_id AND c.cand_no = 3 WHERE a.cand_no = 1),
+t AS (SELECT *, CASE WHEN f1 THEN 0 ELSE coalesce((e1 = human)::INT, 0) + coalesce((i1 = human)::INT, 0) END AS one, CASE WHEN f2 THEN 0 ELSE coalesce((e2 = human)::INT, 0) + coalesce((i2 = human)::INT, 0) END AS other FROM j)
+SELECT human, count(*) AS rows, sum(one)::BIGINT AS matches_one, sum(other)::BIGINT AS matches_other, count(*) FILTER (f1) AS invalid_one, count(*) FILTER (f2) AS invalid_other, count(*) FILTER (one > other) AS better_one, count(*) FILTER (other > one) AS better_other, count(*) FILTER (one = other) AS ties FROM t GROUP BY human""")
+def _(v):
+    c = v.candidates
+    side = lambda n, m: c.where(F.col("cand_no") == n).select("turn_id", F.col("er").alias(f"{m}_e"), F.col("ip").alias(f"{m}_i"), F.col("casel").alias(f"{m}_c"))
+    j = c.where("cand_no = 1").select("turn_id", F.col("boundary").alias("human")).join(side(2, "one"), "turn_id", "left").join(side(3, "other"), "turn_id", "left")
+    matched = {f"{m}_{d}": (F.col(f"{m}_{d[0]}") == 2) == F.col("human") for m in ("one", "other") for d in ("er", "ip")}
+    failed = {"one_failed": F.coalesce(F.col("one_c") >= 8, F.lit(False)), "other_failed": F.coalesce(F.col("other_c") >= 7, F.lit(False))}
+    return agreement.comparison_totals(j.withColumns({**matched, **failed}), ["human"])
+
+
+@query("a31_pairwise_summary", "WITH {views}, " + JUDGED + """, r AS (SELECT s.*, c.orientation AS model, t.scenario, c.casel < 9 AS ok, c.casel, first = second AS consistent, CASE c.ex WHEN 0 THEN 'A' WHEN 1 THEN 'tie' END AS expected, CASE c.er WHEN 0 THEN 'none' WHEN 1 THEN 'B' END AS boundary, coalesce(c.ip = 2, false) AS st FROM s JOIN candidates c USING (turn_id, cand_no) JOIN turns t USING (turn_id)),
+k AS (SELECT *, coalesce(CASE WHEN stable THEN first END = expected, false) AS correct, st AS strict, st OR er2 AS lenient FROM (SELECT *, casel % 2 = 0 AS er2 FROM r))
+SELECT coalesce(model, 'all') AS model, coalesce(scenario, 'all') AS scenario, count(*) AS total, count(*) FILTER (ok) AS valid, round(avg(ok::INT), 4) AS valid_rate, round(avg(stable::INT) FILTER (ok), 4) AS stable_rate, round(avg(coalesce(consistent, false)::INT) FILTER (ok), 4) AS order_rate, round(avg(correct::INT) FILTER (ok AND expected IN ('A', 'B', 'tie')), 4) AS accuracy_all, round(avg(correct::INT) FILTER (ok AND expected IN ('A', 'B')), 4) AS accuracy_no_tie, round(avg(correct::INT) FILTER (ok AND expected = 'tie'), 4) AS accuracy_tie,
+  round(avg(strict::INT) FILTER (ok), 4) AS boundary_strict, round(avg(lenient::INT) FILTER (ok), 4) AS boundary_lenient, round(avg(strict::INT) FILTER (ok AND boundary IN ('A', 'B')), 4) AS recall_strict, round(avg(lenient::INT) FILTER (ok AND boundary IN ('A', 'B')), 4) AS recall_lenient, round(avg(strict::INT) FILTER (ok AND boundary = 'none'), 4) AS none_strict,
+  count(*) FILTER (ok AND stable AND first = 'A') AS "won_A", count(*) FILTER (ok AND stable AND first = 'B') AS "won_B", 0::BIGINT AS won_tie, count(*) FILTER (ok AND NOT stable) AS won_unstable, round(avg(casel * 10) FILTER (ok), 1) AS mean_duration FROM k GROUP BY GROUPING SETS ((model, scenario), (model), ())""")
+def _(v):
+    c = F.col
+    info = v.candidates.select("turn_id", "cand_no", c("orientation").alias("model"), "casel", "er", "ip", "ex").join(v.turns.select("turn_id", "scenario"), "turn_id")
+    r = stability(v).join(info, ["turn_id", "cand_no"])
+    expected = F.when(c("ex") == 0, "A").when(c("ex") == 1, "tie")
+    strict = c("ip") == 2
+    runs_ = r.select(
+        "model", "scenario", (c("casel") < 9).alias("ok"), "stable", (c("first") == c("second")).alias("consistent"), expected.alias("expected"), F.when(c("er") == 0, "none").when(c("er") == 1, "B").alias("boundary"),
+        F.coalesce(F.when(c("stable"), c("first")) == expected, F.lit(False)).alias("correct"), strict.alias("strict"), (strict | (c("casel") % 2 == 0)).alias("lenient"), F.when(c("stable"), c("first")).alias("winner"), F.lit(False).alias("tie"), (c("casel") * 10).alias("duration"),
+    )
+    made = agreement.pairwise_summary(runs_, [["model", "scenario"], ["model"], []])
+    return made.withColumns({k: F.coalesce(k, F.lit("all")) for k in ("model", "scenario")})
+
+
+@query("a44_pair_profile", """WITH {views}, p AS (SELECT a.turn_id, t.scenario, CASE a.turn_id % 3 WHEN 0 THEN 'clean' ELSE 'negative' END AS pair_type, CASE a.ex WHEN 0 THEN 'A' ELSE 'tie' END AS winner, repeat('x', (a.turn_id % 50)::INT) AS t1, repeat('y', (b.turn_id % 31)::INT) AS t2, a.tags AS reasons FROM candidates a JOIN candidates b ON a.turn_id = b.turn_id AND a.cand_no = 1 AND b.cand_no = 2 JOIN turns t ON t.turn_id = a.turn_id),
+l AS (SELECT length(t1) AS x FROM p UNION ALL SELECT length(t2) FROM p), r AS (SELECT value, count(*) AS n FROM (SELECT unnest(reasons) AS value FROM p) GROUP BY value ORDER BY n DESC, value LIMIT 3)
+SELECT 'total' AS part, 'pairs' AS value, count(*)::DOUBLE AS n FROM p UNION ALL SELECT 'by_pair_type', pair_type, count(*) FROM p GROUP BY pair_type UNION ALL SELECT 'by_scenario', scenario, count(*) FROM p GROUP BY scenario UNION ALL SELECT 'by_winner', winner, count(*) FROM p GROUP BY winner
+UNION ALL SELECT 'length', 'min', min(x) FROM l UNION ALL SELECT 'length', 'max', max(x) FROM l UNION ALL SELECT 'length', 'avg', round(avg(x), 1) FROM l UNION ALL SELECT 'top_reason', value, n FROM r""")
+def _(v):
+    from ..operators.reshape import pair_profile
+
+    wide = pairs.pair_table(v.candidates.join(v.turns.select("turn_id", "scenario"), "turn_id"), "turn_id", "candidate_id", ["ex", "tags"], ["scenario"])
+    k = F.col("turn_id")
+    p = wide.select(
+        "scenario", F.when(k % 3 == 0, "clean").otherwise("negative").alias("pair_type"), F.when(F.col("c1_ex") == 0, "A").otherwise("tie").alias("winner"), F.repeat(F.lit("x"), (k % 50).cast("int")).alias("t1"), F.repeat(F.lit("y"), (k % 31).cast("int")).alias("t2"), F.col("c1_tags").alias("reasons")
+    )
+    return pair_profile(p, ["pair_type", "scenario", "winner"], ["t1", "t2"], "reasons", 3)

@@ -241,3 +241,12 @@ def _(v):
 
     now = F.lit("2030-01-01 00:00:00").cast("timestamp")
     return v.turns.select("turn_id", iso_z(F.col("created_at")).alias("iso"), F.round(age_days(F.col("created_at"), now), 6).alias("age_days"), expired(F.col("created_at"), now, 7).alias("expired"))
+
+
+@query("f33_f49_hashes", r"""WITH b AS (SELECT lang, sha256('common' || chr(10) || string_agg(name || chr(10) || said, chr(10) ORDER BY name, said)) AS bundle FROM (SELECT lang, source AS name, min(left(text, 20)) AS said FROM documents GROUP BY ALL) GROUP BY lang)
+SELECT doc_id, bundle, sha256('{"chars": ' || n_chars || ', "lang": ' || to_json(lang) || ', "none": null, "text": ' || to_json(left(text, 40)) || ', "toxic": ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || '}') AS hash, trim(regexp_replace(lower(left(text, 60)), '[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS key FROM documents JOIN b USING (lang)""")
+def _(v):
+    d = v.table("documents")
+    named = d.groupBy("lang", F.col("source").alias("name")).agg(F.min(F.left("text", F.lit(20))).alias("said"))
+    hashed = text.stable_hash({"toxic": F.col("doc_id") % 2 == 0, "lang": F.col("lang"), "text": F.left("text", F.lit(40)), "chars": F.col("n_chars"), "none": F.lit(None).cast("string")})
+    return d.join(F.broadcast(text.bundle_hash(named, ["lang"], "name", "said", "common")), "lang").select("doc_id", "bundle", hashed.alias("hash"), text.normalize_text(F.left("text", F.lit(60))).alias("key"))
