@@ -5,12 +5,10 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import let
-
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values: 1 if both are empty, 0 if one is."""
@@ -63,17 +61,14 @@ def softmax(logits: Column, temperature: float | Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
 
 
-def hashed_embedding(tokens: Column, size: int = 384) -> Column:
-    """Signed hashing of tokens to a unit vector: md5 gives bucket and sign."""
-
-    def bucket(t: Column) -> Column:
-        return F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size
-
-    def sign(t: Column) -> Column:
-        return F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-
-    def totals(hits: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(hits, lambda h: h["b"] == i), F.lit(0.0), lambda a, h: a + h["s"]))
-
-    raw = let(F.transform(tokens, lambda t: F.struct(bucket(t).alias("b"), sign(t).alias("s"))), totals)
-    return let(raw, l2_normalize)
+def hashed_embeddings(rows: DataFrame, key: str, size: int = 384) -> DataFrame:
+    """(key, embedding): signed hashing of each row's distinct tokens to a unit vector; md5 gives bucket and sign. rows:
+    key (unique), tokens. Rows without tokens have a vector of zeros. Sums are grouped by (key, bucket)."""
+    digest = F.col("digest")
+    long = rows.select(key, F.explode(F.array_distinct("tokens")).alias("t")).select(key, F.md5("t").alias("digest"))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % size
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    sums = long.select(key, bucket.alias("b"), sign.alias("s")).groupBy(key, "b").agg(F.sum("s").alias("s"))
+    found = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
+    value = lambda i: F.coalesce(F.try_divide(F.element_at("m", i), F.col("norm")), F.lit(0.0))
+    return rows.select(key).join(found, key, "left").select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), value).alias("embedding"))

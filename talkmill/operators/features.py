@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 
 def keyword_features(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     """(doc_id, keyword, value): log1p of the keyword's count over the root of the number of tokens; rows of no hit are left out."""
@@ -21,6 +23,7 @@ def token_class_counts(tokens: DataFrame, label: str) -> DataFrame:
 
 def rank_keywords(counts: DataFrame, label: str, classes: list[str], least: float, top: int | None = None, alpha: float = 0.5) -> DataFrame:
     """Keywords by log-odds x log1p(total) x sqrt(document frequency), each with the class it speaks for most; of equals the first class, then the first token."""
+    counts = settled(counts)
     totals = counts.groupBy(label).agg(F.sum("weight").alias("class_total"))
     every = counts.agg(F.sum("weight").alias("grand")).crossJoin(counts.agg(F.count_distinct("token").alias("vocabulary")))
     by_token = counts.groupBy("token").agg(F.sum("weight").alias("total"), F.sum("rows").alias("doc_freq"), F.map_from_entries(F.collect_list(F.struct(label, "weight"))).alias("by_class"))

@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import class_weights, rank_keywords, token_class_counts
+from .lineage import settled
 from .metrics import CLASSES, confusion, measures
 
 
@@ -24,37 +25,40 @@ def scale(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     return scaled.withColumns({f"{c}_scaled": F.col("__z")[i] for i, c in enumerate(columns)}).drop("__x", "__y", "__z")
 
 
-def keyword_model(rows: DataFrame, label: str, sizes: list[int], least: float = 5.0) -> DataFrame:
-    """One row per number of keywords: macro F1, balanced accuracy on validation and macro F1 on test of a class-weighted
-    multinomial logistic regression, best first. rows: doc_id, label (one of CLASSES), tokens, split. Keywords come from train only; their
-    number bounds what reaches the driver."""
+def keyword_model(rows: DataFrame, label: str, sizes: list[int], strategies: dict[str, str] | None = None, least: float = 5.0) -> DataFrame:
+    """One row per strategy and number of keywords: macro F1, balanced accuracy on validation and macro F1 on test of a class-weighted
+    multinomial logistic regression, best first. rows: doc_id, label (one of CLASSES), split, and the token columns that
+    strategies name (strategy -> column; default: tokens as word). Each strategy has its own keywords, from train only;
+    their number bounds what reaches the driver."""
     train = rows.where("split = 'train'")
-    counts = token_class_counts(train.select("doc_id", label, "tokens", F.lit(1.0).alias("w")), label)
-    keywords = [r.token for r in rank_keywords(counts, label, list(CLASSES), least, max(sizes)).orderBy(F.desc(F.round("score", 9)), "token").collect()]
     number = F.array_position(F.array(*map(F.lit, CLASSES)), F.col(label)) - 1
     weighted = rows.join(F.broadcast(class_weights(train, label, len(CLASSES)).select(label, "weight")), label).withColumn("y", number.cast("double"))
     out = None
-    for size in sizes:
+    for strategy, tokens in (strategies or {"word": "tokens"}).items():
+        counts = settled(token_class_counts(train.select("doc_id", label, F.col(tokens).alias("tokens"), F.lit(1.0).alias("w")), label))
+        keywords = [r.token for r in rank_keywords(counts, label, list(CLASSES), least, max(sizes)).orderBy(F.desc(F.round("score", 9)), "token").collect()]
         if not keywords:
-            break
-        x = CountVectorizerModel.from_vocabulary(keywords[:size], inputCol="tokens", outputCol="x").transform(weighted)
-        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30, regParam=0.01, family="multinomial").fit(x.where("split = 'train'"))
-        level = F.element_at(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int") + 1)
-        judged = confusion(model.transform(x).select("split", F.col(label).alias("truth"), level.alias("level")), ["split"]).withColumns(measures())
-        pick = lambda split, m: F.max(F.when(F.col("split") == split, F.col(m)))
-        row = judged.agg(F.lit(size).alias("keywords"), pick("validation", "macro_f1").alias("validation_f1"), pick("validation", "balanced").alias("validation_balanced"), pick("test", "macro_f1").alias("test_f1"))
-        out = row if out is None else out.unionByName(row)
+            continue
+        every = settled(CountVectorizerModel.from_vocabulary(keywords, inputCol=tokens, outputCol="every").transform(weighted).select("split", label, "weight", "y", "every"))
+        for size in sizes:
+            x = VectorSlicer(inputCol="every", outputCol="x", indices=list(range(min(size, len(keywords))))).transform(every)
+            model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=30, regParam=0.01, family="multinomial").fit(x.where("split = 'train'"))
+            level = F.element_at(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int") + 1)
+            judged = confusion(model.transform(x).select("split", F.col(label).alias("truth"), level.alias("level")), ["split"]).withColumns(measures())
+            pick = lambda split, m: F.max(F.when(F.col("split") == split, F.col(m)))
+            row = judged.agg(F.lit(strategy).alias("strategy"), F.lit(size).alias("keywords"), pick("validation", "macro_f1").alias("validation_f1"), pick("validation", "balanced").alias("validation_balanced"), pick("test", "macro_f1").alias("test_f1"))
+            out = row if out is None else out.unionByName(row)
     if out is None:
-        return rows.sparkSession.createDataFrame([], "keywords int, validation_f1 double, validation_balanced double, test_f1 double")
-    return out.orderBy(F.desc("validation_f1"), F.desc("validation_balanced"), F.desc("test_f1"))
+        return rows.sparkSession.createDataFrame([], "strategy string, keywords int, validation_f1 double, validation_balanced double, test_f1 double")
+    return out.orderBy(F.desc("validation_f1"), F.desc("validation_balanced"), F.desc("test_f1"), "strategy", "keywords")
 
 
 class Fatal(Exception):
     """What a scorer raises when trying again can't help: the job stops."""
 
 
-def score_batches(rows: DataFrame, text: str, scorer: Callable[[list[str]], list[tuple]], kind: str, retries: int = 3) -> DataFrame:
-    """rows plus score and error from a user's scorer: list of texts -> list of (score, error). It is called per batch in
+def score_batches(rows: DataFrame, text: str, scorer: Callable[[list[str]], list[tuple]], kind: str, retries: int = 3, into: tuple[str, str] = ("score", "error")) -> DataFrame:
+    """rows plus `into`, score and error, from a user's scorer: list of texts -> list of (score, error). It is called per batch in
     each partition, again up to `retries` times if it raises; then error holds the message and score is null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,12 +73,32 @@ def score_batches(rows: DataFrame, text: str, scorer: Callable[[list[str]], list
                 except Exception as problem:  # noqa: BLE001  any failure of an outside service becomes a column
                     if attempt == retries:
                         made = [(None, f"{type(problem).__name__}: {problem}")] * len(batch)
-            yield batch.assign(score=pd.Series([m[0] for m in made], dtype=object, index=batch.index), error=[m[1] for m in made])
+            yield batch.assign(**{into[0]: pd.Series([m[0] for m in made], dtype=object, index=batch.index), into[1]: [m[1] for m in made]})
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T._parse_datatype_string(kind)), T.StructField("error", T.StringType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(into[0], T._parse_datatype_string(kind)), T.StructField(into[1], T.StringType())])
     return rows.mapInPandas(run, schema)
 
 
+def classify_batches(rows: DataFrame, text: str, classifier: Callable[[list[str]], list[tuple[float, ...]]], classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """rows plus probabilities, a struct by class, and problem, from a user's classifier: list of texts -> a tuple of
+    probabilities each. Failures and retries as in score_batches()."""
+    kind = f"struct<{', '.join(f'{c}: double' for c in classes)}>"
+    wrapped = lambda texts: [(dict(zip(classes, map(float, p))), "") for p in classifier(texts)]
+    return score_batches(rows, text, wrapped, kind, into=("probabilities", "problem"))
+
+
+def embedder(name: str, scorer: Callable[[list[str]], list[tuple]] | None = None):
+    """A function (rows, id, text) -> (id, embedding) by name: hashing, or model with a scorer that gives lists of numbers."""
+    from ..functions.text import latin_words
+    from ..functions.vectors import hashed_embeddings
+
+    if name == "hashing":
+        return lambda rows, key, text: hashed_embeddings(rows.select(key, latin_words(F.col(text)).alias("tokens")), key)
+    if name == "model" and scorer is not None:
+        return lambda rows, key, text: score_batches(rows.select(key, text), text, scorer, "array<double>").select(key, F.col("score").alias("embedding"))
+    raise ValueError(f"unknown embedder {name}")
+
+
 def tokenizer(name: str):
     """A function from text Column to array Column by name: word, char_ngram or mixed."""
     from ..functions import text

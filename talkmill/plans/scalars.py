@@ -75,13 +75,14 @@ def _(v):
 
 
 @query("f16_hashed_embedding", """WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS t FROM documents),
-b AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 32 AS b, sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1 END) AS s FROM t GROUP BY ALL),
+b AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 384 AS b, sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1 END) AS s FROM t GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(s * s)) AS n, sum(s * (b + 1)) AS w FROM b GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(CASE WHEN n = 0 THEN 0 ELSE w / n END, 0), 6) AS weighted FROM documents d LEFT JOIN n USING (doc_id)""")
 def _(v):
-    words = F.array_distinct(text.latin_words(F.col("text")))
-    d = v.table("documents").select("doc_id", vectors.hashed_embedding(words, 32).alias("e"))
-    return d.select("doc_id", F.round(F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("weighted"))
+    from ..operators.models import embedder
+
+    d = embedder("hashing")(v.table("documents"), "doc_id", "text")
+    return d.select("doc_id", F.round(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("weighted"))
 
 
 @query("f17_f19_f29_sentences", r"""WITH d AS (SELECT doc_id, text, regexp_split_to_array(text, '[.!?\n]+') AS p FROM documents)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from ..operators import scores, sessions
 from ..streaming import history, signals
 from ..streaming.replay import replay, scratch, stream_of
 from .registry import query
@@ -23,10 +26,36 @@ def _(v):
     return out.select("session_id", "n", F.aggregate("history", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"])).alias("chars"))
 
 
-@query("r03_fanout_stream", "SELECT CASE WHEN role = 'user' THEN 'student' ELSE role END AS role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY ALL")
+@query("r03_fanout_stream", """WITH {views}, m AS (SELECT *, 's' || conv_id AS session_id, conv_id * 1000 + turn AS turn_id FROM messages WHERE role = 'student'), a AS (SELECT conv_id * 1000 + turn - 1 AS turn_id, text FROM messages WHERE role = 'assistant'),
+c AS (SELECT m.turn_id, o.k AS candidate_id, (length(m.text) + o.i * 7) % 3 AS er, (length(m.text) + o.i) % 5 = 0 AS flagged FROM m, (VALUES ('c1', 0), ('c2', 1)) o(k, i)), p AS (SELECT turn_id, max(er) FILTER (candidate_id = 'c1' AND NOT flagged) AS x, max(er) FILTER (candidate_id = 'c2' AND NOT flagged) AS y FROM c GROUP BY turn_id)
+SELECT 'sessions' AS tbl, session_id AS key, count(*)::VARCHAR AS detail FROM m GROUP BY session_id UNION ALL SELECT 'turns', turn_id::VARCHAR, session_id FROM m UNION ALL SELECT 'messages', m.turn_id || '/0', md5(m.text) FROM m UNION ALL SELECT 'messages', a.turn_id || '/1', md5(a.text) FROM a JOIN m USING (turn_id)
+UNION ALL SELECT 'candidates', turn_id || '/' || candidate_id, er::VARCHAR FROM c UNION ALL SELECT 'preferences', turn_id::VARCHAR, CASE WHEN x > y THEN 'c1>c2' ELSE 'c2>c1' END FROM p WHERE x <> y""")
 def _(v):
-    rows = replay(v.spark, f"{v.sf_dir}/conversations.parquet", lambda s: s.select("conv_id", "turn", F.when(F.col("role") == "user", "student").otherwise(F.col("role")).alias("role"), "text"))
-    return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    """Exchanges as a stream, each micro-batch fanned out to five tables; one batch comes twice and changes nothing."""
+    folder = scratch(v.spark)
+    lines = stream_of(v.spark, f"{v.sf_dir}/conversations.parquet").where("role <> 'system'").select("conv_id", "turn", F.when(F.col("role") == "user", "student").otherwise("assistant").alias("role"), "text")
+
+    def tables(batch):
+        turns = sessions.paired_turns(batch, "conv_id", "turn").select(
+            F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "user_message", "assistant_message", F.lit(None).cast("timestamp").alias("created_at")
+        )
+        made = turns.select("turn_id", F.length("user_message").alias("size"), F.posexplode(F.array(F.lit("c1"), F.lit("c2"))).alias("i", "candidate_id"))
+        scored = made.select("turn_id", "candidate_id", "i", ((F.col("size") + F.col("i") * 7) % 3).alias("er"), ((F.col("size") + F.col("i")) % 5 == 0).alias("flagged"))
+        return sessions.fan_out(turns, scored, scores.preference_pairs(scored, "turn_id", "er", "flagged", "i", "candidate_id"))
+
+    write = signals.batch_tables(folder)
+    signals.each_batch(lines, write, tables, f"{folder}/state").awaitTermination()
+    batch = v.spark.read.parquet(f"{v.sf_dir}/conversations.parquet").where("role <> 'system'").select("conv_id", "turn", F.when(F.col("role") == "user", "student").otherwise("assistant").alias("role"), "text")
+    write(tables(batch), 0)  # the first batch again, as after a failure before its commit
+    t = signals.read_tables(v.spark, folder)
+    row = lambda name, key, detail: t[name].select(F.lit(name).alias("tbl"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
+    key = lambda *c: F.concat_ws("/", *(F.col(x).cast("string") for x in c))
+    counted = t["turns"].groupBy("session_id").agg(F.count("*").alias("n")).join(t["sessions"].select("session_id").distinct(), "session_id")
+    parts = [
+        counted.select(F.lit("sessions").alias("tbl"), F.col("session_id").alias("key"), F.col("n").cast("string").alias("detail")), row("turns", F.col("turn_id"), F.col("session_id")), row("messages", key("turn_id", "position"), F.md5("text")),
+        row("candidates", key("turn_id", "candidate_id"), F.col("er")), row("preferences", F.col("turn_id"), F.concat_ws(">", "winner", "loser")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("r04_s11_triage_stream", "WITH {views}, " + SIGNALS + ", " + LEVELS + f" SELECT doc_id, {NAMES} AS signals, {FINAL} AS level FROM l")
@@ -39,15 +68,23 @@ def _(v):
     return v.spark.read.schema(levels.schema).parquet(f"{folder}/log")
 
 
-@query("r05_scored_turns", """SELECT a.event_id AS turn_id, b.value AS score FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id = b.event_id AND a.event_type <> 'purchase'""")
+@query("r05_scored_turns", """WITH t AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN value WHEN event_id % 5 = 0 THEN NULL ELSE value END AS score FROM events WHERE event_type <> 'purchase')
+SELECT event_id AS turn_id, score, score IS NULL AS missing FROM t WHERE score IS NOT NULL OR ts + INTERVAL 10 MINUTE < (SELECT max(ts) - INTERVAL 30 MINUTE FROM events)""")
 def _(v):
+    """A third of the turns get no score, some of the others get theirs too late; both come out as missing once the wait is over."""
+
     def plan(rows):
         at = rows.withColumn("ts", F.col("ts").cast("timestamp"))
         turns = at.where("event_type <> 'purchase'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("turn_id"), "ts")
-        scores = at.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("turn_id"), (F.col("ts") + F.expr("interval 1 minute")).alias("score_ts"), F.col("value").alias("score"))
-        return signals.scored_turns(turns, scores).select("turn_id", "score")
+        late = F.when((F.col("event_id") % 3 == 2) & (F.col("event_id") % 5 == 0), F.expr("interval 25 minutes")).otherwise(F.expr("interval 1 minute"))
+        found = at.where("event_id % 3 <> 0").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("turn_id"), (F.col("ts") + late).alias("score_ts"), F.col("value").alias("score"))
+        return signals.scored_turns(turns, found).select("turn_id", "ts", "score")
 
-    return replay(v.spark, f"{v.sf_dir}/events.parquet", plan)
+    out = replay(v.spark, f"{v.sf_dir}/events.parquet", plan)
+    # What the watermark has not passed when the replay ends is not decided; up to where it surely has, all is.
+    end = v.spark.read.parquet(f"{v.sf_dir}/events.parquet").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("interval 30 minutes")).alias("end"))
+    decided = out.crossJoin(F.broadcast(end)).where("score is not null or ts + interval 10 minutes < end")
+    return decided.select("turn_id", "score", F.col("score").isNull().alias("missing"))
 
 
 @query("r06_risk_stream", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n FROM events GROUP BY 1) SELECT hour, n FROM w WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")

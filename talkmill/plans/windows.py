@@ -238,22 +238,27 @@ def _(v):
 
 @query("m02_keyword_model")
 def _(v):
-    from ..functions.text import latin_words
-    from ..operators.models import keyword_model
+    from ..operators.models import keyword_model, tokenizer
 
-    rows = sampling.stratified_split(v.examples.where("safety <> 'reject'"), "safety", "doc_id", 0.2, 0.125, "split").withColumn("tokens", latin_words(F.col("text")))
-    return keyword_model(rows, "safety", [50, 100])
+    rows = sampling.stratified_split(v.examples.where("safety <> 'reject'"), "safety", "doc_id", 0.2, 0.125, "split")
+    rows = rows.select("doc_id", "safety", "split", *(tokenizer(n)(F.col("text")).alias(n) for n in ("word", "char_ngram", "mixed")))
+    return keyword_model(rows, "safety", [50, 100], {n: n for n in ("word", "char_ngram", "mixed")})
 
 
-@query("m03_u01_u02_batch_scorer", """SELECT doc_id, length(text) AS score, CASE WHEN length(text) > 20000 THEN 'too long' ELSE '' END AS error FROM documents""")
+@query("u03_tokenizers", """WITH w AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS word, length(regexp_replace(text, '[^\\x{4E00}-\\x{9FFF}A-Za-z0-9]+', '', 'g')) AS c FROM documents), g AS (SELECT *, greatest(c - 1, 0) + greatest(c - 2, 0) + greatest(c - 3, 0) AS grams FROM w) SELECT doc_id, word::BIGINT AS word, grams::BIGINT AS char_ngram, (word + grams)::BIGINT AS mixed FROM g""")
 def _(v):
-    from ..operators.models import score_batches
+    from ..operators.models import tokenizer
 
-    def lengths(texts):
-        out = []
-        for t in texts:
-            out.append((None, "too long") if len(t) > 20000 else (len(t), ""))
-        return out
+    return v.table("documents").select("doc_id", *(F.size(tokenizer(n)(F.col("text"))).cast("long").alias(n) for n in ("word", "char_ngram", "mixed")))
 
+
+@query("m03_u01_u02_batch_scorer", """SELECT doc_id, length(text) AS score, CASE WHEN length(text) = 0 THEN 'empty' ELSE '' END AS error, round(length(replace(text, 'e', '')) / greatest(length(text), 1), 9) AS green, round(1 - length(replace(text, 'e', '')) / greatest(length(text), 1), 9) AS red FROM documents""")
+def _(v):
+    """Two outside scorers over whole texts: one number each, and a struct of probabilities."""
+    from ..operators.models import classify_batches, score_batches
+
+    lengths = lambda texts: [(len(t), "" if t else "empty") for t in texts]
+    shares = lambda texts: [((len(t) - t.count("e")) / max(len(t), 1), 0.0, 1 - (len(t) - t.count("e")) / max(len(t), 1)) for t in texts]
     scored = score_batches(v.table("documents").select("doc_id", "text"), "text", lengths, "long", retries=1)
-    return scored.select("doc_id", F.coalesce("score", F.length("text").cast("long")).alias("score"), "error")
+    both = classify_batches(scored, "text", shares)
+    return both.select("doc_id", "score", "error", F.round("probabilities.green", 9).alias("green"), F.round("probabilities.red", 9).alias("red"))

@@ -23,12 +23,14 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def write_sheet(rows: DataFrame, path: str, columns: list[str], mode: str = "errorifexists") -> None:
-    rows.select(*columns).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """columns in their order, quoted where need be; white space at the ends of cells stays."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(*columns).write.mode(mode).options(header=True, quote='"', escape='"', **kept).csv(path)
 
 
-def read_samples(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array of samples, or an object that holds them under `samples`."""
-    wrapped = spark.read.schema(T.StructType([*schema.fields, T.StructField("samples", T.ArrayType(schema))])).json(path, multiLine=True)
+def read_samples(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """A JSON array of samples, or an object that holds them under `samples`; with `lines`, one such document a line."""
+    wrapped = spark.read.schema(T.StructType([*schema.fields, T.StructField("samples", T.ArrayType(schema))])).json(path, multiLine=not lines)
     bare = wrapped.where("samples is null").drop("samples")
     return bare.unionByName(wrapped.where("samples is not null").select(F.explode("samples").alias("s")).select("s.*"))
 

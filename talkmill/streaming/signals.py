@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,3 +44,20 @@ def append_log(levels: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def each_batch(rows: DataFrame, write: Callable[[dict[str, DataFrame], int], None], tables: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str) -> StreamingQuery:
     """Fan each micro-batch out to tables; write gets the batch's number, so that a batch that comes again can be replaced."""
     return rows.writeStream.foreachBatch(lambda batch, n: write(tables(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+TABLES = ("sessions", "messages", "turns", "candidates", "preferences")
+
+
+def batch_tables(folder: str) -> Callable[[dict[str, DataFrame], int], None]:
+    """A writer for each_batch(): every table of batch n as Parquet in its own part, which replaces what an earlier try left."""
+
+    def write(tables: dict[str, DataFrame], n: int) -> None:
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={n}")
+
+    return write
+
+
+def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}").drop("batch") for name in TABLES}
