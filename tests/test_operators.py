@@ -3,7 +3,9 @@
 import difflib
 import hashlib
 import json
+import math
 import random
+import re
 import unicodedata
 from fractions import Fraction
 
@@ -12,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkmill.functions import text
+from talkmill.functions import text, vectors
 from talkmill.operators import agreement, dedup, metrics, models, queues, reshape, retrieval, sampling, scores, sessions
 from talkmill.plans import QUERIES
 from talkmill.sources import tables
@@ -342,3 +344,128 @@ def test_nfkc_query_takes_all_documents(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {(d.doc_id, unicodedata.normalize("NFKC", d.lang + d.source), hashlib.md5(unicodedata.normalize("NFKC", d.text).encode()).hexdigest()) for d in docs}
     assert {tuple(r) for r in QUERIES["f02_nfkc"](spark, sf).collect()} == want and not all(d.text.isascii() for d in docs)
+
+
+@pytest.mark.parametrize("few", [3, 65_536])
+def test_order_statistics_equal_the_sorted_values(spark, few):
+    rng = random.Random(few)
+    for xs in ([rng.gauss(0, 1e3) for _ in range(500)], [float(rng.randrange(4)) for _ in range(300)], [1e300, -1e300, 0.0, 5e-324], [2.5], [rng.expovariate(1) ** 9 for _ in range(400)]):
+        places = [0, len(xs) // 2, (len(xs) - 1) // 3, round(0.95 * (len(xs) - 1)), len(xs) - 1]
+        df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "v double")
+        n, got = metrics.order_statistics(df, "v", lambda n: places, buckets=7, few=few)
+        assert (n, got) == (len(xs), [sorted(xs)[p] for p in places])
+    empty = spark.createDataFrame([], "v double")
+    assert metrics.order_statistics(empty, "v", lambda n: [0]) == (0, []) and metrics.latencies(empty, "v").first().p95 is None
+
+
+def test_sweep_finds_the_setting_that_separates(spark):
+    """Logits that only the right thresholds tell apart; the best setting and its measures against a loop."""
+    rows = []
+    for i in range(90):
+        truth = ("green", "yellow", "red")[i % 3]
+        base = {"green": [2.0, 0.0, -1.0], "yellow": [0.0, 1.0, 0.2], "red": [-1.0, 0.0, 1.2 + i / 100]}[truth]
+        rows.append((("validation", "test")[i % 2], truth, base, [0.0, 0.0, 0.5 if truth == "red" else 0.0], i % 7 == 0, False, False, i % 5 == 0))
+    df = spark.createDataFrame(rows, "split string, truth string, base array<double>, keyword array<double>, idiom boolean, bullying boolean, negated boolean, red_necessary boolean")
+    got = metrics.policy_sweep(df, [0.0, 1.0], [1.0, 2.0], [0.4, 0.6], [0.3, 0.5], ["none", "soft", "strict"]).orderBy("rank").collect()
+
+    def level(r, alpha, t, red, yellow, mode):
+        z = [math.exp((b + alpha * k) / t) for b, k in zip(r[2], r[3])]
+        p = [x / sum(z) for x in z]
+        if p[2] < red:
+            return "yellow" if p[1] + p[2] >= yellow else "green"
+        if mode == "none":
+            return "red"
+        if r[4]:
+            return "yellow" if p[1] + p[2] >= yellow else "green"
+        return "yellow" if not r[7] and (mode == "strict" or p[2] < 0.8) else "red"
+
+    def objective(split, *setting):
+        n = {}
+        for r in rows:
+            if r[0] == split:
+                key = (r[1], level(r, *setting))
+                n[key] = n.get(key, 0) + 1
+        row = lambda t: max(sum(v for (a, _), v in n.items() if a == t), 1)
+        col = lambda t: sum(v for (_, b), v in n.items() if b == t)
+        f1 = sum(2 * n.get((t, t), 0) / (row(t) + col(t)) for t in metrics.CLASSES) / 3
+        return f1 - 2 * n.get(("green", "red"), 0) / row("green") - 1.5 * n.get(("yellow", "red"), 0) / row("yellow") - 3 * n.get(("red", "green"), 0) / row("red")
+
+    assert len(got) == 2 * 2 * 3 * 3 and [r.rank for r in got] == list(range(1, len(got) + 1))
+    for r in got:
+        assert r.val_objective == pytest.approx(objective("validation", r.alpha, r.temperature, r.red, r.yellow, r.mode), abs=1e-8)
+    assert got[0].val_objective == max(r.val_objective for r in got)
+
+
+def test_keyword_model_on_a_separable_sample(spark):
+    words = {"green": "sunny bright warm", "yellow": "cloudy grey rain", "red": "storm thunder flood"}
+    rows = [(i, c, f"{words[c]} filler{i % 4} {words[c]}", "train" if i % 10 < 6 else "validation" if i % 10 < 8 else "test") for i in range(90) for c in [("green", "yellow", "red")[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, safety string, text string, split string")
+    df = df.select("doc_id", "safety", "split", *(models.tokenizer(n)(F.col("text")).alias(n) for n in ("word", "char_ngram")))
+    got = models.keyword_model(df, "safety", [5, 40], {"word": "word", "char_ngram": "char_ngram"}, least=2.0).collect()
+    assert {(r.strategy, r.keywords) for r in got} == {(s, k) for s in ("word", "char_ngram") for k in (5, 40)}
+    assert got[0].validation_f1 == got[0].test_f1 == 1.0 and all(a.validation_f1 >= b.validation_f1 for a, b in zip(got, got[1:]))
+
+
+def test_sequence_ratio(spark):
+    pairs = [("abcd", "bcde"), ("", ""), ("abc", ""), ("kitten sitting", "sitting kitten"), ("a" * 250 + "b", "b" + "a" * 250), (None, "x")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(vectors.sequence_ratio("a", "b").alias("r")).collect()
+    assert [r.r for r in got] == [None if a is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_embedders_and_classifiers_by_name(spark):
+    df = spark.createDataFrame([(1, "red fox red"), (2, ""), (3, "blue")], "id long, text string")
+    got = {r.id: r.embedding for r in models.embedder("hashing")(df, "id", "text").collect()}
+    assert all(len(e) == 384 for e in got.values()) and sum(x * x for x in got[1]) == pytest.approx(1) and not any(got[2])
+    scored = {r.id: r.embedding for r in models.embedder("model", lambda texts: [([float(len(t))], "") for t in texts])(df, "id", "text").collect()}
+    assert scored == {1: [11.0], 2: [0.0], 3: [4.0]}
+    with pytest.raises(ValueError):
+        models.embedder("none")
+    p = models.classify_batches(df, "text", lambda texts: [(1.0, 0.0, 0.0) for _ in texts]).orderBy("id").first()
+    assert (p.probabilities.green, p.probabilities.red, p.problem) == (1.0, 0.0, "")
+
+
+def test_the_validator_as_one_flow(spark):
+    """p21_j10_validation against the sequential loop, on the driver's smallest table."""
+    sf = "/root/testdata/sf0.001"
+    marks = str.maketrans("", "", text.PUNCTUATION)
+    bare = lambda t: "".join(t.translate(marks).split())
+    grams = lambda t: {t[k : k + 3] for k in range(len(t) - 2)} if len(t) > 3 else {t} - {""}
+    rows = sorted((r.conv_id * 1000 + r.turn, "student" if r.role == "user" else "assistant", r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role <> 'system'").collect())
+    kept, want = [], {}
+    for i, cell, said in rows:
+        t = (said or "").strip()
+        if not said:
+            want[i] = ("rejected", "missing_fields:text")
+        elif not ("idiot" in t or "scum" in t) and not 20 <= len(t) <= 220:
+            want[i] = ("rejected", "text_length_out_of_range")
+        elif not ("idiot" in t or "scum" in t) and not 1 <= len([p for p in re.split("[。！？!?]+", t) if p.strip()]) <= 5:
+            want[i] = ("rejected", "sentence_count_out_of_range")
+        elif not ("idiot" in t or "scum" in t) and re.search("https?://|@", t):
+            want[i] = ("rejected", "non_student_or_prompt_marker")
+        elif "idiot" in said or "scum" in said:
+            want[i] = ("quarantine", "explicit_crisis_signal")
+        elif i % 31 == 0:
+            want[i] = ("quarantine", "f1_exception")
+        elif i % 29 == 0:
+            want[i] = ("quarantine", "f1_non_green")
+        elif 180 < len(t) <= 220:
+            want[i] = ("length_review", "length_review_required")
+        else:
+            n, why = bare(said), ""
+            for other, m in kept:
+                both = max(len(grams(n) & grams(m)) / max(len(grams(n) | grams(m)), 1), difflib.SequenceMatcher(None, n, m).ratio())
+                why = "duplicate_exact" if n == m else "duplicate_in_cell" if cell == other and both >= 0.82 else "duplicate_global" if both >= 0.9 else ""
+                if why:
+                    break
+            want[i] = ("duplicate", why) if why else ("accepted", "")
+            if not why:
+                kept.append((cell, n))
+    got = {r.id: (r.disposition, r.reason) for r in QUERIES["p21_j10_validation"](spark, sf).collect()}
+    assert got == want
+
+
+def test_hashes_of_bundles_and_json(spark):
+    got = spark.createDataFrame([("a\"b\n", 3, None, True)], "s string, n int, z string, b boolean").select(text.stable_hash({c: F.col(c) for c in "snzb"}).alias("h")).first().h
+    assert got == hashlib.sha256(json.dumps({"s": "a\"b\n", "n": 3, "z": None, "b": True}, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    rows = spark.createDataFrame([("k", "b", "two"), ("k", "a", "one")], "k string, l string, t string")
+    assert text.bundle_hash(rows, ["k"], "l", "t", "head").first().bundle == hashlib.sha256(b"head\na\none\nb\ntwo").hexdigest()
