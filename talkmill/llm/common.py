@@ -73,7 +73,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         steps = np.full(max(n, 1 << 20), base, np.uint64)
         steps[0] = 1
         _powers[name] = np.cumprod(steps)
