@@ -16,6 +16,8 @@ from .pieces import BITS, NO_CHAR, SPACE, Pairs, Vocabulary, load_vocabulary, me
 
 #: Characters in one packed key, and keys that cover the longest piece.
 IN_KEY = 4
+#: Bytes of text that a task works on at a time; its arrays take some hundred times as much.
+SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -192,6 +194,8 @@ def encode_units(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray
     by_hand = np.zeros(len(unit), bool)
     by_hand[of[start[v.plain[piece]]]] = True
     long = (size > LONG) & ~by_hand
+    if not long.any():
+        return relax(v, pairs, unit, size, by_hand, number, start, piece)
     blocks = np.where(long, -(-size // LONG), 1)
     whose = np.repeat(np.arange(len(unit)), blocks)
     offset = (np.arange(len(whose)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * LONG
@@ -199,8 +203,6 @@ def encode_units(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray
     end = start + v.length[piece]
     inside = end <= (block + width)[np.searchsorted(block, start, "right") - 1] if len(block) else np.zeros(0, bool)
     flat, count = relax(v, pairs, block, width, by_hand[whose], number, start[inside], piece[inside])
-    if not long.any():
-        return flat, count
     to = np.cumsum(count)
     seam = to[:-1][whose[:-1] == whose[1:]]
     bad = seam[~pairs(flat[seam - 1], flat[seam])]
@@ -308,7 +310,7 @@ def _block_paths(v: Vocabulary, start: np.ndarray, piece: np.ndarray, n: int) ->
 class Encoder:
     """Units to pieces, with a memory of a bounded number of distinct units across the texts of one task."""
 
-    def __init__(self, v: Vocabulary, most: int = 1_500_000):
+    def __init__(self, v: Vocabulary, most: int = 500_000):
         self.v, self.most = v, most
         self.matcher, self.pairs = Matcher(v), Pairs(v)
         self._forget()
@@ -438,7 +440,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
         v = shared.value
         encoder, raw = Encoder(v), raw_table(v)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 texts = pa.compute.fill_null(part.column(1), "")
                 ids, count = encoder(texts)
                 data, offset = decode_bytes(v, raw, ids, count)
@@ -482,7 +484,7 @@ def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "i
 class Counter:
     """Numbers of tokens of units, by a trie whose nodes hold forward states."""
 
-    def __init__(self, v: Vocabulary, most: int = 3_000_000):
+    def __init__(self, v: Vocabulary, most: int = 1_000_000):
         self.v, self.pairs, self.most = v, Pairs(v), most
         keys, target, self.piece = [], [], [-1]
         table: dict[tuple[int, int], int] = {}
@@ -631,7 +633,7 @@ def with_token_counts(docs: DataFrame, model: str, name: str, text: str = "text"
     def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter(shared.value)
         for column in columns:
-            parts = [pa.array(counter(pa.compute.fill_null(p.column(0), ""))[0], pa.int64()) for p in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0)]
+            parts = [pa.array(counter(pa.compute.fill_null(p.column(0), ""))[0], pa.int64()) for p in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0, SLICE)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
 
     return docs.withColumn(name, count(F.col(text)))
@@ -650,7 +652,7 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 n, unigram = counter(pa.compute.fill_null(part.column(1), ""))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(unigram)], names=["doc_id", "n_tokens", "n_unigram"])
 
