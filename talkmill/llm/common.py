@@ -49,6 +49,26 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str
     return one.select(*rows.columns, *more).unionByName(other.select(*rows.columns, *more))
 
 
+#: Bits of a bitmap of hashes: 16 MB, whatever it holds. The fuller it is, the less it keeps out.
+SIEVE = 1 << 27
+
+
+def bitmap_of(keys: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of the longs in a column, to be broadcast and asked by in_bitmap()."""
+    slot = F.pmod(F.col(name), F.lit(SIEVE)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((SIEVE // 32768, 4096), np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["at"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the longs may be in it: all that are, and some others."""
+    slot = keys & (SIEVE - 1)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 def ascii_lower(text):
     """Lower-case A-Z only. lower() does just that when every character is one byte; translate is for the rest."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

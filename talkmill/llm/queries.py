@@ -11,6 +11,7 @@ from .exact import exact_groups
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .near import Plan, near_components
+from .repeats import find_repeats
 from .tokens import count_tokens, encode, with_token_counts
 from .toxicity import score_toxicity
 from .urls import judge_urls
@@ -77,4 +78,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op7_token_counts, op8_source_mixing, op9_chat_formatting, op10_exact_dedup)}
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op7_token_counts, op8_source_mixing, op9_chat_formatting, op10_exact_dedup, op11_suffix_array_dedup)}
