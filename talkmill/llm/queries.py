@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment_counts
 from .chat import format_chats, loss_text, read_back
 from .common import cut
 from .exact import exact_groups
@@ -21,6 +22,8 @@ from .vectors import near_vectors
 
 #: The public tokenizer that op1, op7 and the pipeline encode with; read on the driver, its arrays are broadcast.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: And the one that op12 aligns it with.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +87,12 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), BYTE_LEVEL, MODEL)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("path")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op7_token_counts, op8_source_mixing, op9_chat_formatting, op10_exact_dedup, op11_suffix_array_dedup, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_minhash_near_dedup, op4_url_filters, op5_embedding_near_dedup, op6_license_scans, op7_token_counts, op8_source_mixing, op9_chat_formatting, op10_exact_dedup, op11_suffix_array_dedup, op12_tokenizer_alignment, op13_merkle_manifest)}
