@@ -221,8 +221,7 @@ p AS (SELECT *, ey / (eg + ey + er) AS py, er / (eg + ey + er) AS pr FROM q), c
 w AS (SELECT alpha, temperature, red, yellow, mode, max(objective) FILTER (split = 'validation') AS val_objective, max(g2r) FILTER (split = 'test') AS test_green_to_red, max(macro) FILTER (split = 'test') AS test_macro_f1 FROM o GROUP BY alpha, temperature, red, yellow, mode)
 SELECT *, row_number() OVER (ORDER BY val_objective DESC, test_green_to_red, test_macro_f1 DESC, alpha, temperature, red, yellow, mode) AS rank FROM w""".replace("GROUP BY ALL", "GROUP BY split, alpha, temperature, red, yellow, mode"))
 def _(v):
-    c, signals = F.col, rules.safety_signals(F.col("text"))
-    said = spoken(v.probabilities).where("doc_id % 3 < 2")
+    c, (said, signals) = F.col, rules.with_signals(spoken(v.probabilities).where("doc_id % 3 < 2"))
     marked = said.select("doc_id", "p_green", "p_yellow", "p_red", (F.size(signals["signals"]) == 0).alias("quiet"), *(signals[k].alias(k) for k in ("idiom", "bullying", "negated", "red_necessary")))
     rows = marked.join(v.examples.where("safety <> 'reject'").select("doc_id", c("safety").alias("truth")), "doc_id").select(
         F.when(c("doc_id") % 3 == 0, "validation").otherwise("test").alias("split"), "truth", "idiom", "bullying", "negated", "red_necessary", F.array(F.log("p_green"), F.log("p_yellow"), F.log("p_red")).alias("base"),

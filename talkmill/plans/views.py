@@ -90,7 +90,7 @@ def drawn(docs: DataFrame) -> DataFrame:
 
 #: A saying for each family of safety signals; document d has those of the bits of d, so all combinations occur. Some documents say something else altogether.
 SAYINGS = ("what a clown", "you moron", "I wish I was  dead", "I will kill myself", "I cut myself", "there are pills", "tonight", "I made a plan", "not really")
-INSTEAD = ("Hello!", "I'm a bit tired.", "$env:MODE = 1 python.exe --fast", "cd src\nuvicorn app --port=80 run.py", "cd src uvicorn app --port=80 run.py")
+INSTEAD = ("Hello!", "I'm a bit tired.", "export MODE=1 make -f", "grep -r\nmain.sh", "grep -r main.sh")
 
 
 def spoken(rows: DataFrame) -> DataFrame:

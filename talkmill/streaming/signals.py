@@ -22,10 +22,10 @@ def risk_rates(events: DataFrame, late: str = "10 minutes", width: str = "1 hour
 
 def triage(messages: DataFrame, red: float = 0.45, yellow: float = 0.55) -> DataFrame:
     """messages (text, p_yellow, p_red) plus signals and level, without state: what batches get, streams get too."""
-    signals = rules.safety_signals(F.col("text"))
+    rows, signals = rules.with_signals(messages, name="__flags")
     level = rules.thresholds(F.col("p_yellow"), F.col("p_red"), F.lit(red), F.lit(yellow))
     final = rules.soft_rules(level, F.col("p_yellow"), F.col("p_red"), F.col("text"), signals, yellow)
-    return messages.withColumns({"signals": signals["signals"], "level": final})
+    return rows.withColumns({"signals": signals["signals"], "level": final}).drop("__flags")
 
 
 def scored_turns(turns: DataFrame, scores: DataFrame, wait: str = "10 minutes") -> DataFrame:

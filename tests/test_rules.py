@@ -44,7 +44,7 @@ def test_disposition_order(spark):
     "said,level,red,expected",
     [
         ("Hello!", "red", 0.9, "green"), ("I am tired", "yellow", 0.5, "green"), ("I will end my life tonight", "green", 0.0, "red"), ("I want to disappear", "red", 0.9, "yellow"),
-        ("$env:MODE=1 python.exe --fast", "red", 0.9, "green"), ("git pull --all\n\nrun.py", "red", 0.9, "green"), ("git pull --all run.py", "red", 0.9, "red"), ("git pull --all run.py\n \n", "red", 0.9, "red"), ("so be it", "yellow", 0.1, "green"), ("what a clown", "red", 0.9, "yellow"), ("you moron", "red", 0.9, "yellow"), ("so be it", "red", 0.7, "yellow"), ("so be it", "red", 0.85, "red"),
+        ("export MODE=1 make -f", "red", 0.9, "green"), ("grep -r\n\nmain.sh", "red", 0.9, "green"), ("grep -r main.sh", "red", 0.9, "red"), ("grep -r main.sh\n \n", "red", 0.9, "red"), ("grep -r main.sh | ssh ./a/b", "red", 0.9, "green"), ("so be it", "yellow", 0.1, "green"), ("what a clown", "red", 0.9, "yellow"), ("you moron", "red", 0.9, "yellow"), ("so be it", "red", 0.7, "yellow"), ("so be it", "red", 0.85, "red"),
     ],
 )
 def test_soft_rules(spark, said, level, red, expected):
@@ -58,6 +58,16 @@ SAID = {
 }
 
 
+def test_marks_of_commands(spark):
+    """By number, by lines and together, with the built-in table and with one's own."""
+    rows = [("$ Grep -R\n./src/x",), ("$ grep -r ./src/x",), ("$ grep -r x",), ("$ grep -r\nx",), ("$ grep -r\n\n",), ("export A=1 make it -b",), ("export A=1 make it",), (None,), ("",)]
+    assert [r[0] for r in values(spark, rows, "t string", r=rules.technical_text(F.col("t")))] == [True, True, False, True, False, True, False, False, False]
+    own = rules.technical_text(F.col("t"), {"a": "a", "b": "b", "c": "c"}, ("a", "b"), 3)
+    assert [r[0] for r in values(spark, [("ABC",), ("ab",), ("ac",), ("b\nc",), ("c",)], "t string", r=own)] == [True, True, False, True, False]
+    alone = rules.technical_text(F.col("t"), {"a": "a", "b": "b"}, (), 2)
+    assert [r[0] for r in values(spark, [("ab",), ("a",)], "t string", r=alone)] == [True, False]
+
+
 def test_safety_signals_by_all_families(spark):
     """Every combination of the nine families, against the formulas in plain Python."""
     cases = [dict(zip(SAID, on)) for on in itertools.product((False, True), repeat=len(SAID))]
