@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,43 +71,75 @@ def policy_sweep(scored: DataFrame, alphas: list[float], temperatures: list[floa
     return table.withColumn("rank", F.row_number().over(best))
 
 
-def order_statistics(rows: DataFrame, value: str, places, buckets: int = 4096, few: int = 65_536) -> tuple[int, list[float]]:
-    """(n, the values at the places(n) of all n sorted ones, nulls and NaN aside), exactly.
+#: Bits that one pass of order_statistics() settles.
+DIGIT = 16
 
-    Counts in buckets between the least and the largest value show which one holds a place; that one is cut again, until
-    its values are all equal or `few`. What comes back from a pass are counts: at most `buckets` or `few` rows.
+
+def order_patterns(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned longs in the same order: the bits of those below zero turned over, the sign bit of the others set; -0 is 0."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def from_pattern(pattern: int) -> float:
+    """The double of an order pattern."""
+    bits = pattern & ((1 << 63) - 1) if pattern >> 63 else pattern ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def order_statistics(rows: DataFrame, value: str, places) -> tuple[int, list[float]]:
+    """(n, the values at the places(n) of all n sorted ones, nulls and NaN aside), exactly, -0 as 0.
+
+    Radix selection over the values' order patterns: a pass counts the next 16 bits of all values whose bits so far are those
+    of a place, for all places at once, and four passes settle 64 bits, whatever the values are. Tasks count batch by
+    batch and partial sums follow; what comes back is at most 65,536 counts for each place.
     """
     x = rows.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    known: dict[tuple, list] = {}
-
-    def cut(low: float, high: float, size: int) -> list[tuple[float, float, int]]:
-        """(least, largest, count) of each bucket between low and high, in order."""
-        if (low, high) not in known:
-            part, width = x.where(F.col("x").between(low, high)), high / buckets - low / buckets
-            whole = size <= few or width == 0
-            key = F.col("x") if whole else F.floor((F.col("x") / width) - F.lit(low / width))
-            counts = part.groupBy(key.alias("k")).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("c"))
-            known[low, high] = sorted((r.a, r.b, r.c) for r in counts.collect())
-        return known[low, high]
-
-    def find(place: int) -> float:
-        a, b, size = low, high, n
-        while a < b:
-            for first, last, count in cut(a, b, size):
-                if place < count:
-                    a, b, size = first, last, count
-                    break
-                place -= count
-        return a
 
-    return n, [find(p) for p in places(n)] if n else []
+    def counts(prefixes: list[int], done: int) -> dict[int, list[tuple[int, int]]]:
+        """By prefix of `done` bits: (next digit, count), in order."""
+        known = np.array(sorted(prefixes), np.uint64)
+
+        def run(batches):
+            for batch in batches:
+                key = order_patterns(batch.column(0).to_numpy())
+                if done:
+                    top = key >> np.uint64(64 - done)
+                    at = np.minimum(np.searchsorted(known, top), len(known) - 1)
+                    key, at = key[known[at] == top], at[known[at] == top]
+                else:
+                    at = np.zeros(len(key), np.int64)
+                digit = (key >> np.uint64(64 - done - DIGIT)) & np.uint64((1 << DIGIT) - 1)
+                found, n = np.unique(at.astype(np.int64) << DIGIT | digit.astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["k", "c"])
+
+        table: dict[int, list[tuple[int, int]]] = {int(p): [] for p in known}
+        for r in sorted(x.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()):
+            table[int(known[r.k >> DIGIT])].append((r.k & ((1 << DIGIT) - 1), r.c))
+        return table
+
+    first = counts([0], 0)
+    n = sum(c for _, c in first[0])
+    open_ = [(0, place) for place in places(n)] if n else []
+    for done in range(0, 64, DIGIT):
+        table = first if done == 0 else counts(list({p for p, _ in open_}), done)
+        further = []
+        for prefix, place in open_:
+            for digit, c in table[prefix]:
+                if place < c:
+                    further.append((prefix << DIGIT | digit, place))
+                    break
+                place -= c
+        open_ = further
+        if not open_:
+            break
+    return n, [from_pattern(p) for p, _ in open_]
 
 
 def latencies(rows: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, median, least, most, and p95 at index round(0.95 (n - 1)), halves to even; null values don't count."""
     _, found = order_statistics(rows, value, lambda n: [(n - 1) // 2, n // 2, round(0.95 * (n - 1))])
     low, high, p95 = found or (None, None, None)
-    middle = None if low is None else (low + high) / 2
+    middle = None if low is None else low if low == high else low / 2 + high / 2
     stats = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
     return stats.select("n", "mean", F.lit(middle).cast("double").alias("median"), "least", "most", F.lit(p95).cast("double").alias("p95"))

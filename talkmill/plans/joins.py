@@ -109,6 +109,20 @@ def _(v):
     return dedup.exact_duplicates(utterances(v))
 
 
+KEEP = """, p AS (SELECT a, b FROM (SELECT p.id AS a, q.id AS b, count(*) AS c FROM g p JOIN g q ON p.g = q.g AND p.id < q.id GROUP BY p.id, q.id) JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.5),
+s AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id FROM p UNION SELECT b FROM p)), f AS (SELECT k, id, coalesce(list(a) FILTER (a IS NOT NULL), []) AS earlier FROM s LEFT JOIN p ON p.b = s.id GROUP BY k, id),
+r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT f.k, CASE WHEN list_has_any(f.earlier, r.kept) THEN r.kept ELSE list_append(r.kept, f.id) END FROM r JOIN f ON f.k = r.k + 1), z AS (SELECT kept FROM r ORDER BY k DESC LIMIT 1)
+SELECT o.id, list_min(list_intersect(f.earlier, z.kept)) AS kept_by FROM o CROSS JOIN z LEFT JOIN f ON f.id = o.id AND NOT list_contains(z.kept, f.id)"""
+
+
+@query("j10_keep_decisions", "WITH RECURSIVE {views}, " + GRAM_SQL + KEEP)
+def _(v):
+    """Which utterances the greedy order keeps, over a table of confirmed pairs of distinct texts; the SQL takes them one by one."""
+    pairs = dedup.similar_pairs(utterances(v), 0.5).select("a", "b")
+    firsts = utterances(v).groupBy(text.strip_punctuation("text")).agg(F.min("id").alias("id")).select("id")
+    return dedup.greedy_keep(firsts, pairs).withColumnRenamed("by", "kept_by")
+
+
 @query("j10_greedy_dedupe")
 def _(v):
     return dedup.dedupe_utterances(utterances(v), by_ratio=True)

@@ -9,6 +9,7 @@ import re
 import unicodedata
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -101,6 +102,45 @@ def test_dedupe_by_ratio_equals_the_loop(spark):
     assert pairs == {(a, b) for a in norm for b in norm if a < b and norm[a] and norm[b] and difflib.SequenceMatcher(None, norm[b], norm[a]).ratio() >= 0.82}
 
 
+def test_common_subsequence_bound_is_exact():
+    """The banded bit steps say yes just when the longest common subsequence is long enough."""
+    rng = random.Random(0)
+    for _ in range(800):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 90)))
+        b = list(a)
+        for _ in range(rng.randint(0, 30)):
+            if b and rng.random() < 0.5:
+                b.pop(rng.randrange(len(b)))
+            else:
+                b.insert(rng.randint(0, len(b)), rng.choice("abcd"))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                row[j], before = (before + 1 if x == y else max(row[j], row[j - 1])), row[j]
+        at = {}
+        for k, x in enumerate(a):
+            at[x] = at.get(x, 0) | 1 << k
+        for need in {row[-1] - 1, row[-1], row[-1] + 1} - {0, -1}:
+            if need <= min(len(a), len(b)):
+                assert dedup._common(at, len(a), "".join(b), need) == (row[-1] >= need)
+
+
+def test_tiles_meet_wherever_texts_may_be_alike(spark):
+    """Tile pairs against all pairs of texts: none whose bounds allow the ratio is dropped, and some tiles don't meet."""
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice("abcdef" if i % 2 else "uvwxyz") for _ in range(rng.choice([5, 30, 33, 36, 90, 100])))) for i in range(120)]
+    texts += [(200 + i, t[:-1]) for i, t in texts[:40]]
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts], "id long, norm string, cells long")
+    got = {(r.a, r.b) for r in dedup.ratio_pairs(df, 0.8, 0.8, tile=8).where("greatest(forward, backward) >= 0.8").collect()}
+    sim = lambda x, y: max(difflib.SequenceMatcher(None, x, y).ratio(), difflib.SequenceMatcher(None, y, x).ratio())
+    assert got == {(a, b) for a, x in texts for b, y in texts if a < b and sim(x, y) >= 0.8}
+    tiles = [(k, 30, 36, *(x for c in range(dedup.SHADES) for x in ((c == k % 2) * 30, (c == k % 2) * 36))) for k in range(6)] + [(9, 100, 100, *([0, 100] * dedup.SHADES))]
+    columns = "tile long, small int, large int, " + ", ".join(f"l{k} int, h{k} int" for k in range(dedup.SHADES))
+    met = {(r.i, r.j) for r in dedup.tile_pairs(spark.createDataFrame(tiles, columns), 0.8).collect()}
+    assert met == {(i, j) for i in range(6) for j in range(i, 6) if i % 2 == j % 2} | {(9, 9)}
+
+
 def test_similar_pairs_are_complete(spark):
     random.seed(5)
     base = ["".join(random.choice("abcde ") for _ in range(40)) for _ in range(4)]
@@ -346,18 +386,42 @@ def test_nfkc_query_takes_all_documents(spark):
     assert {tuple(r) for r in QUERIES["f02_nfkc"](spark, sf).collect()} == want and not all(d.text.isascii() for d in docs)
 
 
-@pytest.mark.parametrize("few", [3, 65_536])
-def test_order_statistics_equal_the_sorted_values(spark, few):
-    rng = random.Random(few)
-    for xs in ([rng.gauss(0, 1e3) for _ in range(500)], [float(rng.randrange(4)) for _ in range(300)], [1e300, -1e300, 0.0, 5e-324], [2.5], [rng.expovariate(1) ** 9 for _ in range(400)]):
+def test_order_statistics_equal_the_sorted_values(spark):
+    rng = random.Random(3)
+    inf = float("inf")
+    cases = [
+        [rng.gauss(0, 1e3) for _ in range(500)], [float(rng.randrange(4)) for _ in range(300)], [1e300, -1e300, 0.0, 5e-324], [2.5], [rng.expovariate(1) ** 9 for _ in range(400)],
+        [inf, -inf, 1e308, -1e308, 1.5, 1.5, -5e-324, 1.7976931348623157e308], [inf] * 3, [-inf, inf], [-0.0, 0.0, -0.0, 1.0, -1.0], [1.0 + k * 2.0**-52 for k in range(200)],
+    ]
+    for xs in cases:
         places = [0, len(xs) // 2, (len(xs) - 1) // 3, round(0.95 * (len(xs) - 1)), len(xs) - 1]
-        df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "v double")
-        n, got = metrics.order_statistics(df, "v", lambda n: places, buckets=7, few=few)
+        df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "v double").repartition(3)
+        n, got = metrics.order_statistics(df, "v", lambda n: places)
         assert (n, got) == (len(xs), [sorted(xs)[p] for p in places])
+        assert all(math.copysign(1, g) == 1 for g in got if g == 0)
     empty = spark.createDataFrame([], "v double")
     assert metrics.order_statistics(empty, "v", lambda n: [0]) == (0, []) and metrics.latencies(empty, "v").first().p95 is None
 
 
+def test_order_statistics_of_many_rows_with_infinities_and_ties(spark):
+    """More rows than a pass has digits, most of them one value, and an infinity at either end."""
+    ids = spark.range(200_000)
+    df = ids.select(F.when(F.col("id") % 3 == 0, F.lit(7.25)).otherwise(F.sin("id") * 1e6).alias("v")).union(spark.createDataFrame([(float("inf"),), (float("-inf"),)], "v double"))
+    want = sorted(r.v for r in df.collect())
+    places = [0, 1, 66_666, 100_000, 133_333, 200_000, 200_001]
+    assert metrics.order_statistics(df, "v", lambda n: places) == (200_002, [want[p] for p in places])
+    got = metrics.latencies(df, "v").first()
+    assert (got.n, got.least, got.most, got.p95, got["median"]) == (200_002, float("-inf"), float("inf"), want[round(0.95 * 200_001)], (want[100_000] + want[100_001]) / 2)
+
+
+def test_order_patterns_keep_the_order(spark):
+    rng = np.random.default_rng(1)
+    xs = np.sort(np.concatenate([rng.integers(0, 1 << 64, 3000, dtype=np.uint64).view(np.float64), [0.0, np.inf, -np.inf, 1e308, -1e308, 5e-324]]))
+    xs = xs[~np.isnan(xs)]
+    patterns = metrics.order_patterns(xs)
+    assert (patterns[1:] >= patterns[:-1]).all() and [metrics.from_pattern(int(p)) for p in patterns] == (xs + 0.0).tolist()
+
+
 def test_sweep_finds_the_setting_that_separates(spark):
     """Logits that only the right thresholds tell apart; the best setting and its measures against a loop."""
     rows = []
