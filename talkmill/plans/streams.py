@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import scores, sessions
-from ..streaming import history, signals
-from ..streaming.replay import replay, scratch, stream_of
+from ..streaming import guidance, history, signals
+from ..streaming.exchanges import exchanges
+from ..streaming.replay import STATEFUL, drained, in_pieces, replay, scratch, settings, stream_of
 from .registry import query
 from .rules import FINAL, LEVELS, NAMES, SIGNALS
 from .views import drawn, spoken
@@ -20,33 +21,33 @@ def _(v):
         said = rows.where("role <> 'system'").select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), "turn", "role", "text")
         return history.rolling_history(said, most=4)
 
-    # State that expires by the clock would keep a replay running through batches without data.
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    out = replay(v.spark, f"{v.sf_dir}/conversations.parquet", plan, "update", **conf)
+    out = replay(v.spark, f"{v.sf_dir}/conversations.parquet", plan, "update", **STATEFUL)
     return out.select("session_id", "n", F.aggregate("history", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"])).alias("chars"))
 
 
+def exchange_tables(batch):
+    """Exchanges (session_id, turn, user_message, assistant_message, created_at), with candidates made up from the question, as five tables."""
+    turns = batch.select("session_id", (F.substring("session_id", 2, 20).cast("long") * 1000 + F.col("turn")).alias("turn_id"), "user_message", "assistant_message", "created_at")
+    made = turns.select("turn_id", F.length("user_message").alias("size"), F.posexplode(F.array(F.lit("c1"), F.lit("c2"))).alias("i", "candidate_id"))
+    scored = made.select("turn_id", "candidate_id", "i", ((F.col("size") + F.col("i") * 7) % 3).alias("er"), ((F.col("size") + F.col("i")) % 5 == 0).alias("flagged"))
+    return sessions.fan_out(turns, scored, scores.preference_pairs(scored, "turn_id", "er", "flagged", "i", "candidate_id"))
+
+
 @query("r03_fanout_stream", """WITH {views}, m AS (SELECT *, 's' || conv_id AS session_id, conv_id * 1000 + turn AS turn_id FROM messages WHERE role = 'student'), a AS (SELECT conv_id * 1000 + turn - 1 AS turn_id, text FROM messages WHERE role = 'assistant'),
 c AS (SELECT m.turn_id, o.k AS candidate_id, (length(m.text) + o.i * 7) % 3 AS er, (length(m.text) + o.i) % 5 = 0 AS flagged FROM m, (VALUES ('c1', 0), ('c2', 1)) o(k, i)), p AS (SELECT turn_id, max(er) FILTER (candidate_id = 'c1' AND NOT flagged) AS x, max(er) FILTER (candidate_id = 'c2' AND NOT flagged) AS y FROM c GROUP BY turn_id)
 SELECT 'sessions' AS tbl, session_id AS key, count(*)::VARCHAR AS detail FROM m GROUP BY session_id UNION ALL SELECT 'turns', turn_id::VARCHAR, session_id FROM m UNION ALL SELECT 'messages', m.turn_id || '/0', md5(m.text) FROM m UNION ALL SELECT 'messages', a.turn_id || '/1', md5(a.text) FROM a JOIN m USING (turn_id)
 UNION ALL SELECT 'candidates', turn_id || '/' || candidate_id, er::VARCHAR FROM c UNION ALL SELECT 'preferences', turn_id::VARCHAR, CASE WHEN x > y THEN 'c1>c2' ELSE 'c2>c1' END FROM p WHERE x <> y""")
 def _(v):
-    """Exchanges as a stream, each micro-batch fanned out to five tables; one batch comes twice and changes nothing."""
+    """Messages as a stream of eight micro-batches in no order, some of them twice; questions wait for their answers in state, and what is new or has
+    changed is fanned out to five tables batch by batch."""
     folder = scratch(v.spark)
-    lines = stream_of(v.spark, f"{v.sf_dir}/conversations.parquet").where("role <> 'system'").select("conv_id", "turn", F.when(F.col("role") == "user", "student").otherwise("assistant").alias("role"), "text")
-
-    def tables(batch):
-        turns = sessions.paired_turns(batch, "conv_id", "turn").select(
-            F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "user_message", "assistant_message", F.lit(None).cast("timestamp").alias("created_at")
-        )
-        made = turns.select("turn_id", F.length("user_message").alias("size"), F.posexplode(F.array(F.lit("c1"), F.lit("c2"))).alias("i", "candidate_id"))
-        scored = made.select("turn_id", "candidate_id", "i", ((F.col("size") + F.col("i") * 7) % 3).alias("er"), ((F.col("size") + F.col("i")) % 5 == 0).alias("flagged"))
-        return sessions.fan_out(turns, scored, scores.preference_pairs(scored, "turn_id", "er", "flagged", "i", "candidate_id"))
-
+    at = F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60).alias("created_at")
+    said = v.messages.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), "turn", "role", "text", at)
+    twice = said.unionByName(said.where("xxhash64(session_id, turn) % 5 = 0"))
+    made = exchanges(in_pieces(v.spark, twice, 8), "365 days")
     write = signals.batch_tables(folder)
-    signals.each_batch(lines, write, tables, f"{folder}/state").awaitTermination()
-    batch = v.spark.read.parquet(f"{v.sf_dir}/conversations.parquet").where("role <> 'system'").select("conv_id", "turn", F.when(F.col("role") == "user", "student").otherwise("assistant").alias("role"), "text")
-    write(tables(batch), 0)  # the first batch again, as after a failure before its commit
+    with settings(v.spark, STATEFUL):
+        signals.each_batch(made, write, exchange_tables, f"{folder}/state", "update").awaitTermination()
     t = signals.read_tables(v.spark, folder)
     row = lambda name, key, detail: t[name].select(F.lit(name).alias("tbl"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
     key = lambda *c: F.concat_ws("/", *(F.col(x).cast("string") for x in c))
@@ -58,6 +59,17 @@ def _(v):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query("r02_guidance_stream", """WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status FROM events), r AS (SELECT *, CASE status WHEN 'pending' THEN 1 ELSE 2 END AS rank FROM e)
+SELECT 's' || user_id AS session_id, first(event_id ORDER BY ts DESC, rank DESC, event_id DESC) AS event_id, first(status ORDER BY ts DESC, rank DESC, event_id DESC) AS status FROM r GROUP BY user_id""")
+def _(v):
+    """Guidance states in eight micro-batches in no order, some of them twice; the last row that a session gave is its latest state."""
+    status = F.when(F.col("event_type") == "purchase", "ready").when(F.col("event_type") == "error", "failed").otherwise("pending")
+    rows = v.table("events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").cast("timestamp").alias("updated_at"), "event_id", status.alias("status"), F.col("props").alias("payload"))
+    made = guidance.latest_guidance(in_pieces(v.spark, rows.unionByName(rows.where("event_id % 7 = 0")), 8))
+    out = drained(v.spark, made, "update", **STATEFUL)
+    return out.groupBy("session_id").agg(F.max_by(F.struct("event_id", "status"), "batch").alias("x")).select("session_id", "x.*")
+
+
 @query("r04_s11_triage_stream", "WITH {views}, " + SIGNALS + ", " + LEVELS + f" SELECT doc_id, {NAMES} AS signals, {FINAL} AS level FROM l")
 def _(v):
     """Each message is judged as it comes and appended to the safety log, which is read back."""

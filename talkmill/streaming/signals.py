@@ -41,9 +41,9 @@ def append_log(levels: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return levels.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def each_batch(rows: DataFrame, write: Callable[[dict[str, DataFrame], int], None], tables: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str) -> StreamingQuery:
+def each_batch(rows: DataFrame, write: Callable[[dict[str, DataFrame], int], None], tables: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Fan each micro-batch out to tables; write gets the batch's number, so that a batch that comes again can be replaced."""
-    return rows.writeStream.foreachBatch(lambda batch, n: write(tables(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.outputMode(mode).foreachBatch(lambda batch, n: write(tables(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 TABLES = ("sessions", "messages", "turns", "candidates", "preferences")
@@ -60,4 +60,10 @@ def batch_tables(folder: str) -> Callable[[dict[str, DataFrame], int], None]:
 
 
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}").drop("batch") for name in TABLES}
+    """The tables as the last micro-batch that holds a turn left it: what an earlier one said about the turn is gone.
+    Sessions begin with their first turn and end with their last."""
+    t = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+    last = t["turns"].groupBy("turn_id").agg(F.max("batch").alias("batch"))
+    now = {name: t[name].join(last, ["turn_id", "batch"]).drop("batch") for name in TABLES if name != "sessions"}
+    sessions = now["turns"].groupBy("session_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"))
+    return {"sessions": t["sessions"].select("session_id").distinct().join(sessions, "session_id"), **now}
