@@ -38,6 +38,9 @@ def family(identifier: str) -> str:
     return _PART.split(identifier.rstrip("+"), maxsplit=1)[0]
 
 
+_BLANKS = re.compile(r"[ \t]*")
+
+
 def parse_expression(text: str) -> list[str] | None:
     """The licence expression that text begins with, in postfix order; None if there is none.
 
@@ -46,15 +49,16 @@ def parse_expression(text: str) -> list[str] | None:
     """
     out: list[str] = []
     waiting: list[str] = []
-    best: list[str] | None = None
-    operand = True
+    best: tuple[int, list[str]] | None = None
+    operand, open_ = True, 0
     at = 0
     while found := _TOKEN.match(text, at):
         token = found[0]
-        at = re.compile(r"[ \t]*").match(text, found.end()).end()
+        at = _BLANKS.match(text, found.end()).end()
         if operand:
             if token == "(":
                 waiting.append(token)
+                open_ += 1
                 continue
             if token == ")" or token in _BINDS:
                 break
@@ -65,19 +69,21 @@ def parse_expression(text: str) -> list[str] | None:
                 out.append(waiting.pop())
             waiting.append(token)
             operand = True
-        elif token == ")" and "(" in waiting:
+        elif token == ")" and open_:
+            open_ -= 1
             while (x := waiting.pop()) != "(":
                 out.append(x)
         else:
             break
-        if not operand and "(" not in waiting:
-            best = out + waiting[::-1]
-    return best
+        if not operand and not open_:
+            # What is out stays out, and no more than one operator of each strength waits.
+            best = len(out), waiting[::-1]
+    return best and out[: best[0]] + best[1]
 
 
 class Term(NamedTuple):
     """A value on the evaluation stack. choices: the sets of licences of which one must be kept to, None where there
-    would be more than MOST_CHOICES; need: licences that all choices share; may: all of them; text: the expression
+    would be too many; need: licences that all choices share; may: all of them; text: the expression
     with brackets where they matter; binds: of its outermost operator."""
 
     choices: frozenset[frozenset[str]] | None
@@ -91,35 +97,77 @@ class Term(NamedTuple):
 MOST_CHOICES = 64
 
 
-def evaluate(postfix: list[str]) -> Term:
+def evaluate(postfix: list[str], most: int = MOST_CHOICES) -> Term:
     """What an expression asks for: or joins the choices of its sides, and combines each with each, with names an exception.
 
-    A choice that asks for more than another does is dropped. need and may are exact at any size: what an or needs is
-    what both sides need, what an and needs is what either does.
+    A choice that asks for more than another does is dropped; beyond `most`, or most ** 2 licences beside need in all of
+    them, they are not listed. need and may are exact at any size: what an or needs is what both sides need, what an and
+    needs is what either does. A choice is held as what it has beyond need, and the smaller set goes into the larger, so
+    long chains take time in proportion.
     """
-    stack: list[Term] = []
+    stack: list[tuple[list[frozenset[str]] | None, set[str], set[str], int, int]] = []
+    # The text's parts: what an expression of the stack ends with, and brackets put before and after it once it is known to need them.
+    parts: list[str] = []
+    before: dict[int, int] = {}
     for token in postfix:
         if token not in _BINDS:
-            one = frozenset([token])
-            stack.append(Term(frozenset([one]), one, one, token, 4))
+            stack.append(([frozenset()], {token}, {token}, len(parts), 4))
+            parts.append(token)
             continue
-        right, left = stack.pop(), stack.pop()
+        (more, right_need, right_may, right_at, right_binds), (choices, need, may, at, left_binds) = stack.pop(), stack.pop()
         binds = _BINDS[token]
-        said = [f"({x.text})" if x.binds < binds else x.text for x in (left, right)]
-        text = f" {token} ".join(said)
+        for first, last, inner in ((at, right_at - 1, left_binds), (right_at, len(parts) - 1, right_binds)):
+            if inner < binds:
+                before[first] = before.get(first, 0) + 1
+                parts[last] += ")"
         if token == "with":
-            under = lambda ids, name=right.text: frozenset(f"{x} with {name}" for x in ids)
-            stack.append(Term(left.choices and frozenset(map(under, left.choices)), under(left.need), under(left.may), text, binds))
-            continue
-        choices = None
-        if left.choices is not None and right.choices is not None:
-            made = left.choices | right.choices if token == "or" else frozenset(a | b for a in left.choices for b in right.choices) if len(left.choices) * len(right.choices) <= MOST_CHOICES**2 else None
-            if made is not None:
-                made = frozenset(c for c in made if not any(d < c for d in made))
-                choices = made if len(made) <= MOST_CHOICES else None
-        need = left.need & right.need if token == "or" else left.need | right.need
-        stack.append(Term(choices, need, left.may | right.may, text, binds))
-    return stack[0]
+            name = "".join("(" * before.get(k, 0) + parts[k] for k in range(right_at, len(parts))) if right_binds == 4 else _spoken(parts, before, right_at)
+            under = lambda ids: {f"{x} with {name}" for x in ids}  # noqa: E731, B023
+            made = choices and [frozenset(under(c)) for c in choices]
+            stack.append((made, under(need), under(may), at, binds))
+        else:
+            both = _joined(choices, need, more, right_need, most) if token == "or" else _combined(choices, need, more, right_need, most)
+            stack.append((*both, _union(may, right_may), at, binds))
+        parts[right_at] = f" {token} " + "(" * before.pop(right_at, 0) + parts[right_at]
+    choices, need, may, _, binds = stack[0]
+    text = _spoken(parts, before, 0)
+    return Term(None if choices is None else frozenset(c | need for c in choices), frozenset(need), frozenset(may), text, binds)
+
+
+def _spoken(parts: list[str], before: dict[int, int], at: int) -> str:
+    return "".join("(" * before.get(k, 0) + parts[k] for k in range(at, len(parts)))
+
+
+def _union(a: set[str], b: set[str]) -> set[str]:
+    """Of two sets that nothing else holds."""
+    if len(a) < len(b):
+        a, b = b, a
+    a |= b
+    return a
+
+
+def _least(choices: set[frozenset[str]], most: int) -> list[frozenset[str]] | None:
+    kept = [c for c in choices if not any(d < c for d in choices)] if len(choices) > 1 else list(choices)
+    return kept if len(kept) <= most and sum(map(len, kept)) <= most**2 else None
+
+
+def _joined(a, need, b, right_need, most: int) -> tuple:
+    """or: (choices beyond need, need)."""
+    shared = need & right_need
+    if a is None or b is None:
+        return None, shared
+    left, right = frozenset(need - shared), frozenset(right_need - shared)
+    return _least({c | left for c in a} | {c | right for c in b}, most), shared
+
+
+def _combined(a, need, b, right_need, most: int) -> tuple:
+    """and: (choices beyond need, need)."""
+    if a is None or b is None or len(a) * len(b) > most**2:
+        return None, _union(need, right_need)
+    if len(a) == len(b) == 1:
+        return [frozenset()], _union(need, right_need)
+    made = {frozenset(x for x in c | d if x not in need and x not in right_need) for c in a for d in b}
+    return _least(made, most), _union(need, right_need)
 
 
 def _name(identifier: str) -> str:
@@ -146,7 +194,7 @@ _SPACES = bytes(int(LOWER[i]) if ALNUM[LOWER[i]] else 32 for i in range(256))
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, options array<string>, required string, score double"
 
 
-def scan_text(raw: bytes) -> tuple:
+def scan_text(raw: bytes, most: int = MOST_CHOICES) -> tuple:
     """The row of SCHEMA for one text in UTF-8."""
     words = raw.translate(_SPACES).split()
     line = b" " + b" ".join(words) + b" "
@@ -174,7 +222,7 @@ def scan_text(raw: bytes) -> tuple:
             postfix = parse_expression(found[1].decode("utf-8", "replace"))
             if postfix is None:
                 continue
-            value = evaluate(postfix)
+            value = evaluate(postfix, most)
             may, need = families(value.may), families(value.need)
             if not may:
                 continue
@@ -190,13 +238,13 @@ def scan_text(raw: bytes) -> tuple:
     )
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_choices: int = MOST_CHOICES) -> DataFrame:
     """One row per row of docs: doc_id and the columns of SCHEMA.
 
     Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. n_base, first_word and
     last_word count the places of BASE phrases; labels adds those of NOTICES and of all licences that tagged
     expressions may end in. Expressions are evaluated: options lists the choices that each one leaves (licences of a
-    choice joined by +; empty where there are more than MOST_CHOICES), required the labels that every choice asks for.
+    choice joined by +; empty where evaluate() doesn't list so many), required the labels that every choice asks for.
     score is 1 less the product of what each label's first evidence leaves in doubt; an expression that leaves a choice
     leaves more doubt. A null or empty text has no words, null places, empty labels and score 0; a text of any length is
     scanned whole. Repeated rows are scanned alike; no rows give no rows; other columns of docs, whatever their names,
@@ -210,7 +258,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             for part in slices(batch, 1):
                 raw, offset = text_bytes(part.column(1))
                 data = raw.tobytes()
-                rows = [scan_text(data[a:b]) for a, b in zip(offset[:-1], offset[1:], strict=True)]
+                rows = [scan_text(data[a:b], most_choices) for a, b in zip(offset[:-1], offset[1:], strict=True)]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
 

@@ -304,6 +304,29 @@ def test_expressions_equal_their_truth_table(seed):
     assert got.need == frozenset.intersection(*got.choices) and licenses.evaluate(licenses.parse_expression(got.text)).choices == got.choices
 
 
+def test_long_licence_lines_take_time_in_proportion():
+    """Some 1 MB each, of one licence and of as many as there are operands, in chains, choices and brackets."""
+    import time
+
+    n = 70_000
+    cases = [
+        (" and ".join(["mit"] * n), 1, 1), (" and ".join(f"l-{i}" for i in range(n)), n, n), (" or ".join(f"l-{i}" for i in range(n)), 0, n), ("(" * n + "mit" + ")" * n, 1, 1),
+        (" or ".join(f"l-{i} with e and b" for i in range(n // 2)), 1, n // 2 + 1), ("mit " + "and (" * n, 1, 1),
+    ]
+    for said, need, may in cases:
+        began = time.process_time()
+        got = licenses.evaluate(licenses.parse_expression(said))
+        assert (len(got.need), len(got.may)) == (need, may)
+        assert time.process_time() - began < 5
+
+
+def test_choices_are_listed_as_far_as_one_asks(spark):
+    said = "SPDX-License-Identifier: " + " OR ".join(f"lic-{i}" for i in range(100))
+    df = spark.createDataFrame([(1, said)], "doc_id long, text string")
+    few, many = (licenses.scan_licenses(df, most_choices=m).first() for m in (64, 128))
+    assert few.options == [""] and len(many.options[0].split(" | ")) == 100 and few.labels == many.labels
+
+
 def test_choices_change_what_is_asked_for(spark):
     said = ["MIT OR GPL-2.0", "MIT AND GPL-2.0", " AND ".join(f"(a{i} OR b{i})" for i in range(30))]
     rows = licenses.scan_licenses(spark.createDataFrame([(i, f"SPDX-License-Identifier: {s}") for i, s in enumerate(said)], "doc_id long, text string")).orderBy("doc_id").collect()
