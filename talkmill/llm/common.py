@@ -69,6 +69,15 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
+def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be one of keys': all that are, and some others. Expressions only: a bitmap in 4,096 parts goes to
+    the rows by broadcast, so that what a shuffle join would throw away need not be shuffled."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SIEVE)) + 1
+    parts = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    met = rows.withColumns({"__part": F.bitmap_bucket_number(slot), "__at": F.bitmap_bit_position(slot).cast("int")}).join(F.broadcast(cut(parts)), "__part")
+    return met.where("shiftright(cast(conv(hex(substring(__bits, __at div 8 + 1, 1)), 16, 10) as int), __at % 8) % 2 = 1").select(*rows.columns)
+
+
 def ascii_lower(text):
     """Lower-case A-Z only. lower() does just that when every character is one byte; translate is for the rest."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_GROUPS, SPACED, components, cut, fresh, mix, shingles, slices, split_words, tiled, tree, with_groups
+from .common import BROADCAST_GROUPS, SPACED, components, cut, fresh, mix, shingles, sifted, slices, split_words, tiled, tree, with_groups
 
 BITS = 512
 
@@ -146,7 +146,8 @@ def _confirm(unit: pd.DataFrame, plan: Plan) -> pd.DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """(id, shingles) of wanted (id, set_key): texts are fetched by the narrow wanted, which goes to them if it is small."""
+    """(id, shingles) of wanted (id, set_key): texts are fetched by the narrow wanted, which goes to them if it is small; else a
+    bitmap of it does, and only texts that this lets through are shuffled."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +157,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = cut(wanted)
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_GROUPS else wanted
-    return docs.join(few, "id").select("id", "text", "set_key").mapInArrow(full, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
+    if wanted.count() <= BROADCAST_GROUPS:
+        met = docs.join(F.broadcast(wanted), "id")
+    else:
+        met = sifted(docs, wanted, "id").join(wanted, "id")
+    return met.select("id", "text", "set_key").mapInArrow(full, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
 
 
 #: Shingles whose sets one unit of confirmation holds.

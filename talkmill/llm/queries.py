@@ -11,7 +11,7 @@ from .common import cut
 from .exact import exact_groups
 from .licenses import scan_licenses
 from .manifest import manifest
-from .mixing import mix_sources
+from .mixing import mix_hashes, mix_sources
 from .near import Plan, near_components
 from .repeats import find_repeats
 from .tokens import count_tokens, encode, with_token_counts
@@ -58,8 +58,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cut(with_token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), MODEL, "n"))
-    return mix_sources(docs, tokens="n", names=("n_tokens", "epoch", "position")).select("doc_id", "source", "n_tokens", "epoch", "position")
+    docs = with_token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), MODEL, "n")
+    outer, inner = mix_hashes(F.col("doc_id"), F.col("text"))
+    narrow = cut(docs.select("doc_id", "source", "n", outer.alias("outer"), inner.alias("inner")))
+    mixed = mix_sources(narrow, tokens="n", names=("n_tokens", "epoch", "position"), hashes=("outer", "inner"))
+    return mixed.select("doc_id", "source", "n_tokens", "epoch", "position")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

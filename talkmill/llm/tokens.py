@@ -196,6 +196,21 @@ def encode_units(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray
     long = (size > LONG) & ~by_hand
     if not long.any():
         return relax(v, pairs, unit, size, by_hand, number, start, piece)
+    steady = np.array([bool(x) and _stretches(number[u : u + n]) != [] for x, u, n in zip(long, unit, size, strict=True)])
+    if steady.any():
+        # Runs of one or a few characters, in which blocks fit nowhere: these units are walked through, the rest goes on as before.
+        order = np.argsort(start, kind="stable")
+        at, ids = start[order], piece[order]
+        parts: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(steady).tolist():
+            a, b = np.searchsorted(at, [unit[i], unit[i] + size[i]])
+            parts[i] = _walked(v, pairs, number[unit[i] : unit[i] + size[i]], at[a:b] - unit[i], ids[a:b])
+        rest = ~steady
+        in_rest = rest[of[start]]
+        flat, total = encode_units(v, pairs, unit[rest], size[rest], number, start[in_rest], piece[in_rest]) if rest.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        split = iter(np.split(flat, np.cumsum(total)[:-1]) if rest.any() else [])
+        made = [parts[i] if steady[i] else next(split) for i in range(len(unit))]
+        return np.concatenate(made), np.array([len(m) for m in made], np.int64)
     blocks = np.where(long, -(-size // LONG), 1)
     whose = np.repeat(np.arange(len(unit)), blocks)
     offset = (np.arange(len(whose)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * LONG
@@ -213,6 +228,73 @@ def encode_units(v: Vocabulary, pairs: Pairs, unit: np.ndarray, size: np.ndarray
     return flat, total
 
 
+#: The longest period that counts as a run, and characters from which on it does.
+PERIOD, RUN = 8, 256
+
+
+def _stretches(number: np.ndarray) -> list[tuple[int, int, int]]:
+    """(begin, end, period) of the stretches of RUN characters or more that repeat with a period of PERIOD or less."""
+    out: list[tuple[int, int, int]] = []
+    for q in range(1, PERIOD + 1):
+        same = np.concatenate(([False], number[q:] == number[:-q], [False])).astype(np.int8)
+        edges = np.flatnonzero(np.diff(same)).reshape(-1, 2)
+        for a, b in edges[np.diff(edges, axis=1)[:, 0] >= RUN].tolist():
+            if not any(x <= a and b + q <= y for x, y, _ in out):
+                out.append((a, b + q, q))
+    return sorted(out)
+
+
+def _walked(v: Vocabulary, pairs: Pairs, number: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """The BPE pieces of one unit, character by character: as relax(), which keeps each beginning's last piece.
+
+    What may be last depends on the last pieces of the beginnings before it, as many as the longest piece is long, and on
+    the characters. In a stretch that repeats, that state comes back sooner or later, and from then on all repeats, so
+    the rest of the stretch is copied.
+    """
+    n, longest = len(number), int(v.length.max())
+    alone = np.flatnonzero(v.single[number] >= 0)
+    start, piece = np.concatenate([start, alone]), np.concatenate([piece, v.single[number[alone]]])
+    end = start + v.length[piece]
+    order = np.argsort(end, kind="stable")
+    start, piece = start[order], piece[order]
+    bounds = np.searchsorted(end[order], np.arange(n + 2))
+    last = np.full(n + 1, -1, np.int64)  # by the beginning's length
+    may: dict[tuple[int, int], bool] = {}
+    stretches = _stretches(number)
+    e, k, seen = 1, 0, {}
+    while e <= n:
+        while k < len(stretches) and e > stretches[k][1]:
+            k, seen = k + 1, {}
+        if k < len(stretches) and e - longest > stretches[k][0]:
+            begin, stop, period = stretches[k]
+            state = (e % period, last[e - longest : e].tobytes())
+            if state in seen:
+                back = e - seen[state]
+                whole = (stop - e + 1) // back
+                if whole > 0:
+                    last[e : e + whole * back] = np.tile(last[e - back : e], whole)
+                    e += whole * back
+                    seen = {}
+                    continue
+            else:
+                seen[state] = e
+        for i in range(bounds[e], bounds[e + 1]):
+            s, p = int(start[i]), int(piece[i])
+            if s == 0:
+                last[e] = p
+            elif (before := int(last[s])) >= 0:
+                if (before, p) not in may:
+                    may[before, p] = bool(pairs(np.array([before]), np.array([p]))[0])
+                if may[before, p]:
+                    last[e] = p
+        e += 1
+    out, e = [], n
+    while e:
+        out.append(int(last[e]))
+        e -= int(v.length[out[-1]])
+    return np.array(out[::-1], np.int64)
+
+
 def _mend(v: Vocabulary, pairs: Pairs, unit: np.ndarray, number: np.ndarray, start: np.ndarray, piece: np.ndarray, flat: np.ndarray, total: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat and total with right pieces around the seams `bad` (before which piece each lies). A window of pieces about
     each is encoded anew; if the new pieces may not stand beside those around it, the window grows. Windows that
@@ -459,16 +541,30 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
+def _lists_in_slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` ids."""
+    count = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(count, (count[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """One row per row of encoded: doc_id, text. Null or empty ids give an empty text; bytes that are not UTF-8 give U+FFFD."""
+    """One row per row of encoded: doc_id, text.
+
+    Null or empty ids give an empty text; bytes that are not UTF-8 give U+FFFD. Null ids of rows and repeated rows are
+    decoded like others, lists of any length in slices of some million ids (a longer list is one of its own); no rows give no rows;
+    other columns, whatever their names, play no part.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         raw = raw_table(v)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in _lists_in_slices(batch):
                 lists = part.column(1)
                 count = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy().astype(np.int64)
                 data, offset = decode_bytes(v, raw, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), count)

@@ -462,3 +462,34 @@ def test_toxicity_learns_from_one_text_of_a_repeated_id(spark):
     assert len(got) == len(rows) and all(r.predicted == (r.doc_id % 2 if r.doc_id is not None and r.doc_id < 60 else int(r.doc_id is None)) for r in got)
     named = df.withColumn("toxic", F.lit("x")).withColumn("score", F.lit("y"))
     assert toxicity.drop_toxic(named, labels).columns == named.columns
+
+
+def test_mix_without_texts_and_with_late_counts(spark):
+    """Hashes instead of texts, and counts asked for only where a budget ends, draw the same rows; one source has most of them."""
+    random.seed(12)
+    rows = [(i, "hot" if i % 10 else random.choice(["a", None]), " ".join(["w"] * random.randrange(0, 30))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plain = mixing.mix_sources(df, entropy=0.9, repeats=2.0, blocks=4)
+    outer, inner = mixing.mix_hashes(F.col("doc_id"), F.col("text"))
+    narrow = df.select("doc_id", "source", mixing.token_length(F.col("text")).alias("k"), outer.alias("o"), inner.alias("i"))
+    asked = []
+
+    def counted(part, name):
+        asked.append(part)
+        return part.withColumn(name, mixing.token_length(F.col("text")))
+
+    by_hash = mixing.mix_sources(narrow, entropy=0.9, repeats=2.0, blocks=4, tokens="k", hashes=("o", "i"))
+    late = mixing.mix_sources(df, entropy=0.9, repeats=2.0, blocks=4, counted=counted)
+    keep = lambda d: sorted(tuple(r) for r in d.select("doc_id", "__epoch", "__at").collect())
+    assert keep(plain) == keep(by_hash) == keep(late)
+    assert late.columns == [*df.columns, "__epoch", "__at"] and len(asked) == 2 and asked[1].count() < df.count()
+
+
+def test_sieve_lets_all_wanted_rows_through_and_few_others(spark):
+    rows = spark.range(50_000).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("key"), F.lit("text").alias("text"))
+    wanted = rows.where("id % 41 = 0").select("key")
+    for key in ("key", "id"):
+        keys = wanted if key == "key" else rows.where("id % 41 = 0").select("id")
+        left = common.sifted(rows, keys, key)
+        assert left.columns == rows.columns and left.join(keys, key).count() == keys.count() == 1220 and left.count() < 1300
+    assert common.sifted(rows, wanted.where("key is null"), "key").count() == 0

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from talkmill.llm import pieces, tokens
 
@@ -164,3 +165,31 @@ def test_units_of_one_hash_are_told_apart(library, monkeypatch):
     for texts in (["one two six ten", "the cat sat on a mat"], ["red fox é ran far", "one", "sixteen"]):
         ids, n = encoder(pa.array(texts))
         assert ids.tolist() == [i for t in texts for i in library.encode(t)] and counter(pa.array(texts))[0].tolist() == n.tolist()
+
+
+def test_runs_of_a_few_characters(library):
+    """A million times one character, and runs within other text, in seconds and as the library has it."""
+    import time
+
+    v = pieces.load_vocabulary(MODEL)
+    rng = random.Random(1)
+    words = "".join(rng.choice("abcdefgh") for _ in range(900))
+    texts = [
+        "a" * 1000, "=" * 3000, "ab" * 2000, "-=-" * 900, "x" * 700 + "hello" + "=" * 900 + "end", "a" * 5000 + "b" * 5000, "abc" * 300 + "abcabd" * 300, "." * 513, "é" * 2000, "0" * 1025, "hello" * 400, " " * 800,
+        "Z" * 300 + words + "=" * 257 + "q", "12" * 1000 + "3", words + "y" * 255 + words, words + "y" * 256 + words, "\u2581" * 600, "12345678" * 200, "123456789" * 200,
+    ]
+    ids, n = tokens.Encoder(v)(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in library.encode(t)] and tokens.Counter(v)(pa.array(texts))[0].tolist() == n.tolist()
+    for text in ("a" * 1_000_000, "=" * 1_000_000):
+        began = time.process_time()
+        ids, n = tokens.Encoder(v)(pa.array([text]))
+        assert ids.tolist() == library.encode(text) and tokens.Counter(v)(pa.array([text]))[0].tolist() == n.tolist()
+        assert time.process_time() - began < 60
+
+
+def test_decode_odd_lists(spark, library):
+    rows = [(None, [5, 6]), (1, None), (1, None), (2, []), (3, library.encode("a long list ") * 30_000), (4, [None])][:5]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumn("text", F.lit(1))
+    got = sorted(((r.doc_id, r.text) for r in tokens.decode(df, MODEL).collect()), key=repr)
+    assert got == sorted(((i, library.decode(x) if x else "") for i, x in rows), key=repr)
+    assert tokens.decode(df.where("doc_id < 0"), MODEL).count() == 0
