@@ -35,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix draws them, by their numbers of tokens. Null sources are one source; texts without tokens
     come with their block; repeated rows are drawn each on their own. An empty table stays empty; further columns come along."""
-    n, *names = fresh(docs, "n", "tokens", "epoch", "at")
-    return mix_sources(cut(with_token_counts(docs, MODEL, n)), tokens=n, names=tuple(names)).drop(n, *names)
+    names = fresh(docs, "tokens", "epoch", "at")
+    counted = lambda rows, name: with_token_counts(rows, MODEL, name)
+    return mix_sources(docs, names=tuple(names), counted=counted).drop(*names)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
