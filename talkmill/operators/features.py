@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import settled
+from .probes import keyword_counts
 
 
 def keyword_features(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -53,5 +54,5 @@ def class_weights(rows: DataFrame, label: str, classes: int) -> DataFrame:
 
 
 def keyword_audit(rows: DataFrame, keywords: DataFrame, text: str, label: str) -> DataFrame:
-    """(keyword, label, rows): texts of each class that contain the keyword. keywords is a small table."""
-    return rows.join(F.broadcast(keywords), F.contains(F.col(text), F.col("keyword"))).groupBy("keyword", label).agg(F.count("*").alias("rows"))
+    """(keyword, label, rows): texts of each class that contain the keyword, in one reading of the texts however many keywords there are."""
+    return keyword_counts(rows, keywords, text, label)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+from .queues import BROADCAST_RUNS, numbered
+
 MESSAGES = "array<struct<role:string,text:string>>"
 
 
@@ -26,13 +29,46 @@ def paired_turns(messages: DataFrame, session: str, order: str) -> DataFrame:
     return after.where("role = 'student'").select(session, order, F.col("text").alias("user_message"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("assistant_message"))
 
 
+#: Rows of a session that one part holds, when sessions are spread over tasks.
+PART = 4096
+
+
+def recent_messages(messages: DataFrame, session: str, order: str, last: int, part: int = PART) -> DataFrame:
+    """messages plus history, as prior_messages() with `last`, for sessions of any length: a session is numbered without one task
+    for it, cut into parts, and each part is handed copies of the `last` messages before it. No task gets a whole session."""
+    if not 0 < last <= part:
+        raise ValueError("last must be between 1 and part")
+    placed = numbered(messages, order, within=(session,))
+    mine = F.floor((F.col("number") - 1) / part)
+    # The last rows of a part come again, as context of the next one.
+    ahead = (F.col("number") - 1) % part >= part - last
+    both = placed.withColumn("__part", F.explode(F.when(ahead, F.array(mine, mine + 1)).otherwise(F.array(mine))))
+    w = Window.partitionBy(session, "__part").orderBy("number").rowsBetween(-last, -1)
+    told = both.withColumn("history", F.collect_list(F.struct("role", "text")).over(w)).where(F.col("__part") == mine)
+    return told.select(*messages.columns, "history")
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """left plus the value of the latest right row of its key at or before its time (null values are passed over). One shuffle of the union, no range join."""
+    """left plus the value of the latest right row of its key at or before its time (null values are passed over).
+
+    Both sides are dealt by range of key and time and kept with their part, so a key with most rows is spread over many tasks.
+    Within a part the last value is carried from row to row; a part begins with the last value that the key's parts before it have.
+    """
     both = left.withColumns({"__value": F.lit(None).cast(right.schema[value].dataType), "__side": F.lit(1)}).unionByName(
         right.select(key, at, F.col(value).alias("__value"), F.lit(0).alias("__side")), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(w)).where("__side = 1").drop("__value", "__side")
+    dealt = settled(both.withColumn("__order", F.struct(key, at, "__side")).repartitionByRange("__order").sortWithinPartitions("__order").drop("__order").withColumn("__at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("__part", F.shiftright("__at", 33))
+    told = F.when(F.col("__value").isNotNull(), F.col("__at"))
+    runs = dealt.groupBy(key, "__part").agg(F.max_by("__value", told).alias("__last"))
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as keys and parts together; those of one key are no more than parts.
+    carried = settled(runs.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).where("__carried is not null").select(F.col(key).alias("__key"), F.col("__part").alias("__of"), "__carried"))
+    few = F.broadcast(carried) if carried.count() <= BROADCAST_RUNS else carried
+    w = Window.partitionBy("__part", key).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.withColumn("__seen", F.last("__value", ignorenulls=True).over(w)).where("__side = 1")
+    met = inside.join(few, (inside["__part"] == few["__of"]) & inside[key].eqNullSafe(few["__key"]), "left")
+    return met.select(*left.columns, F.coalesce("__seen", "__carried").alias(value))
 
 
 def latest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:

@@ -208,11 +208,8 @@ G8 = "CASE WHEN length(c) = 0 THEN [] WHEN length(c) < 8 THEN [c] ELSE list_dist
 o AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(g) AS g FROM d) JOIN r USING (g) GROUP BY doc_id, item_id), t AS (SELECT doc_id, item_id, n FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id) = 1)
 SELECT doc_id AS id, item_id AS best, round(coalesce(n / len(g), 0), 4) AS overlap FROM d LEFT JOIN t USING (doc_id)""")
 def _(v):
-    def grams(t, key):
-        compact = text.compact_for_char(F.coalesce("text", F.lit("")))
-        return v.table(t).select(F.col(key).alias("id"), F.transform(text.char_ngrams(compact, 8), lambda g: F.xxhash64(g)).alias("grams"))
-
-    return retrieval.copy_overlap(grams("documents", "doc_id"), grams("benchmark", "item_id"))
+    compact = lambda t, key: v.table(t).select(F.col(key).alias("id"), text.compact_for_char(F.coalesce("text", F.lit(""))).alias("text"))
+    return retrieval.copied_shares(compact("documents", "doc_id"), compact("benchmark", "item_id"))
 
 
 @query("j19_expected_observed", """WITH {views} SELECT a.turn_id, (a.er = b.er) AS winner_ok, a.boundary = b.boundary AS strict_ok, NOT a.boundary OR b.boundary AS lenient_ok, a.ex = b.ex AS order_ok FROM candidates a JOIN candidates b ON a.turn_id = b.turn_id AND a.cand_no = 1 AND b.cand_no = 2""")

@@ -13,7 +13,7 @@ from .registry import query
   coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS last_role FROM messages""")
 def _(v):
     full = sessions.prior_messages(v.messages, "conv_id", "turn").withColumnRenamed("history", "everything")
-    both = sessions.prior_messages(full, "conv_id", "turn", 4)
+    both = full.join(sessions.recent_messages(v.messages, "conv_id", "turn", 4).select("conv_id", "turn", "history"), ["conv_id", "turn"])
     chars = F.aggregate("everything", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"]))
     return both.select("conv_id", "turn", chars.alias("chars_before"), F.size("history").cast("long").alias("recent"), F.coalesce(F.try_element_at("history", F.lit(-1))["role"], F.lit("")).alias("last_role"))
 
