@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +89,34 @@ def classify_batches(rows: DataFrame, text: str, classifier: Callable[[list[str]
     return score_batches(rows, text, wrapped, kind, into=("probabilities", "problem"))
 
 
+def pooled(vectors: Column, mask: Column) -> Column:
+    """The mean of the vectors (an array of arrays of one length) whose mask is not 0; zeros if the mask has none, null without vectors."""
+    size = F.size(F.get(vectors, F.lit(0)))
+    zero = F.array_repeat(F.lit(0.0), size)
+    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: F.coalesce(x["m"], F.lit(0)) != 0)
+    total = F.aggregate(kept, zero, lambda t, x: F.zip_with(t, x["v"], lambda a, b: a + b))
+    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1))))
+
+
+def embed_batches(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], tuple]], batch: int = 256) -> DataFrame:
+    """(key, embedding) of each row's text, by a token model of the user's: load() gives it, once for each worker's run over a partition;
+    the model takes texts and gives token vectors (texts, tokens, dimensions) and a mask (texts, tokens). Tokens
+    are pooled by their masked mean, batch by batch; a mask of zeros gives zeros, null texts count as empty."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                vectors, mask = (np.asarray(x, np.float64) for x in model([t or "" for t in part.column(1).to_pylist()]))
+                weight = mask[:, :, None]
+                mean = (vectors * weight).sum(1) / np.maximum(weight.sum(1), 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(mean), pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
+
+
 def embedder(name: str, scorer: Callable[[list[str]], list[tuple]] | None = None):
     """A function (rows, id, text) -> (id, embedding) by name: hashing, or model with a scorer that gives lists of numbers."""
     from ..functions.text import latin_words

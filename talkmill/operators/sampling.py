@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
 from .metrics import order_statistics
-from .queues import numbered
+from .queues import BROADCAST_RUNS, numbered
 
 
 def draw(seed: str, *keys: str) -> Column:
@@ -32,7 +33,12 @@ def water_fill(strata: DataFrame, parent: list[str], child: str, seed: str) -> D
 
 
 def stratified_sample(rows: DataFrame, key: str, levels: list[str], size: int, seed: str) -> DataFrame:
-    """`size` rows spread evenly over nested levels as far as there are rows, numbered in md5 order. Keys are unique. Quotas come from the small table of counts; no stratum is sorted in one task."""
+    """`size` rows spread evenly over nested levels as far as there are rows, numbered in md5 order. Keys are unique.
+
+    Quotas come from the small table of counts. As draws are even, the first of a stratum lie below a limit that counts and quota
+    give, six deviations and some beyond what is needed; so few rows are numbered, without one task for a stratum.
+    Should a stratum have too few below its limit, all rows are numbered instead, with the same result.
+    """
     available = rows.count()
     if size < 1 or size > available:
         raise ValueError(f"size {size} must be from 1 to {available}")
@@ -42,9 +48,16 @@ def stratified_sample(rows: DataFrame, key: str, levels: list[str], size: int, s
         counts = rows.groupBy(*parent, level).agg(F.count("*").alias("available"))
         counts = counts.withColumn("quota", F.lit(size).cast("long")) if quota is None else counts.join(quota, parent)
         quota = water_fill(counts, parent, level, seed)
-    # Keys are numbered in their strata; the rows of those within the quota, `size` at most, are then fetched.
-    narrow = rows.select(key, *levels).withColumn("__draw", draw(seed, key))
-    chosen = numbered(narrow, "__draw", key, within=tuple(levels)).join(quota, levels).where("number <= quota").select(key)
+    limits = settled(counts.select(*levels, "available").join(quota, levels))
+    share = F.least(F.lit(1.0), (F.col("quota") + 6 * F.sqrt("quota") + 20) / F.col("available"))
+    narrow = rows.select(key, *levels).withColumn("__draw", draw(seed, key)).join(F.broadcast(limits) if limits.count() <= BROADCAST_RUNS else limits, levels)
+    below = F.conv(F.left("__draw", F.lit(8)), 16, 10).cast("double") <= share * 2.0**32
+    first = lambda some: settled(numbered(some, "__draw", key, within=tuple(levels)).where("number <= quota").select(key, *levels))
+    chosen = first(narrow.where(below))
+    held = chosen.groupBy(*levels).agg(F.count("*").alias("held"))
+    if not limits.join(held, levels, "left").where(F.coalesce("held", F.lit(0)) < F.least("quota", "available")).isEmpty():
+        chosen = first(narrow)
+    chosen = chosen.select(key)
     picked = rows.join(chosen, key)
     return picked.withColumn("sample_no", F.row_number().over(Window.orderBy(draw(f"{seed}|order", key), key)))
 

@@ -262,3 +262,32 @@ def _(v):
     scored = score_batches(v.table("documents").select("doc_id", "text"), "text", lengths, "long", retries=1)
     both = classify_batches(scored, "text", shares)
     return both.select("doc_id", "score", "error", F.round("probabilities.green", 9).alias("green"), F.round("probabilities.red", 9).alias("red"))
+
+
+@query("m03_pooled_embeddings", """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS w FROM documents), x AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS a, sum(length(w) - length(replace(w, 'e', ''))) AS b, sum(CASE WHEN starts_with(w, 't') THEN 1 ELSE 0 END) AS c FROM t WHERE length(w) > 3 GROUP BY doc_id)
+SELECT doc_id, round(coalesce(a / n, 0)::DOUBLE, 9) AS size, round(coalesce(b / n, 0)::DOUBLE, 9) AS es, round(coalesce(c / n, 0)::DOUBLE, 9) AS ts FROM documents LEFT JOIN x USING (doc_id)""")
+def _(v):
+    """A token model (a word's length, its e's, whether it begins with t; words of up to three letters masked) pooled in two ways: by batches in Python and as an expression; both must agree."""
+    from ..functions.text import latin_words
+    from ..operators.models import embed_batches, pooled
+
+    words = v.table("documents").select("doc_id", F.array_join(latin_words(F.lower("text")), " ").alias("text"))
+    made = embed_batches(words, "doc_id", "text", lambda: word_model)
+    told = F.split("text", " ")
+    vectors = F.transform(told, lambda w: F.array(F.length(w).cast("double"), (F.length(w) - F.length(F.replace(w, F.lit("e"), F.lit("")))).cast("double"), w.startswith("t").cast("double")))
+    mean = words.select("doc_id", pooled(vectors, F.transform(told, lambda w: (F.length(w) > 3).cast("int"))).alias("mean"))
+    both = made.join(mean, "doc_id").where(F.forall(F.zip_with("embedding", "mean", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x))
+    return both.select("doc_id", *(F.round(F.get("embedding", F.lit(i)), 9).alias(n) for i, n in enumerate(("size", "es", "ts"))))
+
+
+def word_model(texts):
+    """Vectors and masks of words, filled up to the longest text."""
+    import numpy as np
+
+    words = [t.split(" ") for t in texts]
+    most = max(map(len, words))
+    vectors, mask = np.zeros((len(texts), most, 3)), np.zeros((len(texts), most))
+    for i, ws in enumerate(words):
+        vectors[i, : len(ws)] = [(len(w), w.count("e"), w.startswith("t")) for w in ws]
+        mask[i, : len(ws)] = [len(w) > 3 for w in ws]
+    return vectors, mask

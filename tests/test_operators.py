@@ -533,3 +533,45 @@ def test_hashes_of_bundles_and_json(spark):
     assert got == hashlib.sha256(json.dumps({"s": "a\"b\n", "n": 3, "z": None, "b": True}, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
     rows = spark.createDataFrame([("k", "b", "two"), ("k", "a", "one")], "k string, l string, t string")
     assert text.bundle_hash(rows, ["k"], "l", "t", "head").first().bundle == hashlib.sha256(b"head\na\none\nb\ntwo").hexdigest()
+
+
+def test_pooled_by_mask(spark):
+    """Masked means by hand, with a mask of zeros, null and empty vectors; and by batches of a model that is loaded once for a partition."""
+    rows = [(1, [[1.0, 2.0], [3.0, 6.0], [100.0, 100.0]], [1, 1, 0]), (2, [[1.0, 2.0]], [0]), (3, [[5.0, 5.0], [7.0, 9.0]], [None, 1]), (4, [], []), (5, None, None)]
+    df = spark.createDataFrame(rows, "id long, v array<array<double>>, m array<int>")
+    assert {r.id: r.p for r in df.select("id", models.pooled(F.col("v"), F.col("m")).alias("p")).collect()} == {1: [2.0, 4.0], 2: [0.0, 0.0], 3: [7.0, 9.0], 4: None, 5: None}
+
+    def load():
+        calls = []
+
+        def model(texts):
+            calls.append(len(texts))
+            assert max(calls) <= 4
+            size = max(1, *(len(t) for t in texts)) if len(texts) > 1 else max(1, len(texts[0]))
+            vectors, mask = np.zeros((len(texts), size, 2)), np.zeros((len(texts), size))
+            for i, t in enumerate(texts):
+                for k, c in enumerate(t):
+                    vectors[i, k], mask[i, k] = (ord(c), len(calls)), c != " "
+            return vectors, mask
+
+        return model
+
+    texts = [(i, "ab c"[: i % 5] or None) for i in range(10)]
+    got = {r.id: r.embedding for r in models.embed_batches(spark.createDataFrame(texts, "id long, t string").coalesce(1), "id", "t", load, batch=4).collect()}
+    for i, t in texts:
+        codes = [ord(c) for c in (t or "") if c != " "]
+        assert got[i] == ([sum(codes) / len(codes), i // 4 + 1] if codes else [0.0, 0.0])
+
+
+def test_sample_falls_back_when_draws_run_short(spark, monkeypatch):
+    """With draws that all lie high, the limit lets too few through; the sample is the same as without a limit."""
+    df = spark.createDataFrame([(i, f"s{i % 3}") for i in range(600)], "id long, level string")
+    real = sampling.draw
+    high = lambda seed, *keys: F.concat(F.lit("ffffffff"), real(seed, *keys))
+    monkeypatch.setattr(sampling, "draw", high)
+    got = {r.id for r in sampling.stratified_sample(df, "id", ["level"], 30, "x").collect()}
+    want = set()
+    for s in range(3):
+        ids = sorted((hashlib.md5(f"x|{i}".encode()).hexdigest(), i) for i in range(600) if i % 3 == s)
+        want |= {i for _, i in ids[:10]}
+    assert got == want
