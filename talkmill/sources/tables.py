@@ -68,6 +68,13 @@ def read_database(spark: SparkSession, url: str, table: str, key: str | None = N
     return reader.load()
 
 
+def write_database(rows: DataFrame, url: str, table: str, key: str, parts: int = 8, batch: int = 5000, mode: str = "append", types: str | None = None, **options: str) -> None:
+    """rows into a relational table, over `parts` connections at once: rows are dealt by the key's hash, and each part is one
+    transaction of batched inserts. types: column types to create the table with where Spark's own don't suit."""
+    writer = rows.repartition(parts, key).write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), numPartitions=str(parts), **options)
+    (writer.option("createTableColumnTypes", types) if types else writer).mode(mode).save()
+
+
 def manifest(rows: DataFrame, provenance: list[str]) -> DataFrame:
     """One row: number of rows, and sorted distinct values of each provenance column (few, by their nature)."""
     return rows.agg(F.count("*").alias("rows"), *(F.array_sort(F.collect_set(F.nullif(F.col(c).cast("string"), F.lit("")))).alias(c) for c in provenance))
