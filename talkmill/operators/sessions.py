@@ -9,6 +9,8 @@ from .lineage import settled
 from .queues import BROADCAST_RUNS, numbered
 
 MESSAGES = "array<struct<role:string,text:string>>"
+#: Rows of a session that one part holds, when sessions are spread over tasks.
+PART = 4096
 
 
 def read_history(raw: Column, roles: tuple[str, ...]) -> Column:
@@ -22,6 +24,27 @@ def prior_messages(messages: DataFrame, session: str, order: str, last: int | No
     return messages.withColumn("history", F.collect_list(F.struct("role", "text")).over(rows))
 
 
+def shared_histories(messages: DataFrame, session: str, order: str, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """(parts, turns): every message's full history without a copy of it. parts (session, part, said) holds a session's messages,
+    `part` at a time, in order; turns is messages without role and text, plus before: how many messages its history has.
+    Both are linear in the messages, whatever a session's length; histories_of() puts a history together where it is written."""
+    placed = settled(numbered(messages, order, within=(session,)))
+    at = F.floor((F.col("number") - 1) / part)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("number", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
+    parts = placed.groupBy(session, at.alias("part")).agg(said.alias("said"))
+    return parts, placed.select(*(c for c in messages.columns if c not in ("role", "text")), (F.col("number") - 1).alias("before"))
+
+
+def histories_of(turns: DataFrame, parts: DataFrame, session: str, part: int = PART) -> DataFrame:
+    """turns of shared_histories() plus history, the array that prior_messages() gives; turns may be any of them."""
+    rows = turns.withColumn("__id", F.monotonically_increasing_id())
+    rows = settled(rows)
+    needed = rows.select("__id", F.col(session), "before", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("before") - 1) / part))).alias("part")).where("before > 0")
+    met = needed.join(parts, [session, "part"])
+    told = met.groupBy("__id").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "said"))), lambda p: p["said"])), F.lit(1), F.first("before").cast("int")).alias("history"))
+    return rows.join(told, "__id", "left").select(*turns.columns, F.coalesce("history", F.array().cast(MESSAGES)).alias("history"))
+
+
 def paired_turns(messages: DataFrame, session: str, order: str) -> DataFrame:
     """One row per student message with the assistant's answer right after it (null: none)."""
     w = Window.partitionBy(session).orderBy(order)
@@ -29,10 +52,6 @@ def paired_turns(messages: DataFrame, session: str, order: str) -> DataFrame:
     return after.where("role = 'student'").select(session, order, F.col("text").alias("user_message"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("assistant_message"))
 
 
-#: Rows of a session that one part holds, when sessions are spread over tasks.
-PART = 4096
-
-
 def recent_messages(messages: DataFrame, session: str, order: str, last: int, part: int = PART) -> DataFrame:
     """messages plus history, as prior_messages() with `last`, for sessions of any length: a session is numbered without one task
     for it, cut into parts, and each part is handed copies of the `last` messages before it. No task gets a whole session."""

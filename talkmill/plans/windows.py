@@ -291,3 +291,11 @@ def word_model(texts):
         vectors[i, : len(ws)] = [(len(w), w.count("e"), w.startswith("t")) for w in ws]
         mask[i, : len(ws)] = [len(w) > 3 for w in ws]
     return vectors, mask
+
+
+@query("w01_shared_histories", """WITH {views} SELECT conv_id, turn, count(*) OVER w AS messages, coalesce(sum(length(text)) OVER w, 0)::BIGINT AS chars FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _(v):
+    """Full histories stored once per session, in parts of four messages, and put together for each turn."""
+    parts, turns = sessions.shared_histories(v.messages, "conv_id", "turn", part=4)
+    told = sessions.histories_of(turns, parts, "conv_id", part=4)
+    return told.select("conv_id", "turn", F.size("history").cast("long").alias("messages"), F.aggregate("history", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"])).alias("chars"))

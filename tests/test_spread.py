@@ -98,3 +98,16 @@ def test_as_of_spreads_a_hot_session(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(spread) > 1 and max(x["count"] for x in spread) < 2700
+
+
+def test_shared_histories_read_back(spark):
+    """As many stored messages as there are, in parts; put together they are the copied histories."""
+    rows = [x for x in hot_sessions() if x[1] < 700]
+    df = spark.createDataFrame(rows, "s string, n long, role string, text string").repartition(5)
+    parts, turns = sessions.shared_histories(df, "s", "n", part=64)
+    assert turns.columns == ["s", "n", "before"] and parts.agg(F.sum(F.size("said")), F.max(F.size("said"))).first()[:] == (len(rows), 64)
+    got = sessions.histories_of(turns, parts, "s", part=64)
+    plain = lambda d: sorted((r.s, r.n, tuple(map(tuple, r.history))) for r in d.collect())
+    assert plain(got) == plain(sessions.prior_messages(df, "s", "n"))
+    some = sessions.histories_of(turns.where("n % 50 = 0"), parts, "s", part=64)
+    assert some.count() == turns.where("n % 50 = 0").count()
