@@ -20,9 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     return settled(df)
 
 
-#: Groups up to which a table of them is broadcast (some 20 to 40 MB); beyond, only those of more than HOT rows are (there are
+#: Groups, and bytes of their columns, up to which a table of them is broadcast; beyond, only those of more than HOT rows are (there are
 #: no more of these than rows / HOT) and the rest are joined by shuffle.
-BROADCAST_GROUPS, HOT = 200_000, 1_000_000
+BROADCAST_GROUPS, BROADCAST_BYTES, HOT = 200_000, 32 << 20, 1_000_000
 
 
 def fresh(docs: DataFrame, *names: str) -> list[str]:
@@ -36,10 +36,17 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def fits(groups: DataFrame) -> bool:
+    """Whether a table, computed before, is small enough to be broadcast: by its rows and by their bytes."""
+    said = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in groups.dtypes if kind in ("string", "binary")]
+    n, size = groups.agg(F.count("*"), F.sum(sum(said, F.lit(0)).cast("long"))).first()
+    return n <= BROADCAST_GROUPS and (size or 0) + 8 * n * len(groups.columns) <= BROADCAST_BYTES
+
+
 def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
     """rows left-joined with groups (key, n: how many rows of it there are, ..), which were computed before; null: no
     group. No key gathers its rows in one task: small tables go to the rows, of large ones the hot groups do."""
-    if groups.count() <= BROADCAST_GROUPS:
+    if fits(groups):
         return rows.join(F.broadcast(groups), key, "left")
     key = [key] if isinstance(key, str) else key
     more = [c for c in groups.columns if c not in key]

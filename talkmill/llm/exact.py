@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .common import ascii_lower, cut, fresh, sifted, with_groups
+from .common import ascii_lower, cut, fits, fresh, sifted, with_groups
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -22,7 +21,7 @@ def _groups(rows: DataFrame, narrow: DataFrame, keep: str) -> tuple[DataFrame, D
     best = F.max("id") if keep == "max" else F.min("id")
     groups = cut(narrow.groupBy("md5").agg(F.count("*").alias("n"), best.alias("keep_id")).where("n > 1"))
     # A large table of groups is joined by shuffle; then a bitmap of it keeps most other texts out.
-    some = rows if groups.count() <= common.BROADCAST_GROUPS else sifted(rows, groups, "md5")
+    some = rows if fits(groups) else sifted(rows, groups, "md5")
     members = with_groups(some, groups, "md5").where("n > 1").select("id", "md5", "norm")
     texts = members.groupBy("md5", "norm").agg(F.count("*").alias("n"), best.alias("keep_id"))
     twofold = cut(texts.groupBy("md5").agg(F.count("*").alias("texts")).where("texts > 1").select("md5"))

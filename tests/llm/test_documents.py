@@ -493,3 +493,14 @@ def test_sieve_lets_all_wanted_rows_through_and_few_others(spark):
         left = common.sifted(rows, keys, key)
         assert left.columns == rows.columns and left.join(keys, key).count() == keys.count() == 1220 and left.count() < 1300
     assert common.sifted(rows, wanted.where("key is null"), "key").count() == 0
+
+
+def test_tables_are_broadcast_by_rows_and_bytes(spark, monkeypatch):
+    """A table of few rows with long keys goes by shuffle, with the same result."""
+    groups = spark.range(50).select(F.concat(F.repeat(F.lit("x"), 2000), F.col("id").cast("string")).alias("key"), F.lit(2).cast("long").alias("n")).cache()
+    rows = spark.range(200).select("id", F.concat(F.repeat(F.lit("x"), 2000), (F.col("id") % 60).cast("string")).alias("key"))
+    want = sorted(((r.id, r.n) for r in common.with_groups(rows, groups, "key").collect()), key=repr)
+    assert common.fits(groups)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 50_000)
+    assert not common.fits(groups) and sorted(((r.id, r.n) for r in common.with_groups(rows, groups, "key").collect()), key=repr) == want
+    assert common.fits(groups.where("n < 0"))
