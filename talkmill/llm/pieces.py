@@ -162,7 +162,7 @@ def compatible(v: Vocabulary, one: np.ndarray, other: np.ndarray) -> np.ndarray:
 class Pairs:
     """compatible() with a memory of a bounded number of pairs."""
 
-    def __init__(self, v: Vocabulary, most: int = 4_000_000):
+    def __init__(self, v: Vocabulary, most: int = 2_000_000):
         self.v, self.most = v, most
         self.keys, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
 

@@ -17,7 +17,7 @@ from .pieces import BITS, NO_CHAR, SPACE, Pairs, Vocabulary, load_vocabulary, me
 #: Characters in one packed key, and keys that cover the longest piece.
 IN_KEY = 4
 #: Bytes of text that a task works on at a time; its arrays take some hundred times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -578,9 +578,10 @@ def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "i
 
 
 class Counter:
-    """Numbers of tokens of units, by a trie whose nodes hold forward states."""
+    """Numbers of tokens of units, by a trie whose nodes hold forward states. Without `unigram` only those of BPE are right."""
 
-    def __init__(self, v: Vocabulary, most: int = 1_000_000):
+    def __init__(self, v: Vocabulary, most: int = 800_000, unigram: bool = True):
+        self.unigram_too = unigram
         self.v, self.pairs, self.most = v, Pairs(v), most
         keys, target, self.piece = [], [], [-1]
         table: dict[tuple[int, int], int] = {}
@@ -633,7 +634,8 @@ class Counter:
             start, piece = self.edges(number)
             sound = self.v.sound[piece]
             bpe[long] = encode_units(self.v, self.pairs, begin, size[long], number, start[sound], piece[sound])[1]
-            unigram[long] = best_paths(self.v, begin, size[long], number, start, piece)
+            if self.unigram_too:
+                unigram[long] = best_paths(self.v, begin, size[long], number, start, piece)
         code = u.code[unit[~known]]
         bpe[~known] = unigram[~known] = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
         return bpe, unigram
@@ -682,13 +684,15 @@ class Counter:
             good = whole.copy()
             good[rest] = self.pairs(last[b[rest]], p[rest])
             new_last[w[good]], new_count[w[good]] = p[good], count[b[good]] + 1
-            total = score[b] + v.score[p]
-            order = np.lexsort((best[b], -total, w))
-            w, b, total = w[order], b[order], total[order]
-            lead = np.concatenate(([True], w[1:] != w[:-1])) if len(w) else np.zeros(0, bool)
-            new_score, new_best = np.full(len(key), -np.inf), np.zeros(len(key), np.int64)
-            new_score[w[lead]], new_best[w[lead]] = total[lead], best[b[lead]] + 1
-            last[first:nodes], count[first:nodes], score[first:nodes], best[first:nodes] = new_last, new_count, new_score, new_best
+            last[first:nodes], count[first:nodes] = new_last, new_count
+            if self.unigram_too:
+                total = score[b] + v.score[p]
+                order = np.lexsort((best[b], -total, w))
+                w, b, total = w[order], b[order], total[order]
+                lead = np.concatenate(([True], w[1:] != w[:-1])) if len(w) else np.zeros(0, bool)
+                new_score, new_best = np.full(len(key), -np.inf), np.zeros(len(key), np.int64)
+                new_score[w[lead]], new_best[w[lead]] = total[lead], best[b[lead]] + 1
+                score[first:nodes], best[first:nodes] = new_score, new_best
             node[live] = back + first
             depth += 1
             ended = size[live] == depth
@@ -727,7 +731,7 @@ def with_token_counts(docs: DataFrame, model: str, name: str, text: str = "text"
 
     @F.arrow_udf("long")
     def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(shared.value)
+        counter = Counter(shared.value, unigram=False)
         for column in columns:
             parts = [pa.array(counter(pa.compute.fill_null(p.column(0), ""))[0], pa.int64()) for p in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0, SLICE)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())

@@ -327,6 +327,8 @@ def test_queries_return_their_columns(spark):
         "op1_sentencepiece": "doc_id ids n_tokens", "op2_toxicity": "doc_id held_out score predicted", "op3_minhash_near_dedup": "doc_id n_shingles component_id kept", "op4_url_filters": "page_id host path rule verdict",
         "op5_embedding_near_dedup": "vec_id n_links component_id kept", "op6_license_scans": "doc_id n_words n_base first_word last_word base_labels labels score", "op7_token_counts": "doc_id n_tokens", "op8_source_mixing": "doc_id source n_tokens epoch",
         "op9_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op10_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+        "op11_suffix_array_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op12_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+        "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
     }
     assert set(queries.QUERIES) == set(want)
     for name in set(want) - set(oracles.ORACLES):

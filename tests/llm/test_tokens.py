@@ -187,6 +187,13 @@ def test_runs_of_a_few_characters(library):
         assert time.process_time() - began < 60
 
 
+def test_counter_without_unigrams_counts_the_same(library):
+    v = pieces.load_vocabulary(MODEL)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("etaoin shrdlu,.\n1") for _ in range(rng.randrange(0, 900))) for _ in range(40)] + ["z" * 700, "", "é▁x"]
+    assert tokens.Counter(v, unigram=False)(pa.array(texts))[0].tolist() == tokens.Counter(v)(pa.array(texts))[0].tolist() == [len(library.encode(t)) if t else 0 for t in texts]
+
+
 def test_decode_odd_lists(spark, library):
     rows = [(None, [5, 6]), (1, None), (1, None), (2, []), (3, library.encode("a long list ") * 30_000), (4, [None])][:5]
     df = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumn("text", F.lit(1))
