@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from talkmill.llm.common import cut, fresh
@@ -13,6 +15,25 @@ from talkmill.llm.tokens import encode, with_token_counts
 from talkmill.llm.toxicity import drop_toxic
 
 
+#: Rows that Spark hands to Python at a time, on its way into a stage and out of it. Rows are texts of some KB here, and a task holds such a
+#: batch several times over, inside and outside the JVM.
+ROWS_A_BATCH = 1000
+
+
+def in_small_batches(stage):
+    """The stage with ROWS_A_BATCH set for the session, unless fewer are set already."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
+            spark.conf.set(name, str(ROWS_A_BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the model fitted on all labels doesn't predict toxic. Null, empty and blank texts stay; repeated rows
     share their fate; without labels of both kinds, or on an empty table, nothing goes. Very long texts are read whole;
@@ -26,12 +47,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact(docs, keep="max")
 
 
+@in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 80 %), the document with the smallest id. Null, empty and blank texts and
     null ids stay, as do repeated rows of a document that stays. An empty table stays empty; further columns come along."""
     return drop_near(docs)
 
 
+@in_small_batches
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix draws them, by their numbers of tokens. Null sources are one source; texts without tokens
     come with their block; repeated rows are drawn each on their own. An empty table stays empty; further columns come along."""
@@ -40,6 +63,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs, names=tuple(names), counted=counted).drop(*names)
 
 
+@in_small_batches
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and round_trip of each row. Null and empty texts have no ids; repeated rows are encoded alike."""
     return encode(docs, MODEL)
