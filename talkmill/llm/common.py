@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -205,6 +207,30 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa
         at = to
 
 
+#: The C library's own way to do so, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hand memory that is free again back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which goes through a task's batches, handing memory back before and after. A Python worker serves tasks of all stages in turn; what
+    stays of one lies between what goes, so it would else keep the most that each of them took, and the next adds to that."""
+
+    @wraps(run)
+    def tidied(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 # --- connected components ----------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_GROUPS, SPACED, components, cut, fresh, mix, shingles, sifted, slices, split_words, tiled, tree, with_groups
+from .common import BROADCAST_GROUPS, SPACED, components, cut, fresh, mix, shingles, sifted, slices, split_words, tidy, tiled, tree, with_groups
 
 BITS = 512
 
@@ -70,6 +70,7 @@ def _sketches(signatures: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarra
 def sketch(docs: DataFrame, doc_id: str, text: str, plan: Plan) -> DataFrame:
     """(id, n_shingles, set_key, bands, odd); the last three null for documents without words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 1 << 19):
@@ -149,6 +150,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
     """(id, shingles) of wanted (id, set_key): texts are fetched by the narrow wanted, which goes to them if it is small; else a
     bitmap of it does, and only texts that this lets through are shuffled."""
 
+    @tidy
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -231,6 +233,7 @@ def near_links(docs: DataFrame, reps: DataFrame, plan: Plan, tile: int) -> tuple
     firsts = cut(near.groupBy("v").agg(F.count("*").alias("m")).join(light.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("odd").alias("ov")), "v"))
     met = with_groups(mine, firsts, "v", "m").where(f"100 * least(nu, nv) >= {plan.percent} * greatest(nu, nv)")
 
+    @tidy
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

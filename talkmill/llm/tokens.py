@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import mix, slices, tidy
 from .pieces import BITS, NO_CHAR, SPACE, Pairs, Vocabulary, load_vocabulary, merge_plainly
 
 #: Characters in one packed key, and keys that cover the longest piece.
@@ -518,6 +518,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         encoder, raw = Encoder(v), raw_table(v)
@@ -725,16 +726,26 @@ class Counter:
         return tuple(np.bincount(u.doc, x, len(texts)).astype(np.int64) for x in (n, unigram))
 
 
+def counted(v: Vocabulary) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """What gives the numbers of BPE tokens of each text of a task's columns."""
+
+    @tidy
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = Counter(v, unigram=False)
+        for column in columns:
+            parts = [pa.array(counter(pa.compute.fill_null(p.column(0), ""))[0], pa.int64()) for p in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0, SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
+
+    return run
+
+
 def with_token_counts(docs: DataFrame, model: str, name: str, text: str = "text") -> DataFrame:
     """docs plus `name`, count_tokens' n_tokens of each row's own text; for rows whose ids may repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     @F.arrow_udf("long")
     def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(shared.value, unigram=False)
-        for column in columns:
-            parts = [pa.array(counter(pa.compute.fill_null(p.column(0), ""))[0], pa.int64()) for p in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0, SLICE)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
+        yield from counted(shared.value)(columns)
 
     return docs.withColumn(name, count(F.col(text)))
 
@@ -749,6 +760,7 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
         for batch in batches:

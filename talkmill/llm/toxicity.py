@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, cut, hash_words, slices, split_words
+from .common import ALNUM, Words, cut, hash_words, slices, split_words, tidy
 
 #: A word is known by its first bytes too, so that inflected forms share what is known of their stem; 0: the whole word.
 STEMS = (4, 6, 0)
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str, text: st
     found = texts.join(F.broadcast(drawn), F.col("id") == F.col("labelled"))
     known = cut(found.groupBy("labelled", "toxic", "held").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("x")).select(F.col("x.t").alias("text"), "toxic", "held"))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
@@ -155,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str, text: st
     order = np.argsort(features)
     model = Model(features[order], odds[odds > 0][order], 1.0, 1.0, 1.0, 0.0)
 
+    @tidy
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
@@ -205,6 +207,7 @@ def score_toxicity(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -231,6 +234,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

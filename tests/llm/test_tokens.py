@@ -2,6 +2,8 @@
 
 import functools
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -200,3 +202,29 @@ def test_decode_odd_lists(spark, library):
     got = sorted(((r.doc_id, r.text) for r in tokens.decode(df, MODEL).collect()), key=repr)
     assert got == sorted(((i, library.decode(x) if x else "") for i, x in rows), key=repr)
     assert tokens.decode(df.where("doc_id < 0"), MODEL).count() == 0
+
+
+def test_counting_keeps_no_memory_after_a_task():
+    """A worker goes on to other stages' tasks: what a task has needed at its peak must not stay. In a process of its own, as a worker is one."""
+    code = f"""
+import random
+import re
+import pyarrow as pa
+from talkmill.llm import pieces, tokens
+
+def own():
+    return sum(map(int, re.findall(r"Pss_Anon: +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+v = pieces.load_vocabulary({MODEL!r})
+random.seed(1)
+texts = [" ".join("".join(random.choices("etaoinshrdlu", k=random.randrange(3, 9))) for _ in range(150)) for _ in range(3000)]
+count = tokens.counted(v)
+list(count(iter([pa.array(["a b"])])))
+before = own()
+n = sum(len(x) for x in count(pa.array(texts[i : i + 500]) for i in range(0, len(texts), 500)))
+print(n, own() - before)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    n, more = said.split()
+    assert int(n) == 3000
+    assert float(more) < 40
