@@ -111,3 +111,35 @@ def test_shared_histories_read_back(spark):
     assert plain(got) == plain(sessions.prior_messages(df, "s", "n"))
     some = sessions.histories_of(turns.where("n % 50 = 0"), parts, "s", part=64)
     assert some.count() == turns.where("n % 50 = 0").count()
+
+
+@pytest.mark.parametrize("block,asking", [(16_384, 50_000), (7, 11)])
+def test_tiers_by_blocks_equal_all_pairs(spark, block, asking):
+    """Any size of blocks gives what all pairs give: levels, ties, examples of no scenario or tier; and no pair is joined by its tokens."""
+    r = random.Random(3)
+    words = lambda: r.sample([f"w{i}" for i in range(14)], r.randint(0, 9))
+    q = [(i, r.choice(["a", "b", "c", "none", None]), words()) for i in range(60)]
+    e = [(i, r.choice(["a", "a", "b", "c" if i < 20 else "a", None if i % 5 == 0 else "b"]), r.choice(["exemplar" if i % 2 else "reference", "reference", None]), r.sample(["u", "x", "u"], 2), words()) for i in range(90)]
+    held = lambda s, t: sum(x[1] == s and t in (x[2], "") for x in e)
+    want = set()
+    for i, asked, tq in q:
+        last = 3 if held(asked, "") < 3 else 2 if held(asked, "exemplar") < 3 else 1
+        found = []
+        for j, s, tier, strategies, te in e:
+            level = 3 if s is not None and s != asked else 1 if tier == "exemplar" else 2
+            cosine = round(len({*tq} & {*te}) / (len(tq) * len(te)) ** 0.5, 9) if tq and te else 0.0
+            if asked is not None and level <= last and cosine >= 0.4:
+                found.append((level, -round(cosine + 0.08 * (tier == "exemplar") + 0.02 * strategies.count("u"), 9), j))
+        want |= {(i, j, level, -s, k + 1) for k, (level, s, j) in enumerate(sorted(found)[:3])}
+    queries = spark.createDataFrame(q, "id long, scenario string, tokens array<string>")
+    examples = spark.createDataFrame(e, "id long, scenario string, tier string, strategies array<string>, tokens array<string>")
+    made = retrieval.tiered(queries, examples, 3, 0.4, ("u",), block=block, asking=asking)
+    assert {(x.query_id, x.example_id, x.level, x.score, x["rank"]) for x in made.collect()} == want and {w[2] for w in want} == {1, 2, 3}
+    assert "explode(t" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_of_scores_is_that_of_spark(spark):
+    r = random.Random(1)
+    values = [0.0, 0.5, 1.0, 0.1234567885, 0.0000000005, 0.2999999995, *(r.random() for _ in range(200)), *(round(r.random(), 9) + 5e-10 for _ in range(200))]
+    got = [x.v for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 9).alias("v")).collect()]
+    assert retrieval.rounded_up(np.array(values), 9).tolist() == got
