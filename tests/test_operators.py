@@ -155,6 +155,21 @@ def test_similar_pairs_are_complete(spark):
     assert {(r.a, r.b) for r in got} == want and want
 
 
+@pytest.mark.parametrize("tile,common", [(11, 8), (300, 1024)])
+def test_similar_pairs_by_tiles(spark, tile, common):
+    """Tiles of any size, few grams in the bitmap or all: each pair once, with what its sets share, also of texts shorter than a gram and of wide characters."""
+    r = random.Random(6)
+    texts = [(i, "".join(r.choice(["ti", "on", "ha", "é", "漢", "😀"][: r.choice([3, 6])]) for _ in range(r.choice([0, 1, 2, 3, 12, 14, 40])))) for i in range(150)]
+    sets = {}
+    for i, t in texts:
+        sets.setdefault(t, (i, {t[k : k + 3] for k in range(len(t) - 2)} or {t} - {""}))
+    near = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    want = {(a, b, near(x, y)) for a, x in sets.values() for b, y in sets.values() if a < b and near(x, y) >= 0.5}
+    made = dedup.similar_pairs(spark.createDataFrame(texts, "id long, text string").repartition(3), 0.5, tile=tile, common=common)
+    got = [tuple(x) for x in made.collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 50
+
+
 def test_memories(spark):
     """A negative cosine counts as none, every sensitivity but high is open, and a session only sees its own."""
     records = spark.createDataFrame(
