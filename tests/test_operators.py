@@ -10,6 +10,7 @@ import unicodedata
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -126,6 +127,47 @@ def test_common_subsequence_bound_is_exact():
                 assert dedup._common(at, len(a), "".join(b), need) == (row[-1] >= need)
 
 
+def test_bit_steps_over_many_pairs_are_exact():
+    """The bit steps over many pairs say yes just when the longest common subsequence is long enough, over one word of bits or several."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdé漢") for _ in range(rng.choice([1, 5, 63, 64, 65, 130, 200]))) for _ in range(24)]
+    texts += [t[:-1] for t in texts[:8]]
+    code = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    longest = []
+    for a, b in zip((texts[x] for x in i), (texts[x] for x in j)):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for k, y in enumerate(b, 1):
+                row[k], before = (before + 1 if x == y else max(row[k], row[k - 1])), row[k]
+        longest.append(row[-1])
+    codes, longest = [code(t) for t in texts], np.array(longest)
+    assert len(dedup._subsequences(codes, codes, i, j, longest)) == len(i) and not len(dedup._subsequences(codes, codes, i, j, longest + 1))
+
+
+def test_ratios_of_long_texts_are_complete():
+    """Of long texts, whose frequent characters seed no block, no pair is missed that the matcher finds alike, and grams alone leave few to it."""
+    rng = random.Random(9)
+    said = lambda n: "".join(rng.choice(["th", "er", "on", "an", "ti", "ed", "Wh", "re"]) for _ in range(n // 2)) + "qxJ漢"
+    texts = []
+    for n in (180, 199, 210, 400, 900):
+        for _ in range(6):
+            base = said(n)
+            texts.append(base)
+            for edits in (3, n // 20, n // 12):
+                t = list(base)
+                for at in rng.sample(range(n), edits):
+                    t[at] = rng.choice(["", "z", "yy"])
+                texts.append("".join(t))
+    rows = pd.DataFrame([(0, 0, s, k, t, 1) for s in (0, 1) for k, t in enumerate(texts)], columns=["i", "j", "side", "id", "norm", "cells"])
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    want = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and max(ratio(x, y), ratio(y, x)) >= 0.82}
+    got = dedup._match(rows, 0.82, 0.9)
+    assert {(r.a, r.b) for r in got.itertuples() if max(r.forward, r.backward) >= 0.82} == want and len(want) > 30
+    assert len(got) < 0.2 * len(texts) * (len(texts) - 1) / 2
+
+
 def test_tiles_meet_wherever_texts_may_be_alike(spark):
     """Tile pairs against all pairs of texts: none whose bounds allow the ratio is dropped, and some tiles don't meet."""
     rng = random.Random(8)
