@@ -238,11 +238,10 @@ def _(v):
 
 @query("m02_keyword_model")
 def _(v):
-    from ..operators.models import keyword_model, tokenizer
+    from ..operators.models import keyword_models
 
     rows = sampling.stratified_split(v.examples.where("safety <> 'reject'"), "safety", "doc_id", 0.2, 0.125, "split")
-    rows = rows.select("doc_id", "safety", "split", *(tokenizer(n)(F.col("text")).alias(n) for n in ("word", "char_ngram", "mixed")))
-    return keyword_model(rows, "safety", [50, 100], {n: n for n in ("word", "char_ngram", "mixed")})
+    return keyword_models(rows.select("doc_id", "safety", "split", "text"), "safety", [50, 100])
 
 
 @query("u03_tokenizers", """WITH w AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS word, length(regexp_replace(text, '[^\\x{4E00}-\\x{9FFF}A-Za-z0-9]+', '', 'g')) AS c FROM documents), g AS (SELECT *, greatest(c - 1, 0) + greatest(c - 2, 0) + greatest(c - 3, 0) AS grams FROM w) SELECT doc_id, word::BIGINT AS word, grams::BIGINT AS char_ngram, (word + grams)::BIGINT AS mixed FROM g""")

@@ -11,13 +11,14 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkmill.functions import text, vectors
-from talkmill.operators import agreement, dedup, metrics, models, queues, reshape, retrieval, sampling, scores, sessions
+from talkmill.operators import agreement, dedup, features, metrics, models, queues, reshape, retrieval, sampling, scores, sessions
 from talkmill.plans import QUERIES
 from talkmill.sources import tables
 
@@ -527,6 +528,29 @@ def test_keyword_model_on_a_separable_sample(spark):
     assert got[0].validation_f1 == got[0].test_f1 == 1.0 and all(a.validation_f1 >= b.validation_f1 for a, b in zip(got, got[1:]))
 
 
+def test_keyword_models_of_texts(spark, monkeypatch):
+    """Counts made where the texts are give what arrays of tokens give: words that are runs of characters too, repeats, wide characters, capitals, empty texts."""
+    rng = random.Random(3)
+    said = {"green": ["sunny", "is", "Bright", "漢字", "warm1"], "yellow": ["cloudy", "IS", "grey", "字漢", "rain"], "red": ["storm", "is", "thunder", "a", "flood é"]}
+    rows = [(i, c, " ".join(rng.choices(said[c] + ["is", "IS", "filler"], k=rng.choice([0, 1, 9, 30]))) if i % 17 else ["", "x", None][i % 3], "train" if i % 10 < 6 else "validation" if i % 10 < 8 else "test") for i in range(120) for c in [("green", "yellow", "red")[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, safety string, text string, split string").repartition(3)
+    tokens = df.select("doc_id", "safety", "split", *(models.tokenizer(n)(F.col("text")).alias(n) for n in models.STRATEGIES))
+    want = models.keyword_model(tokens.where("word is not null"), "safety", [3, 20], {n: n for n in models.STRATEGIES}, least=2.0).collect()
+    got = models.keyword_models(df.where("text is not null"), "safety", [3, 20], least=2.0)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want] and len(want) == 6
+    # The same counts, also if a task hands them on many times.
+    for held in (models.HELD, 5):
+        monkeypatch.setattr(models, "HELD", held)
+        batches = [pa.RecordBatch.from_pylist([{"label": c, "text": t} for _, c, t, s in rows if s == "train"])]
+        found = {}
+        for r in (r for b in models._counted(iter(batches)) for r in b.to_pylist()):
+            x = found.setdefault((r["kind"], r["token"], r["label"]), [0, 0])
+            x[0], x[1] = x[0] + r["weight"], x[1] + r["rows"]
+        for n in ("word", "char_ngram"):
+            some = tokens.where("split = 'train'").select("doc_id", "safety", F.col(n).alias("tokens"), F.lit(1.0).alias("w"))
+            assert {(r.token, r.safety): [r.weight, r.rows] for r in features.token_class_counts(some, "safety").collect()} == {k[1:]: v for k, v in found.items() if k[0] == n}
+
+
 def test_sequence_ratio(spark):
     pairs = [("abcd", "bcde"), ("", ""), ("abc", ""), ("kitten sitting", "sitting kitten"), ("a" * 250 + "b", "b" + "a" * 250), (None, "x")]
     got = spark.createDataFrame(pairs, "a string, b string").select(vectors.sequence_ratio("a", "b").alias("r")).collect()
