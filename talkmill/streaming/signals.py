@@ -42,8 +42,17 @@ def append_log(levels: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def each_batch(rows: DataFrame, write: Callable[[dict[str, DataFrame], int], None], tables: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Fan each micro-batch out to tables; write gets the batch's number, so that a batch that comes again can be replaced."""
-    return rows.writeStream.outputMode(mode).foreachBatch(lambda batch, n: write(tables(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Fan each micro-batch out to tables; write gets the batch's number, so that a batch that comes again can be replaced.
+    A batch is kept while its tables are written, or each of them would run the stream's steps, state and all, once more."""
+
+    def fan(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        try:
+            write(tables(batch), n)
+        finally:
+            batch.unpersist()
+
+    return rows.writeStream.outputMode(mode).foreachBatch(fan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 TABLES = ("sessions", "messages", "turns", "candidates", "preferences")

@@ -48,6 +48,22 @@ def test_tables_do_not_depend_on_the_batches(spark):
     assert {(r[columns.index("session_id")], r[columns.index("turn_id")], r[columns.index("user_message")], r[columns.index("assistant_message")]) for r in one["turns"]} == want
 
 
+def test_a_batch_is_made_once_for_all_tables(spark):
+    """Five tables and their joins read a micro-batch several times; its rows are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    df = spark.createDataFrame(conversation(), MESSAGES)
+    folder = scratch(spark)
+    rows = in_pieces(spark, df, 3).selectExpr("session_id", "turn", "text as user_message", "text as assistant_message", "created_at").mapInPandas(seen, "session_id string, turn long, user_message string, assistant_message string, created_at timestamp")
+    signals.each_batch(rows, signals.batch_tables(folder), exchange_tables, f"{folder}/state").awaitTermination()
+    assert made.value == df.count() == spark.read.parquet(f"{folder}/turns").count()
+
+
 def test_pairs_equal_those_of_a_batch(spark):
     rows = conversation()
     df = spark.createDataFrame(rows, MESSAGES)
